@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from pathloom.functions.net import address, network
 from pathloom.functions.paths import clean_path
 from pathloom.llm.heavy_items import frequent_items, heavy_items
+from pathloom.llm.mixing import mix
+from pathloom.llm.packing import pack, packing_report
 from pathloom.llm.runs import collapse_runs, run_members
+from pathloom.llm.sentences import sentences
 from pathloom.llm.splits import split_together
+from pathloom.llm.tokens import with_tokens
 from pathloom.operators.grid import floor_time, window_id
-from pathloom.session import table
+from pathloom.session import cut, table
 
 
 def event_name(text: Column) -> Column:
@@ -82,6 +86,50 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return frequent_items(**_item_spec(spark, d), share=0.005).select("field", "item")
 
 
+CAPACITY = 2048
+
+
+def _token_counts(spark: SparkSession, d: str) -> DataFrame:
+    return with_tokens(table(spark, d, "documents").select("doc_id", "source", "text"), "text").select("doc_id", "source", "tokens")
+
+
+def containers(spark: SparkSession, d: str) -> DataFrame:
+    return pack(_token_counts(spark, d), "doc_id", "tokens", CAPACITY)
+
+
+def container_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing_report(containers(spark, d), CAPACITY)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return containers(spark, d).filter("pieces > 1 and piece_no = 0").select("doc_id")
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    counts = cut(_token_counts(spark, d))  # read in every round, so tokens are counted once
+    return mix(counts, "doc_id", "source", "tokens", table(spark, d, "mix_targets"))
+
+
+def mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[0]
+
+
+def mix_report(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[1]
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return mix_report(spark, d).filter("not reachable").select("source")
+
+
+def all_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return sentences(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return all_sentences(spark, d).select("doc_id", "start_pos", "end_pos")
+
+
 QUERIES = {
     "p1_splits": splits,
     "p1_split_report": split_report,
@@ -90,6 +138,14 @@ QUERIES = {
     "p2_found": p2_found,
     "p4_top_items": top_items,
     "p4_found": p4_found,
+    "p8_containers": containers,
+    "p8_report": container_report,
+    "p8_found": p8_found,
+    "p9_mixture": mixture,
+    "p9_mix_report": mix_report,
+    "p9_found": p9_found,
+    "p10_sentences": all_sentences,
+    "p10_found": p10_found,
 }
 
 ORACLE: dict[str, str] = {
