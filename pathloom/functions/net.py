@@ -25,21 +25,24 @@ def squeezed(text: Column) -> Column:
     return F.nullif(F.lower(F.regexp_replace(text, r"[\s ]+", "")), F.lit(""))
 
 
-def _v4_number(address: Column) -> Column:
-    return F.aggregate(
-        F.split(address, r"\."), F.lit(0).cast("bigint"), lambda acc, x: acc * 256 + F.try_to_number(x, F.lit("999")).cast("bigint")
-    )
+def _octets(address: Column) -> list[Column]:
+    return [F.substring_index(F.substring_index(address, ".", i), ".", -1).cast("int") for i in range(1, 5)]
 
 
-def _v4_text(number: Column) -> Column:
-    return F.concat_ws(".", *[F.shiftright(number, 24 - 8 * i).bitwiseAND(255).cast("string") for i in range(4)])
+def _v4_number(address: Column) -> Column:
+    a, b, c, d = _octets(address)
+    return a.cast("bigint") * 16777216 + b * 65536 + c * 256 + d
 
 
 def _v4(address: Column, length: Column) -> Column:
-    bits = F.lit(32) - length
-    fine = F.forall(F.split(address, r"\."), lambda x: x.cast("int") <= 255) & length.between(0, 32)
-    masked = lambda n: F.call_function("shiftleft", F.call_function("shiftright", n, bits), bits)
-    return F.when(fine, let(masked(_v4_number(address)), _v4_text))
+    """Only the first `length` bits kept, octet by octet."""
+    octets = _octets(address)
+    fine = length.between(0, 32)
+    for o in octets:
+        fine = fine & (o <= 255)
+    free = [F.greatest(F.lit(0), F.least(F.lit(8), F.lit(8 * i + 8) - length)) for i in range(4)]  # bits to clear
+    kept = [o.bitwiseAND(F.lit(256) - F.call_function("shiftleft", F.lit(1), f)) for o, f in zip(octets, free, strict=True)]
+    return F.when(fine, F.concat_ws(".", *[k.cast("string") for k in kept]))
 
 
 def _v6_nibbles(address: Column) -> Column:
@@ -93,19 +96,38 @@ def _v6_text(nibbles: Column) -> Column:
     return let(F.concat(F.lit(":"), groups), short)
 
 
-def _network(squeezed_text: Column, with_length: bool) -> Column:
+def _given(s: Column) -> Column:
+    """The length after the slash: null without slash, -1 if it is no number."""
+    return F.when(F.contains(s, F.lit("/")), F.coalesce(F.try_to_number(F.regexp_extract(s, r"/([0-9]{1,3})$", 1), F.lit("999")).cast("int"), F.lit(-1)))
+
+
+def _slow(text: Column, with_length: bool) -> Column:
     def build(s: Column) -> Column:
         address = F.substring_index(s, "/", 1)
-        given = F.substring_index(s, "/", -1)
-        number = F.when(~F.contains(s, F.lit("/")), F.lit(None).cast("int")).when(given.rlike("^[0-9]{1,3}$"), given.cast("int")).otherwise(-1)
         v4, v6 = address.rlike(_V4), address.rlike(_V6)
-        length = F.coalesce(number, F.when(v4, F.lit(32)).otherwise(F.lit(128)))
+        length = F.coalesce(_given(s), F.when(v4, F.lit(32)).otherwise(F.lit(128)))
         plain = F.when(v4, _v4(address, length)).when(
             v6 & length.between(0, 128), let(_v6_nibbles(address), lambda n: F.when(n.isNotNull(), _v6_text(_v6_masked(n, length))))
         )
         return F.coalesce(F.concat(plain, F.lit("/"), length.cast("string")) if with_length else plain, s)
 
-    return let(squeezed_text, build)
+    return let(squeezed(text), build)
+
+
+def _network(text: Column, with_length: bool) -> Column:
+    """Nearly all texts are canonical or plain IPv4: those stay within generated code."""
+    s = F.lower(F.btrim(text))
+    length = F.substring_index(s, "/", -1).cast("int") if with_length else F.lit(32)
+    tail = F.concat(F.lit("/"), length.cast("string")) if with_length else F.lit("")
+    v4 = s.rlike(r"^(?:0|[1-9][0-9]?|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.(?:0|[1-9][0-9]?|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}" + (r"/(?:[0-9]|[12][0-9]|3[0-2])$" if with_length else "$"))
+    group = r"[1-9a-f][0-9a-f]{0,3}"
+    if with_length:  # groups without zeros up to `::`, and no bit beyond the length
+        plain6 = s.rlike(f"^{group}(?::{group}){{0,5}}::/(?:1[6-9]|[2-9][0-9]|1[01][0-9]|12[0-8])$")
+        colons = F.length(s) - F.length(F.call_function("replace", s, F.lit(":"), F.lit("")))
+        v6 = plain6 & (length >= (colons - 1) * 16)
+    else:
+        v6 = s.rlike(f"^{group}(?::{group}){{0,5}}::{group}$") & ~s.rlike("^(?:[^:]+:){6}:")
+    return F.when(v4, F.concat(_v4(F.substring_index(s, "/", 1), length), tail)).when(v6, s).otherwise(_slow(text, with_length))
 
 
 def network(text: Column) -> Column:
@@ -113,12 +135,12 @@ def network(text: Column) -> Column:
 
     An address without length counts as its own network (/32 or /128).
     """
-    return _network(squeezed(text), True)
+    return _network(text, True)
 
 
 def address(text: Column) -> Column:
     """An IPv4 or IPv6 address in its shortest lower-case form."""
-    return _network(squeezed(text), False)
+    return _network(text, False)
 
 
 def as_number(text: Column) -> Column:
@@ -130,4 +152,5 @@ def as_number(text: Column) -> Column:
         plain = F.when(s.rlike(r"^[0-9]+$"), F.regexp_replace(s, "^0+(?=[0-9])", ""))
         return F.coalesce(dotted, plain, s)
 
-    return let(F.nullif(F.regexp_replace(squeezed(text), "^asn?(?=[0-9])", ""), F.lit("")), build)
+    slow = let(F.nullif(F.regexp_replace(squeezed(text), "^asn?(?=[0-9])", ""), F.lit("")), build)
+    return F.when(text.rlike(r"^[1-9][0-9]*$"), text).otherwise(slow)

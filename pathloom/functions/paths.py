@@ -13,6 +13,7 @@ RESERVED = (0, 23456, 65535, 4294967295)
 
 _SET = r"(?<!\S)[^\s{}]*\{[^\s}]*(?:\s+[^\s}]+)*(?:\s*\}\S*|\s*$)|(?<!\S)\S*\}\S*"
 _NO_NUMBER = r"(?<!\S)(?![0-9]+(?!\S))\S+"
+_TIDY = r"^[1-9][0-9]*(?: [1-9][0-9]*)*$"
 
 
 def _digits(low: int, high: int) -> list[str]:
@@ -37,7 +38,7 @@ def _digits(low: int, high: int) -> list[str]:
 
 
 _RANGES = [p for low, high in PRIVATE_RANGES for p in _digits(low, high)]
-_UNFIT = r"(?<!\S)0*(?:" + "|".join([*map(str, RESERVED), *_RANGES]) + r")(?!\S)"
+_UNFIT = r"\b(?:" + "|".join([*map(str, RESERVED), *_RANGES]) + r")\b ?"  # in tidy text
 
 
 def is_public_asn(asn: Column) -> Column:
@@ -57,9 +58,10 @@ def clean_path(raw: Column) -> Column:
     """
     text = F.coalesce(raw, F.lit(""))
     sets = F.when(F.contains(text, F.lit("{")) | F.contains(text, F.lit("}")), F.regexp_replace(text, _SET, " ")).otherwise(text)
-    fit = F.regexp_replace(F.regexp_replace(sets, _NO_NUMBER, ""), _UNFIT, "")
-    single = F.btrim(F.regexp_replace(F.regexp_replace(fit, r"(?<!\S)0+(?=[0-9])", ""), r"\s+", " "))
-    return F.regexp_replace(single, r"(?<!\S)(\S+)(?: \1(?!\S))+", "$1")
+    numbers = F.regexp_replace(F.regexp_replace(sets, _NO_NUMBER, ""), r"(?<!\S)0+(?=[0-9])", "")
+    tidy = F.when(text.rlike(_TIDY), text).otherwise(F.btrim(F.regexp_replace(numbers, r"\s+", " ")))
+    fit = F.call_function("rtrim", F.regexp_replace(tidy, _UNFIT, ""))
+    return F.regexp_replace(fit, r"\b([0-9]++)(?: \1\b)+", "$1")
 
 
 def path_array(clean: Column) -> Column:

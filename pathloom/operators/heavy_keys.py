@@ -18,9 +18,8 @@ def key_profile(rows: DataFrame, keys: dict[str, Column], time: Column, item: Co
     items are no items.
     """
     picked = rows.select(record.alias("_record"), time.alias("_t"), item.alias("_item"), *[c.alias(k) for k, c in keys.items()])
-    picked = picked.filter(" and ".join(f"`{k}` is not null" for k in keys))
     # copies are dropped by the hash of the record, which is even whatever the keys
-    once = picked.repartition(F.col("_record")).distinct()
+    once = picked.repartition(F.col("_record")).distinct().filter(" and ".join(f"`{k}` is not null" for k in keys))
     by_item = once.groupBy(*keys, "_item").agg(F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_first"), F.max("_t").alias("_last"))
     return by_item.groupBy(*keys).agg(
         F.sum("_n").alias("n"), F.min("_first").alias("first_ts"), F.max("_last").alias("last_ts"), F.count("_item").alias("n_items")
