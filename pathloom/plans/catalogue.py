@@ -1,9 +1,9 @@
 """All core queries by name, with their SQL where SQL can express them."""
 
-from pathloom.plans import data_ops
+from pathloom.plans import data_ops, stream_ops
 
-_MODULES = [data_ops]
+_MODULES = [data_ops, stream_ops]
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
-FLAGSHIP = "p3_regular_grid"
+FLAGSHIP = "stat_view_full"
