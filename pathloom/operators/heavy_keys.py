@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,9 +22,11 @@ def key_profile(rows: DataFrame, keys: dict[str, Column], time: Column, item: Co
     """
     picked = rows.select(record.alias("_record"), time.alias("_t"), item.alias("_item"), *[c.alias(k) for k, c in keys.items()])
     # copies are dropped by the hash of the record, which is even whatever the keys
-    once = picked.repartition(F.col("_record")).distinct().filter(" and ".join(f"`{k}` is not null" for k in keys))
-    by_item = once.groupBy(*keys, "_item").agg(F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_first"), F.max("_t").alias("_last"))
-    return by_item.groupBy(*keys).agg(
+    once = picked.repartition(F.col("_record")).distinct()
+    # as an aggregate the test for null parts stays here: pushed down it would work out the keys twice
+    whole = F.bool_and(reduce(and_, [F.col(k).isNotNull() for k in keys]))
+    by_item = once.groupBy(*keys, "_item").agg(F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_first"), F.max("_t").alias("_last"), whole.alias("_whole"))
+    return by_item.filter("_whole").groupBy(*keys).agg(
         F.sum("_n").alias("n"), F.min("_first").alias("first_ts"), F.max("_last").alias("last_ts"), F.count("_item").alias("n_items")
     )
 
