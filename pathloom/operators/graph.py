@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathloom.functions.stats import correlation
 from pathloom.session import cut
 
 
@@ -44,8 +45,7 @@ def assortativity(edges: DataFrame, keys: list[str]) -> DataFrame:
     """Correlation of the degrees at the ends of an edge, each edge in both directions; null if all are equal."""
     e = _with_degrees(edges, keys)
     sides = e.select(*keys, F.explode(F.array(F.struct(F.col("du").alias("x"), F.col("dv").alias("y")), F.struct(F.col("dv").alias("x"), F.col("du").alias("y")))).alias("p"))
-    flat = F.stddev_pop("p.x") < 1e-12
-    return sides.groupBy(*keys).agg(F.when(flat, None).otherwise(F.nanvl(F.corr("p.x", "p.y"), F.lit(None))).alias("assortativity"))
+    return sides.groupBy(*keys).agg(correlation(F.col("p.x"), F.col("p.y")).alias("assortativity"))
 
 
 def triangles(edges: DataFrame, keys: list[str]) -> DataFrame:

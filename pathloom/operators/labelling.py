@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathloom.functions.stats import correlation
+
 LABELS = ("likely_normal", "uncertain", "likely_anomalous", "highly_anomalous")
 
 
@@ -62,7 +64,7 @@ def vote_weights(votes: DataFrame, methods: Sequence[str]) -> DataFrame:
     """method, weight: 1 / (1 + mean absolute correlation with the others), over their sum. Methods that
     never vary have none."""
     pairs = [(a, b) for a in methods for b in methods if a != b]
-    flat = votes.agg(*[F.stddev_pop(F.col(m).cast("double")).alias(m) for m in methods], *[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}") for a, b in pairs])
+    flat = votes.agg(*[F.stddev_pop(F.col(m).cast("double")).alias(m) for m in methods], *[correlation(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}") for a, b in pairs])
     rows = [
         F.struct(
             F.lit(m).alias("method"), F.col(m).alias("sd"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pathloom.functions.stats import correlation
 from pathloom.operators import joins as j
 from pathloom.operators import ordered as o
 from pathloom.operators.grid import floor_time
@@ -104,7 +105,7 @@ def largest_gap(spark: SparkSession, d: str) -> DataFrame:
 
 def sign_flips(spark: SparkSession, d: str) -> DataFrame:
     """Sign changes of the daily correlation of announcements and path lengths."""
-    daily = labelled(spark, d).groupBy("domain", F.to_date("w").alias("day")).agg(F.round(F.corr("announcements", "as_path_avg"), 9).alias("r"))
+    daily = labelled(spark, d).groupBy("domain", F.to_date("w").alias("day")).agg(F.round(correlation(F.col("announcements"), F.col("as_path_avg")), 9).alias("r"))
     return o.sign_flips(daily.filter("r is not null and not isnan(r)"), ["domain"], ["day"], "r")
 
 
