@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.functions.net import let
+
 # Sentence-ending marks and their placeholders.
 MARKS = ".!?…。！？｡।؟"
 MASKS = "".join(chr(0xE000 + i) for i in range(len(MARKS)))
@@ -48,7 +50,8 @@ def _words(words: list[str]) -> str:
 
 
 def _mask_dot(text: Column, before: str, after: str) -> Column:
-    return F.regexp_replace(text, f"(?<={before})\\.(?={after})", MASKS[0])
+    # the dot comes first: a pattern that begins by looking behind does so at every character
+    return F.regexp_replace(text, f"\\.(?<={before}\\.)(?={after})", MASKS[0])
 
 
 def starts(lengths: Column, width: int = 256) -> Column:
@@ -87,25 +90,27 @@ def _mask_pairs(block: Column) -> Column:
     hidden = lambda x: F.concat(
         F.translate(F.regexp_extract(x, f"(?s)^(.*?)([{MARKS}]*)$", 1), MARKS, MASKS), F.regexp_extract(x, f"(?s)^(.*?)([{MARKS}]*)$", 2)
     )
-    parts = F.split(block, '"')
-    straight = F.array_join(F.transform(parts, lambda x, i: F.when((i % 2 == 1) & (i < F.size(parts) - 1), hidden(x)).otherwise(x)), '"')
-    plain = F.when(F.contains(block, F.lit('"')), straight).otherwise(block)
+    def straight(parts: Column) -> Column:
+        return F.array_join(F.transform(parts, lambda x, i: F.when((i % 2 == 1) & (i < F.size(parts) - 1), hidden(x)).otherwise(x)), '"')
 
     def paired(text: Column, opening: str, closing: str) -> Column:
         pieces = F.split(text, f"(?=[{opening}])|(?<=[{closing}])")
         whole = f"(?s)^[{opening}].*[{closing}]$"
-        body = lambda x: F.concat(F.substr(x, F.lit(1), F.length(x) - 1).substr(F.lit(1), F.lit(1)), hidden(F.substr(x, F.lit(2), F.length(x) - 2)), F.right(x, F.lit(1)))
+        body = lambda x: F.concat(F.left(x, F.lit(1)), hidden(F.substr(x, F.lit(2), F.length(x) - 2)), F.right(x, F.lit(1)))
         return F.array_join(F.transform(pieces, lambda x: F.when(x.rlike(whole), body(x)).otherwise(x)), "")
 
-    german, other = paired(plain, _OPEN, _CLOSE + "“"), paired(plain, _OPEN + "“", _CLOSE)
-    return F.when(F.contains(plain, F.lit("„")), german).when(plain.rlike(f"[{_OPEN}“]"), other).otherwise(plain)
+    def pairs(plain: Column) -> Column:
+        german, other = paired(plain, _OPEN, _CLOSE + "“"), paired(plain, _OPEN + "“", _CLOSE)
+        return F.when(F.contains(plain, F.lit("„")), german).when(plain.rlike(f"[{_OPEN}“]"), other).otherwise(plain)
+
+    plain = F.when(F.contains(block, F.lit('"')), let(F.split(block, '"'), straight)).otherwise(block)
+    return F.when(block.rlike(f'["„“{_OPEN}]'), let(plain, pairs)).otherwise(block)
 
 
 def _masked(block: Column) -> Column:
     text = _mask_pairs(block)
     start = r"(?<![\p{L}\p{M}\p{N}])"
     text = F.regexp_replace(text, r"^(\s*[0-9]{1,3})\.(?=\s)", f"$1{MASKS[0]}")  # the item's number
-    text = F.regexp_replace(text, r"(?<=https?://\S{1,2000})[.!?](?=[^\s\p{Lu}])", MASKS[0])
     text = _mask_dot(text, r"[\p{L}\p{M}\p{N}]", r"(?:\p{Ll}|\p{N})(?<![ie](?=BGP))")  # decimals, hosts, versions
     text = _mask_dot(text, rf"{start}(?:{_words(NEVER_LAST)})", r"\s*\S")
     text = _mask_dot(text, rf"{start}(?:{_words(BEFORE_NUMBER)})", r"\s*\p{N}")
@@ -119,18 +124,17 @@ def _ended(text: Column) -> Column:
     close = f"[{quote_close}{_CLOSE}]"
     opener = f"[\"'“‘¿¡{_OPEN}]"
     starter = rf"(?:{opener}*(?:\p{{Lu}}|\p{{Lt}}|\p{{Lo}}|\p{{N}}|[ie]BGP|[a-z0-9]+(?:\ue000[a-z0-9]+)+ ?\p{{Lo}}))"
+    # Thai: a blank between two Thai letters
+    text = F.when(text.rlike("[ก-๎]"), F.regexp_replace(text, r"(?<=[ก-๎])(?=[^\S\n]+[ก-๎])", END)).otherwise(text)
     # cased scripts and Arabic: a mark, then white space, then what can begin a sentence
     text = F.regexp_replace(text, rf"([.!?…؟]+(?:[  ]?{close})*)(?=\s+{starter})", f"$1{END}")
     # the same with the blank left out
-    text = F.regexp_replace(text, rf"(?<=[\p{{Ll}}\p{{N}}%)\]\"”»])([.!?]+)(?={opener}?\p{{Lu}}[\p{{L}}'’])", f"$1{END}")
-    text = F.regexp_replace(text, r"(?<=[\p{Lo}\p{M}\p{N}&&[^฀-๿]])([.!?؟]+)(?=[\p{Lo}&&[^฀-๿]])", f"$1{END}")
+    text = F.regexp_replace(text, rf"([.!?])(?<=[\p{{Ll}}\p{{N}}%)\]\"”»][.!?])([.!?]*)(?={opener}?\p{{Lu}}[\p{{L}}'’])", f"$1$2{END}")
+    text = F.regexp_replace(text, r"([.!?؟])(?<=[\p{Lo}\p{M}\p{N}&&[^฀-๿]][.!?؟])([.!?؟]*)(?=[\p{Lo}&&[^฀-๿]])", f"$1$2{END}")
     # scripts without case: also before a host name
-    text = F.regexp_replace(text, r"(?<=[\p{Lo}\p{M}])([!?؟]+)(?=\s+\p{Ll})", f"$1{END}")
+    text = F.regexp_replace(text, r"([!?؟])(?<=[\p{Lo}\p{M}][!?؟])([!?؟]*)(?=\s+\p{Ll})", f"$1$2{END}")
     # full-width marks and dandas end a sentence whatever follows, but not right before a closing quote
-    text = F.regexp_replace(text, rf"([。！？｡।॥۔]+[！？!?]*)([)）】]*)(?![！？!?。{END}\"'”’」』》)）】]|\s*$)", f"$1$2{END}")
-    # Thai: a blank between two Thai letters
-    return F.regexp_replace(text, r"(?<=[ก-๎])(?=[^\S\n]+[ก-๎])", END)
-
+    return F.regexp_replace(text, rf"([。！？｡।॥۔]+[！？!?]*)([)）】]*)(?![！？!?。{END}\"'”’」』》)）】]|\s*$)", f"$1$2{END}")
 
 def sentences(docs: DataFrame, key: str, text: str) -> DataFrame:
     """The sentences of each document: key, `start_pos`, `end_pos` (code points from 0, end exclusive) and `sentence`.
@@ -146,9 +150,10 @@ def sentences(docs: DataFrame, key: str, text: str) -> DataFrame:
     own = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias(key), _blocks(F.col(text)).alias("_marked"), itself)
 
     def placed(df: DataFrame, parts: Column, base: Column, keep: list[str]) -> DataFrame:
-        """A row for each part with its position; one mark stands between two parts."""
+        """A row for each part with its position; one mark stands between two parts. The arrays are never
+        empty; explode would infer a filter on them, which works the expressions out a second time."""
         df = df.withColumn("_parts", parts).withColumn("_at", starts(F.transform("_parts", lambda x: F.length(x) + 1)))
-        return df.select(*keep, F.explode(F.arrays_zip("_parts", "_at")).alias("_p"), base.alias("_base")).select(
+        return df.select(*keep, F.explode_outer(F.arrays_zip("_parts", "_at")).alias("_p"), base.alias("_base")).select(
             *keep, F.col("_p._parts").alias("_block"), (F.col("_p._at") + F.col("_base")).alias("_from")
         )
 
@@ -158,12 +163,11 @@ def sentences(docs: DataFrame, key: str, text: str) -> DataFrame:
     fine = fine.filter(F.col("_block").rlike(f"[{_LETTER}]"))
     ended = fine.withColumn("_masked", _masked(F.col("_block"))).withColumn("_parts", F.split(_ended(F.col("_masked")), END))
     ended = ended.withColumn("_at", starts(F.transform("_parts", F.length)))
-    units = ended.select(key, F.explode(F.arrays_zip("_parts", "_at")).alias("_p"), "_from", "_text")
-    unit, at = F.col("_p._parts"), F.col("_p._at") + F.col("_from")
+    units = ended.select(key, F.explode_outer(F.arrays_zip("_parts", "_at")).alias("_p"), "_from", "_text")
+    units = units.select(key, F.col("_p._parts").alias("_part"), (F.col("_p._at") + F.col("_from")).alias("_at"), "_text").filter(F.col("_part").rlike(f"[{_LETTER}]"))
     space = r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x1c-\x1f]"
-    bare = F.regexp_replace(unit, f"^{space}+", "")
-    units = units.select(key, (at + F.length(unit) - F.length(bare)).alias("start_pos"), F.regexp_replace(bare, f"{space}+$", "").alias("_unit"), "_text")
-    units = units.filter(F.col("_unit").rlike(f"[{_LETTER}]")).withColumn("end_pos", F.col("start_pos") + F.length("_unit"))
+    units = units.withColumn("_bare", F.regexp_replace("_part", f"^{space}+", ""))
+    units = units.withColumns({"start_pos": F.col("_at") + F.length("_part") - F.length("_bare"), "_unit": F.regexp_replace("_bare", f"{space}+$", "")})
     restored = F.translate("_unit", MASKS, MARKS)
     restored = F.when(F.col("_text").isNotNull(), F.substr("_text", F.col("start_pos") + 1, F.length("_unit"))).otherwise(restored)
-    return units.select(key, "start_pos", "end_pos", restored.alias("sentence"))
+    return units.select(key, "start_pos", (F.col("start_pos") + F.length("_unit")).alias("end_pos"), restored.alias("sentence"))
