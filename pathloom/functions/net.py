@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_V4 = r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"
-_V6 = r"^[0-9a-f:]*:[0-9a-f:.]*$"
+_V4 = r"^[0-9]{1,3}(\.[0-9]{1,3}){3}\z"
+_V6 = r"^[0-9a-f:]*:[0-9a-f:.]*\z"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -47,13 +47,13 @@ def _v4(address: Column, length: Column) -> Column:
 
 def _v6_nibbles(address: Column) -> Column:
     """32 hexadecimal digits; null where the text is no IPv6 address."""
-    tail = F.regexp_extract(address, r"([0-9]{1,3}(?:\.[0-9]{1,3}){3})$", 1)
+    tail = F.regexp_extract(address, r"([0-9]{1,3}(?:\.[0-9]{1,3}){3})\z", 1)
     as_groups = lambda n: F.concat(
         F.lpad(F.lower(F.hex(F.shiftright(n, 16))), 4, "0"), F.lit(":"), F.lpad(F.lower(F.hex(n.bitwiseAND(65535))), 4, "0")
     )
     plain = F.when(
         F.contains(address, F.lit(".")),
-        F.concat(F.expr("''"), F.regexp_replace(address, r"[0-9.]+$", ""), let(_v4_number(tail), as_groups)),
+        F.concat(F.expr("''"), F.regexp_replace(address, r"[0-9.]+\z", ""), let(_v4_number(tail), as_groups)),
     ).otherwise(address)
 
     def padded(groups: Column) -> Column:
@@ -98,7 +98,7 @@ def _v6_text(nibbles: Column) -> Column:
 
 def _given(s: Column) -> Column:
     """The length after the slash: null without slash, -1 if it is no number."""
-    return F.when(F.contains(s, F.lit("/")), F.coalesce(F.try_to_number(F.regexp_extract(s, r"/([0-9]{1,3})$", 1), F.lit("999")).cast("int"), F.lit(-1)))
+    return F.when(F.contains(s, F.lit("/")), F.coalesce(F.try_to_number(F.regexp_extract(s, r"/([0-9]{1,3})\z", 1), F.lit("999")).cast("int"), F.lit(-1)))
 
 
 def _slow(text: Column, with_length: bool) -> Column:
@@ -119,14 +119,14 @@ def _network(text: Column, with_length: bool) -> Column:
     s = F.lower(F.btrim(text))
     length = F.substring_index(s, "/", -1).cast("int") if with_length else F.lit(32)
     tail = F.concat(F.lit("/"), length.cast("string")) if with_length else F.lit("")
-    v4 = s.rlike(r"^(?:0|[1-9][0-9]?|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.(?:0|[1-9][0-9]?|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}" + (r"/(?:[0-9]|[12][0-9]|3[0-2])$" if with_length else "$"))
+    v4 = s.rlike(r"^(?:0|[1-9][0-9]?|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.(?:0|[1-9][0-9]?|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}" + (r"/(?:[0-9]|[12][0-9]|3[0-2])\z" if with_length else r"\z"))
     group = r"[1-9a-f][0-9a-f]{0,3}"
     if with_length:  # groups without zeros up to `::`, and no bit beyond the length
-        plain6 = s.rlike(f"^{group}(?::{group}){{0,5}}::/(?:1[6-9]|[2-9][0-9]|1[01][0-9]|12[0-8])$")
+        plain6 = s.rlike(f"^{group}(?::{group}){{0,5}}::/(?:1[6-9]|[2-9][0-9]|1[01][0-9]|12[0-8])\z")
         colons = F.length(s) - F.length(F.call_function("replace", s, F.lit(":"), F.lit("")))
         v6 = plain6 & (length >= (colons - 1) * 16)
     else:
-        v6 = s.rlike(f"^{group}(?::{group}){{0,5}}::{group}$") & ~s.rlike("^(?:[^:]+:){6}:")
+        v6 = s.rlike(f"^{group}(?::{group}){{0,5}}::{group}\z") & ~s.rlike("^(?:[^:]+:){6}:")
     return F.when(v4, F.concat(_v4(F.substring_index(s, "/", 1), length), tail)).when(v6, s).otherwise(_slow(text, with_length))
 
 
@@ -148,9 +148,9 @@ def as_number(text: Column) -> Column:
 
     def build(s: Column) -> Column:
         high, low = F.substring_index(s, ".", 1), F.substring_index(s, ".", -1)
-        dotted = F.when(s.rlike(r"^[0-9]{1,9}\.[0-9]{1,9}$"), high.cast("bigint") * 65536 + low.cast("bigint")).cast("string")
-        plain = F.when(s.rlike(r"^[0-9]+$"), F.regexp_replace(s, "^0+(?=[0-9])", ""))
+        dotted = F.when(s.rlike(r"^[0-9]{1,9}\.[0-9]{1,9}\z"), high.cast("bigint") * 65536 + low.cast("bigint")).cast("string")
+        plain = F.when(s.rlike(r"^[0-9]+\z"), F.regexp_replace(s, "^0+(?=[0-9])", ""))
         return F.coalesce(dotted, plain, s)
 
     slow = let(F.nullif(F.regexp_replace(squeezed(text), "^asn?(?=[0-9])", ""), F.lit("")), build)
-    return F.when(text.rlike(r"^[1-9][0-9]*$"), text).otherwise(slow)
+    return F.when(text.rlike(r"^[1-9][0-9]*\z"), text).otherwise(slow)

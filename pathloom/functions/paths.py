@@ -13,7 +13,7 @@ RESERVED = (0, 23456, 65535, 4294967295)
 
 _SET = r"(?<!\S)[^\s{}]*\{[^\s}]*(?:\s+[^\s}]+)*(?:\s*\}\S*|\s*$)|(?<!\S)\S*\}\S*"
 _NO_NUMBER = r"(?<!\S)(?![0-9]+(?!\S))\S+"
-_TIDY = r"^[1-9][0-9]*(?: [1-9][0-9]*)*$"
+_TIDY = r"^[1-9][0-9]*(?: [1-9][0-9]*)*\z"  # not $: that also matches before a last line end
 
 
 def _digits(low: int, high: int) -> list[str]:

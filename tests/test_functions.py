@@ -18,7 +18,7 @@ def mapped(spark, values, function, kind="string"):
 
 def odd_networks():
     rng = random.Random(1)
-    out = [None, "", "  ", "10.1.2.3", " 10.1.2.3/8 ", "010.001.002.003/24", "0.0.0.0/0", "::/0", "::1", "2001:DB8::/32", "1::8/127", "not a net", "10.0.0.0/33", "::/129", "300.1.1.1/8", "1:2", "::ffff:10.1.2.3/120"]
+    out = [None, "", "  ", "10.1.2.3", " 10.1.2.3/8 ", "010.001.002.003/24", "0.0.0.0/0", "::/0", "::1", "2001:DB8::/32", "1::8/127", "not a net", "10.0.0.0/33", "::/129", "300.1.1.1/8", "2001:db8::/32\n", "10.0.0.0/8\n", "1:2", "::ffff:10.1.2.3/120"]
     for _ in range(400):
         groups = [rng.choice(["0", "0", "0000", "db8", "0db8", "F", "1a0", "abcd"]) for _ in range(8)]
         text = ":".join(groups)
@@ -45,8 +45,8 @@ def test_addresses(spark):
 
 
 def test_as_numbers(spark):
-    values = ["1002040", "AS1002040", "as1002040 ", "15.19000", " 7 ", "", None, "007", "odd"]
-    assert mapped(spark, values, net.as_number) == ["1002040", "1002040", "1002040", str(15 * 65536 + 19000), "7", None, None, "7", "odd"]
+    values = ["1002040", "AS1002040", "as1002040 ", "15.19000", " 7 ", "", None, "007", "odd", "12\n"]
+    assert mapped(spark, values, net.as_number) == ["1002040", "1002040", "1002040", str(15 * 65536 + 19000), "7", None, None, "7", "odd", "12"]
 
 
 VECTORS = {
@@ -55,6 +55,7 @@ VECTORS = {
     "1 65000 1 2": "1 2",
     "1 2} 3": "1 3",
     "": "",
+    "1 2\n": "1 2",
     "1 {2 3": "1",
     "1 {2} 3 {4 {5 6} 7": "1 3 7",
     "64511 64512 65534 65535 65536 4199999999 4200000000 4294967294 4294967295 4294967296": "64511 65536 4199999999 4294967296",
