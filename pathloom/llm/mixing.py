@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.session import cut
 
 MOST_SOURCES = 10_000
+BUCKETS = 16  # parts that the documents of one source and length are numbered in
 
 
 @dataclass
@@ -71,8 +72,9 @@ def mix(docs: DataFrame, key: str, source: str, tokens: str, targets: DataFrame,
     The rates r of a source's documents have greatest entropy under sum(r * tokens) = its target and
     0 <= r <= max_repeats: r = min(max_repeats, exp(multiplier * tokens)). Newton's method on the convex dual
     finds the multipliers; each round is one aggregation over (source, tokens) counts, of which one row a
-    source reaches the driver (targets may have MOST_SOURCES rows at most). Rates become copies by keeping
-    the whole part and rounding the rest up with that probability, by a hash of the key.
+    source reaches the driver (targets may have MOST_SOURCES rows at most). Rates become copies by systematic
+    rounding: along a source's documents in order of length, the running sum of rates is rounded down, and a
+    document gets what that adds. So a source misses its tokens by about one document, not by chance.
 
     A source that cannot reach its target is used max_repeats times in full, and marked. Documents of other
     sources, without source or without tokens get no copies. Null shares count as 0, null repeats as 1.
@@ -81,14 +83,15 @@ def mix(docs: DataFrame, key: str, source: str, tokens: str, targets: DataFrame,
     available_tokens, target_tokens, reachable, mixed_tokens, reached_share).
     """
     name = F.lower(F.btrim(F.col(source)))
-    rows = docs.select(F.col(key).alias(key), name.alias("source"), F.coalesce(F.col(tokens), F.lit(0)).cast("bigint").alias("tokens"))
+    bucket = F.pmod(F.xxhash64(F.lit("copies"), F.col(key)), F.lit(BUCKETS)).alias("_b")
+    rows = docs.select(F.col(key).alias(key), name.alias("source"), F.coalesce(F.col(tokens), F.lit(0)).cast("bigint").alias("tokens"), bucket)
     listed = (
         targets.select(F.lower(F.btrim("source")).alias("source"), F.coalesce("target_share", F.lit(0.0)).alias("share"), F.coalesce("max_repeats", F.lit(1)).alias("cap"))
         .filter("source is not null").groupBy("source").agg(F.sum("share").alias("share"), F.max("cap").alias("cap")).limit(MOST_SOURCES + 1).collect()
     )
     if len(listed) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources in targets")
-    counts = cut(rows.groupBy("source", "tokens").agg(F.count(F.lit(1)).alias("n")))
+    counts = cut(rows.groupBy("source", "tokens", "_b").agg(F.count(F.lit(1)).alias("n")))
     whole = total_tokens if total_tokens is not None else counts.agg(F.sum(F.col("n") * F.col("tokens"))).first()[0] or 0
     wanted = counts.filter(F.col("source").isin([r.source for r in listed]) & (F.col("tokens") > 0))
     stock = {r.source: r for r in wanted.groupBy("source").agg(F.sum(F.col("n") * F.col("tokens")).alias("tokens"), F.sum("n").alias("n")).collect()}
@@ -115,9 +118,17 @@ def mix(docs: DataFrame, key: str, source: str, tokens: str, targets: DataFrame,
 
     rate = _rate(F.col("source"), F.col("tokens"), solving) if solving else F.lit(None).cast("double")
     rate = F.when(F.col("tokens") > 0, F.coalesce(rate, F.lit(0.0))).otherwise(0.0)
-    chance = F.pmod(F.xxhash64(F.lit("copies"), F.col(key)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    copies = (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("bigint")
-    mixture = rows.withColumn("rate", rate).withColumn("copies", copies)
+    # the running sum of rates before each (tokens, bucket) of a source comes from the counts alone
+    part = F.col("n") * (F.col("rate") - F.floor("rate"))
+    along = Window.partitionBy("source").orderBy("tokens", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    rated = wanted.withColumn("rate", rate).withColumn("_phase", F.coalesce(F.sum(part).over(along), F.lit(0.0)))
+    rated = rated.select(F.col("source").alias("_s"), F.col("tokens").alias("_t"), F.col("_b").alias("_bb"), "rate", "_phase")
+    placed = rows.join(rated, (F.col("source") == F.col("_s")) & (F.col("tokens") == F.col("_t")) & (F.col("_b") == F.col("_bb")), "left").na.fill(0.0, ["rate", "_phase"])
+    k = F.row_number().over(Window.partitionBy("source", "tokens", "_b").orderBy(F.xxhash64(F.col(key)), key))
+    rest = F.col("rate") - F.floor("rate")
+    up_to = lambda i: F.floor(F.col("_phase") + i * rest + 1e-9)
+    mixture = placed.withColumn("_k", k).withColumn("copies", (F.floor("rate") + up_to(F.col("_k")) - up_to(F.col("_k") - 1)).cast("bigint"))
+    mixture = mixture.select(key, "source", "tokens", "rate", "copies")
 
     facts = [(s, float(r.share), int(r.cap), int(stock[s].n) if s in stock else 0, int(duals[s].available), duals[s].target, duals[s].reachable) for r in listed for s in [r.source]]
     shape = "source string, target_share double, max_repeats int, documents bigint, available_tokens bigint, target_tokens double, reachable boolean"

@@ -88,14 +88,14 @@ def _numbered(block: Column) -> Column:
 def _mask_pairs(block: Column) -> Column:
     """Masks the marks inside quotations and brackets, but for those right before the closing mark."""
     hidden = lambda x: F.concat(
-        F.translate(F.regexp_extract(x, f"(?s)^(.*?)([{MARKS}]*)$", 1), MARKS, MASKS), F.regexp_extract(x, f"(?s)^(.*?)([{MARKS}]*)$", 2)
+        F.translate(F.regexp_extract(x, f"(?s)^(.*?)([{MARKS}]*)\\z", 1), MARKS, MASKS), F.regexp_extract(x, f"(?s)^(.*?)([{MARKS}]*)\\z", 2)
     )
     def straight(parts: Column) -> Column:
         return F.array_join(F.transform(parts, lambda x, i: F.when((i % 2 == 1) & (i < F.size(parts) - 1), hidden(x)).otherwise(x)), '"')
 
     def paired(text: Column, opening: str, closing: str) -> Column:
         pieces = F.split(text, f"(?=[{opening}])|(?<=[{closing}])")
-        whole = f"(?s)^[{opening}].*[{closing}]$"
+        whole = f"(?s)^[{opening}].*[{closing}]\\z"
         body = lambda x: F.concat(F.left(x, F.lit(1)), hidden(F.substr(x, F.lit(2), F.length(x) - 2)), F.right(x, F.lit(1)))
         return F.array_join(F.transform(pieces, lambda x: F.when(x.rlike(whole), body(x)).otherwise(x)), "")
 
