@@ -18,7 +18,7 @@ def mapped(spark, values, function, kind="string"):
 
 def odd_networks():
     rng = random.Random(1)
-    out = [None, "", "  ", "10.1.2.3", " 10.1.2.3/8 ", "010.001.002.003/24", "0.0.0.0/0", "::/0", "::1", "2001:DB8::/32", "1::8/127", "not a net", "10.0.0.0/33", "::/129", "300.1.1.1/8", "2001:db8::/32\n", "10.0.0.0/8\n", "1:2", "::ffff:10.1.2.3/120"]
+    out = [None, "", "  ", "10.1.2.3", " 10.1.2.3/8 ", "010.001.002.003/24", "0.0.0.0/0", "::/0", "::1", "2001:DB8::/32", "1::8/127", "not a net", "10.0.0.0/33", "::/129", "300.1.1.1/8", "2001:db8:c1ab::/44", "2001:db8:102a:ed00::/56", "2001:db8:a::/44", "f::/4", "1::/3", "0abc::/16", "abcd:1::/17", "2001:db8:1:2:3:4::/95", "2001:DB8:1:F::/63", "1:2:3::/40", "1:2:3::/20", "2001:db8::/32\n", "10.0.0.0/8\n", "1:2", "::ffff:10.1.2.3/120"]
     for _ in range(400):
         groups = [rng.choice(["0", "0", "0000", "db8", "0db8", "F", "1a0", "abcd"]) for _ in range(8)]
         text = ":".join(groups)
