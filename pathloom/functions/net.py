@@ -117,17 +117,26 @@ def _slow(text: Column, with_length: bool) -> Column:
 def _network(text: Column, with_length: bool) -> Column:
     """Nearly all texts are canonical or plain IPv4: those stay within generated code."""
     s = F.lower(F.btrim(text))
-    length = F.substring_index(s, "/", -1).cast("int") if with_length else F.lit(32)
-    tail = F.concat(F.lit("/"), length.cast("string")) if with_length else F.lit("")
-    v4 = s.rlike(r"^(?:0|[1-9][0-9]?|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.(?:0|[1-9][0-9]?|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}" + (r"/(?:[0-9]|[12][0-9]|3[0-2])\z" if with_length else r"\z"))
-    group = r"[1-9a-f][0-9a-f]{0,3}"
-    if with_length:  # groups without zeros up to `::`, and no bit beyond the length
-        plain6 = s.rlike(f"^{group}(?::{group}){{0,5}}::/(?:1[6-9]|[2-9][0-9]|1[01][0-9]|12[0-8])\z")
-        colons = F.length(s) - F.length(F.call_function("replace", s, F.lit(":"), F.lit("")))
-        v6 = plain6 & (length >= (colons - 1) * 16)
-    else:
-        v6 = s.rlike(f"^{group}(?::{group}){{0,5}}::{group}\z") & ~s.rlike("^(?:[^:]+:){6}:")
-    return F.when(v4, F.concat(_v4(F.substring_index(s, "/", 1), length), tail)).when(v6, s).otherwise(_slow(text, with_length))
+    octet, group = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])", r"[1-9a-f][0-9a-f]{0,3}"
+    if not with_length:
+        short = s.rlike(rf"^{octet}(?:\.{octet}){{3}}\z") | (s.rlike(rf"^{group}(?::{group}){{0,4}}::{group}\z"))
+        return F.when(short, s).otherwise(_slow(text, False))
+    # host bits are zero at a glance
+    canonical = s.rlike(rf"^{octet}\.{octet}\.(?:0\.0/(?:1[6-9]|2[0-4])|{octet}\.(?:0/24|{octet}/32))\z")
+    length = F.substring_index(s, "/", -1).cast("int")
+    v4 = s.rlike(rf"^{octet}(?:\.{octet}){{3}}/(?:[0-9]|[12][0-9]|3[0-2])\z")
+    # groups without zeros up to `::`: only the last of them may have bits to clear
+    plain6 = s.rlike(rf"^{group}(?::{group}){{0,5}}::/(?:[1-9][0-9]?|1[01][0-9]|12[0-8])\z")
+    colons = F.length(s) - F.length(F.call_function("replace", s, F.lit(":"), F.lit("")))
+    over = (colons - 1) * 16 - length
+    groups = F.substring_index(s, "::", 1)
+    last = F.substring_index(groups, ":", -1)
+    kept = F.conv(last, 16, 10).cast("int").bitwiseAND(F.lit(65536) - F.call_function("shiftleft", F.lit(1), over))
+    head = F.left(groups, F.length(groups) - F.length(last))  # with its colon, if there is one
+    cleared = F.when(kept > 0, F.concat(head, F.lower(F.hex(kept)))).otherwise(F.call_function("rtrim", F.lit(":"), head))
+    v6 = F.when(over <= 0, s).when(over < 16, F.concat(cleared, F.lit("::/"), length.cast("string"))).otherwise(_slow(text, True))
+    masked = F.concat(_v4(F.substring_index(s, "/", 1), length), F.lit("/"), length.cast("string"))
+    return F.when(canonical, s).when(plain6, v6).when(v4, masked).otherwise(_slow(text, True))
 
 
 def network(text: Column) -> Column:
