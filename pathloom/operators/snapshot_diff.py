@@ -33,6 +33,7 @@ def snapshot_changes(rows: DataFrame, index: DataFrame, group: str, stamp: str,
     """
     names = {group: "_g", stamp: "_s"}
     small = index.select(F.col(group).alias("_g"), F.col(stamp).alias("_s"), "snapshot_no", "next_stamp")
+    rows = rows.select(group, stamp, *key, *values)
     joined = rows.join(small, rows[group].eqNullSafe(small["_g"]) & (rows[stamp] == small["_s"])).drop(*names.values())
     w = Window.partitionBy(group, *key).orderBy("snapshot_no")
     # struct, not only its hash: two values with one hash would hide a change
