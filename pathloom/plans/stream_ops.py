@@ -38,13 +38,13 @@ def _text() -> Column:
 
 
 def asn_validity(spark: SparkSession, d: str) -> DataFrame:
-    tokens = _log(spark, d).select(F.explode(F.split("as_path", r"\s+")).alias("token")).filter(F.col("token").rlike("^[0-9]{1,18}$")).distinct()
+    tokens = read_updates(spark, d, HOUR, raw=True).select(F.explode(F.split("as_path", r"\s+")).alias("token")).filter(F.col("token").rlike("^[0-9]{1,18}$")).distinct()
     return tokens.select(F.col("token").cast("bigint").alias("asn")).distinct().select("asn", paths.is_public_asn(F.col("asn")).alias("valid"))
 
 
 def path_clean(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("path")
-    return _log(spark, d).select("seq", _text().alias("clean"), paths.path_length(p).cast("bigint").alias("length"), paths.origin_as(p).alias("origin_as"), paths.path_contains(p, 1004671).alias("has_target"))
+    return _log(spark, d).select("seq", _text().alias("clean"), paths.path_length(p).cast("bigint").alias("length"), paths.origin_as(p).alias("origin_as"), paths.path_contains(p, TARGET).alias("has_target"))
 
 
 def path_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -71,7 +71,7 @@ def stat_view_full(spark: SparkSession, d: str) -> DataFrame:
     return sv.stat_view(_log(spark, d), KEYS)
 
 
-TARGET = 1004671
+TARGET = 1056878
 
 
 def _ego(spark: SparkSession, d: str) -> DataFrame:
