@@ -242,24 +242,28 @@ def update_files(spark: SparkSession, d: str) -> DataFrame:
     return files.update_files(spark, "rrc91", "2025-07-01 00:00:00", "2025-07-02 00:00:00").select("collector", "path", "ts")
 
 
-def stream_window_counts(spark: SparkSession, d: str) -> DataFrame:
-    """The whole update table as a stream into hourly windows, in complete mode."""
+def stream_window_counts(spark: SparkSession, d: str, window: str = "1 hour") -> DataFrame:
+    """The whole update table as a stream into windows (hourly as in the SQL), in complete mode."""
     rows = table(spark, d, "updates")
     single = all(name.endswith("/updates.parquet") for name in rows.inputFiles())  # a file, or a folder of parts
     source = stream.read_stream(spark, d if single else f"{d}/updates.parquet", rows.schema, pattern="updates.parquet" if single else None)
     where = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     shaped = stream.shaped(source).withWatermark("ts", "400 days")
-    counts = shaped.dropDuplicatesWithinWatermark(["seq"]).groupBy("collector", F.window("ts", "1 hour").alias("win")).agg(F.count_if(F.col("type") == "A").alias("announcements"), F.count_if(F.col("type") == "W").alias("withdrawals"), F.count(F.lit(1)).alias("total_updates"))
+    counts = shaped.dropDuplicatesWithinWatermark(["seq"]).groupBy("collector", F.window("ts", window).alias("win")).agg(F.count_if(F.col("type") == "A").alias("announcements"), F.count_if(F.col("type") == "W").alias("withdrawals"), F.count(F.lit(1)).alias("total_updates"))
     counts = counts.select("collector", F.col("win.start").alias("w"), "announcements", "withdrawals", "total_updates")
     return stream.run_available(counts, f"counts_{where[-32:]}", where, "complete")
 
 
+def stream_window_counts_5min(spark: SparkSession, d: str) -> DataFrame:
+    return stream_window_counts(spark, d, "5 minutes")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         usable_features, pearson_pairs, spearman_pairs, max_dependency, daily_pair_stability, pair_rank, method_consensus, feature_labels, median_imputed, vif, condition_number, daily_vif, feature_clusters, mrmr, dcor, nmi, flag_score,
         joint_standardize, covariance_pairs, cov_gap, class_cov_gap, coral_transform, alignment_report, view_test, joint_individual, detectors, isolation_forest, kmeans_upgrade, gbt_scores, rf_scores, mlp_scores, oof_scores, time_folds,
-        tuned, calibrated_scores, stacked_fusion, explanations, update_files, stream_window_counts,
+        tuned, calibrated_scores, stacked_fusion, explanations, update_files, stream_window_counts, stream_window_counts_5min,
     )
 }
 

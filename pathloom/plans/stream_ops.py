@@ -1,4 +1,4 @@
-"""Queries over the update stream: path functions and the statistical view of one-hour windows."""
+"""Queries over the update stream: path functions and the statistical view, of one-hour windows as in the SQL and of five minutes (`_5min`)."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pathloom.operators import statview as sv
 from pathloom.sources.updates import read_updates
 
 HOUR = 3600
+FIVE_MINUTES = 300
 KEYS = ["collector", "w"]
 
 # Fixed values of the AS numbers that are removed, as DuckDB SQL; asn stands for the number.
@@ -29,8 +30,8 @@ u AS (
 """
 
 
-def _log(spark: SparkSession, d: str) -> DataFrame:
-    return read_updates(spark, d, HOUR)
+def _log(spark: SparkSession, d: str, seconds: int = HOUR) -> DataFrame:
+    return read_updates(spark, d, seconds)
 
 
 def _text() -> Column:
@@ -60,34 +61,50 @@ def path_edit_distance(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("seq", paths.edit_distance(F.col("before"), F.col("path")).cast("bigint").alias("distance"))
 
 
-def _part(name):
+def _part(name, seconds=HOUR):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return getattr(sv, name)(_log(spark, d), KEYS)
+        return getattr(sv, name)(_log(spark, d, seconds), KEYS)
 
     return run
 
 
-def stat_view_full(spark: SparkSession, d: str) -> DataFrame:
-    return sv.stat_view(_log(spark, d), KEYS)
-
-
 TARGET = 1056878
 
 
-def _ego(spark: SparkSession, d: str) -> DataFrame:
+def _ego(log: DataFrame) -> DataFrame:
     """The target's neighbours within the collector's paths."""
-    e = _log(spark, d).select("collector", F.explode(paths.path_edges(F.col("path"))).alias("e")).select("collector", "e.u", "e.v")
+    e = log.select("collector", F.explode(paths.path_edges(F.col("path"))).alias("e")).select("collector", "e.u", "e.v")
     near = e.filter((F.col("u") == TARGET) | (F.col("v") == TARGET))
     return near.select("collector", F.explode(F.array("u", "v")).alias("asn")).distinct()
 
 
-def ego_filter_ratio(spark: SparkSession, d: str) -> DataFrame:
-    log = _log(spark, d)
-    return sv.ego_filter_ratio(log, sv.ego_filter(log, _ego(spark, d), TARGET, ["collector"]), KEYS)
+def ego_filter_ratio(spark: SparkSession, d: str, seconds: int = HOUR) -> DataFrame:
+    log = _log(spark, d, seconds)
+    return sv.ego_filter_ratio(log, sv.ego_filter(log, _ego(log), TARGET, ["collector"]), KEYS)
+
+
+def ego_filter_ratio_5min(spark: SparkSession, d: str) -> DataFrame:
+    return ego_filter_ratio(spark, d, FIVE_MINUTES)
 
 
 def ego_filter_any_hop(spark: SparkSession, d: str) -> DataFrame:
-    return sv.ego_filter(_log(spark, d), _ego(spark, d), TARGET, ["collector"], "any_hop").select("seq")
+    log = _log(spark, d)
+    return sv.ego_filter(log, _ego(log), TARGET, ["collector"], "any_hop").select("seq")
+
+
+WINDOWED = {
+    "win_volume": "volumes",
+    "win_peers": "peers",
+    "win_prefix": "prefixes",
+    "win_new_prefixes": "new_prefixes",
+    "win_dups": "duplicates",
+    "win_path_stats": "path_lengths",
+    "win_unique_paths": "distinct_paths",
+    "win_edit_hist": "path_edits",
+    "win_rare_as": "rare_ases",
+    "win_implicit_wd": "implicit_withdrawals",
+    "stat_view_full": "stat_view",
+}
 
 
 QUERIES = {
@@ -95,18 +112,10 @@ QUERIES = {
     "path_clean": path_clean,
     "path_edges": path_edges,
     "path_edit_distance": path_edit_distance,
-    "win_volume": _part("volumes"),
-    "win_peers": _part("peers"),
-    "win_prefix": _part("prefixes"),
-    "win_new_prefixes": _part("new_prefixes"),
-    "win_dups": _part("duplicates"),
-    "win_path_stats": _part("path_lengths"),
-    "win_unique_paths": _part("distinct_paths"),
-    "win_edit_hist": _part("path_edits"),
-    "win_rare_as": _part("rare_ases"),
-    "win_implicit_wd": _part("implicit_withdrawals"),
-    "stat_view_full": stat_view_full,
+    **{query: _part(name) for query, name in WINDOWED.items()},
+    **{f"{query}_5min": _part(name, FIVE_MINUTES) for query, name in WINDOWED.items()},
     "ego_filter_ratio": ego_filter_ratio,
+    "ego_filter_ratio_5min": ego_filter_ratio_5min,
     "ego_filter_any_hop": ego_filter_any_hop,
 }
 
