@@ -1,7 +1,7 @@
-"""Anomaly detectors and clusterings that Spark ML lacks, as NumPy kernels over groups of bounded size.
+"""Anomaly detectors and clusterings that Spark ML lacks, as NumPy kernels over groups.
 
-A group is one domain's windows (some ten thousand rows). Groups are spread over the cluster by key;
-`most_rows` guards a task's memory: a larger group is an error and must be cut into batches by the caller.
+A group is one domain's windows, all of them. Groups are spread over the cluster by key. A task's memory is linear in
+its group's rows (distances come in blocks), its time quadratic; `most_rows` may be given to refuse larger groups.
 Isolation trees are fitted on a bounded hash sample (parameter `sample`) and score every row.
 """
 
@@ -68,24 +68,62 @@ def _distances(x: np.ndarray) -> np.ndarray:
     return d
 
 
-def local_outlier_factor(d: np.ndarray, k: int) -> np.ndarray:
-    k = min(k, len(d) - 1)
-    near = np.argpartition(d, k - 1, axis=1)[:, :k]
-    reach = np.take_along_axis(d, near, axis=1)
+def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of the rows of x from those of y, column by column: the same for a row alone or in a block."""
+    out = np.zeros((len(x), len(y)))
+    for j in range(x.shape[1]):
+        gap = x[:, j, None] - y[None, :, j]
+        gap *= gap
+        out += gap
+    return out
+
+
+def nearest(x: np.ndarray, k: int, rank: int, cells: int = 4_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest other rows of each row (near, reach; nearest first) and the distance of the rank-th, exactly, over
+    blocks of at most `cells` distances."""
+    n = len(x)
+    k, rank = min(k, n - 1), min(rank, n - 1)
+    near, reach, core = np.empty((n, k), dtype=np.int64), np.empty((n, k)), np.empty(n)
+    step = max(1, cells // n)
+    for at in range(0, n, step):
+        d = _squares(x[at : at + step], x)
+        own = np.arange(len(d))
+        d[own, at + own] = np.inf
+        most = max(k, rank)
+        first = np.argpartition(d, most - 1, axis=1)[:, :most]
+        value = np.take_along_axis(d, first, axis=1)
+        order = np.lexsort((first, value), axis=1)
+        value = np.sqrt(np.take_along_axis(value, order, axis=1))
+        near[at : at + step] = np.take_along_axis(first, order, axis=1)[:, :k]
+        reach[at : at + step], core[at : at + step] = value[:, :k], value[:, rank - 1]
+    return near, reach, core
+
+
+def _factor(near: np.ndarray, reach: np.ndarray) -> np.ndarray:
     radius = reach.max(axis=1)
     density = 1 / np.maximum(np.maximum(reach, radius[near]).mean(axis=1), 1e-12)
     return density[near].mean(axis=1) / density
 
 
-def tuned_neighbours(d: np.ndarray, candidates: Sequence[int] = (5, 10, 15, 20, 25, 30, 40, 50), limit: float = 1.5) -> int:
+def local_outlier_factor(d: np.ndarray, k: int) -> np.ndarray:
+    k = min(k, len(d) - 1)
+    near = np.argpartition(d, k - 1, axis=1)[:, :k]
+    return _factor(near, np.take_along_axis(d, near, axis=1))
+
+
+CANDIDATES = (5, 10, 15, 20, 25, 30, 40, 50)
+
+
+def tuned_neighbours(near: np.ndarray, reach: np.ndarray, candidates: Sequence[int] = CANDIDATES, limit: float = 1.5) -> int:
     """The candidate whose outlier rate changes least from its neighbours; ties to the nearest to sqrt(n) within 10 and 50."""
-    fit = [k for k in candidates if k < len(d)]
+    n = len(near)
+    fit = [k for k in candidates if k < n]
     if len(fit) < 2:
-        return max(1, min(10, len(d) - 1))
-    rates = np.array([(local_outlier_factor(d, k) > limit).mean() for k in fit])
+        return max(1, min(10, n - 1))
+    rates = np.array([(_factor(near[:, :k], reach[:, :k]) > limit).mean() for k in fit])
     change = np.abs(np.diff(rates))
     local = [change[max(i - 1, 0) : i + 1].mean() for i in range(len(fit))]
-    wish = np.clip(np.sqrt(len(d)), 10, 50)
+    wish = np.clip(np.sqrt(n), 10, 50)
     return fit[min(range(len(fit)), key=lambda i: (round(local[i], 12), abs(fit[i] - wish)))]
 
 
@@ -108,21 +146,25 @@ def robust_covariance(x: np.ndarray, share: float = 0.75, starts: int = 20, seed
     return best[1], best[2]
 
 
-def density_outliers(d: np.ndarray, smallest: int) -> np.ndarray:
+def density_outliers(x: np.ndarray, core: np.ndarray, smallest: int) -> np.ndarray:
     """Outlier scores of a density hierarchy: how much less dense a point is than the densest point of the
-    cluster it leaves. Mutual-reachability spanning tree, condensed with clusters of at least `smallest`."""
-    n = len(d)
-    k = min(smallest, n - 1)
-    core = np.partition(d, k - 1, axis=1)[:, k - 1]
-    mutual = np.maximum(np.maximum(core[:, None], core[None]), np.where(np.isfinite(d), d, 0.0))
-    inside, best, origin, links = np.zeros(n, dtype=bool), np.full(n, np.inf), np.zeros(n, dtype=np.int64), []
+    cluster it leaves. Mutual-reachability spanning tree of the rows x with their core distances, condensed with
+    clusters of at least `smallest`. The tree takes the distances of one row at a time."""
+    n = len(x)
+    left, best, origin, links = np.arange(1, n), np.full(n - 1, np.inf), np.zeros(n - 1, dtype=np.int64), []
+    rest, far = x[1:].copy(), core[1:].copy()
     v = 0
     for _ in range(n - 1):
-        inside[v] = True
-        nearer = ~inside & (mutual[v] < best)
-        best[nearer], origin[nearer] = mutual[v][nearer], v
-        v = int(np.argmin(np.where(inside, np.inf, best)))
-        links.append((best[v], origin[v], v))
+        mutual = np.maximum(np.maximum(np.sqrt(_squares(x[v : v + 1], rest)[0]), far), core[v])
+        nearer = mutual < best
+        best[nearer], origin[nearer] = mutual[nearer], v
+        i = int(np.argmin(best))
+        v = int(left[i])
+        links.append((best[i], origin[i], v))
+        last = len(best) - 1
+        for a in (left, best, origin, rest, far):  # the last takes the place of the one that is in
+            a[i] = a[last]
+        left, best, origin, rest, far = left[:last], best[:last], origin[:last], rest[:last], far[:last]
     links.sort()
     parent, size = list(range(2 * n - 1)), [1] * n + [0] * (n - 1)
     children, weight = {}, {}
@@ -183,12 +225,12 @@ def _leaves(node: int, children: dict, n: int):
             stack.extend(children[x])
 
 
-def detect(rows: DataFrame, group: str, key: str, columns: Sequence[str], most_rows: int = 20_000) -> DataFrame:
+def detect(rows: DataFrame, group: str, key: str, columns: Sequence[str], most_rows: int | None = None) -> DataFrame:
     """Per group: LOF with a tuned neighbourhood, robust distance (MCD) and density outlier score of each row."""
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most_rows:
+        if most_rows is not None and len(pdf) > most_rows:
             raise ValueError(f"a group of {len(pdf)} rows; most_rows is {most_rows}")
         pdf = pdf.sort_values(key, ignore_index=True)
         x = pdf[list(columns)].to_numpy(dtype=np.float64)
@@ -198,13 +240,14 @@ def detect(rows: DataFrame, group: str, key: str, columns: Sequence[str], most_r
         if n > 3:
             q = np.percentile(x, [25, 50, 75], axis=0)
             z = (x - q[1]) / np.where(q[2] > q[0], q[2] - q[0], 1.0)
-            d = _distances(z)
-            k = tuned_neighbours(d)
-            out["neighbours"], out["lof"] = k, local_outlier_factor(d, k)
+            smallest = min(max(20, int(0.005 * n)), n - 1)
+            near, reach, core = nearest(z, max(CANDIDATES), smallest)
+            k = tuned_neighbours(near, reach)
+            out["neighbours"], out["lof"] = k, _factor(near[:, :k], reach[:, :k])
             if n > 5 * p:
                 m, c = robust_covariance(z)
                 out["mcd_distance"] = np.sqrt(np.einsum("ij,jk,ik->i", z - m, np.linalg.inv(c), z - m))
-            out["glosh"] = density_outliers(d, min(max(20, int(0.005 * n)), n - 1))
+            out["glosh"] = density_outliers(z, core, smallest)
         return out
 
     shape = f"`{group}` {kinds[group]}, `{key}` {kinds[key]}, neighbours int, lof double, mcd_distance double, glosh double"

@@ -177,9 +177,8 @@ def joint_individual(spark: SparkSession, d: str) -> DataFrame:
 
 
 def detectors(spark: SparkSession, d: str) -> DataFrame:
-    """LOF, robust distance and density outliers of each domain's windows, in batches of a few days."""
-    rows = _numeric(spark, d).withColumn("batch", F.concat_ws("|", "domain", (F.floor(F.unix_micros("w") / (4 * 86_400_000_000))).cast("string")))
-    return dt.detect(rows, "batch", "row_id", COLUMNS[:3])
+    """LOF, robust distance and density outliers of each domain's windows, all of a domain together."""
+    return dt.detect(_numeric(spark, d), "domain", "row_id", COLUMNS[:3])
 
 
 def isolation_forest(spark: SparkSession, d: str) -> DataFrame:

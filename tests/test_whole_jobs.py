@@ -2,9 +2,15 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from pathloom.operators import detectors as de
+from pathloom.plans.label_ops import COLUMNS as MEASURES
+from pathloom.plans.label_ops import _numeric
+from pathloom.session import table
 from tests.test_topology_stream import COLUMNS, T0, random_log, replay
 
 MINUTE = dt.timedelta(minutes=1)
@@ -44,3 +50,26 @@ def test_views_of_five_minutes(spark, updates):
     for name in ("stat_view_full_5min", "win_volume_5min", "stream_window_counts_5min"):
         assert {r.w: (r.announcements, r.withdrawals) for r in entry.queries()[name](spark, d).collect()} == want, name
     assert {r.w for r in entry.queries()["ego_filter_ratio_5min"](spark, d).collect()} == set(want)
+
+
+def test_detectors_score_against_the_whole_domain(spark, data, tmp_path):
+    later = F.timestamp_micros(F.unix_micros(F.col("window_start").cast("timestamp")) + F.pmod("row_id", F.lit(9)) * 86_400_000_000)
+    table(spark, data, "labelled_windows").withColumn("window_start", later).write.parquet(str(tmp_path / "labelled_windows.parquet"))
+    got = entry.queries()["detectors"](spark, str(tmp_path)).toPandas().set_index("row_id")
+    rows = _numeric(spark, str(tmp_path)).toPandas()
+    assert len(got) == len(rows)
+    for _, part in rows.groupby("domain"):
+        x = part[MEASURES[:3]].to_numpy(dtype=float)
+        q = np.percentile(x, [25, 50, 75], axis=0)
+        z = (x - q[1]) / np.where(q[2] > q[0], q[2] - q[0], 1.0)
+        mine = got.loc[part["row_id"]]
+        assert part["w"].max() - part["w"].min() > dt.timedelta(days=4) and mine["neighbours"].nunique() == 1
+        d = np.sqrt(((z[:, None] - z[None]) ** 2).sum(axis=2))
+        np.fill_diagonal(d, np.inf)
+        assert mine["lof"].to_numpy() == pytest.approx(de.local_outlier_factor(d, int(mine["neighbours"].iloc[0])), rel=1e-6)
+
+
+def test_detectors_take_large_groups(spark):
+    rows = spark.range(20_100).selectExpr("id", "'g' AS g", "CASE WHEN id = 7 THEN 900.0 ELSE sin(id) END AS x", "CAST(id % 997 AS DOUBLE) AS y")
+    got = de.detect(rows, "g", "id", ["x", "y"]).toPandas().set_index("id")
+    assert len(got) == 20_100 and got["lof"].idxmax() == 7
