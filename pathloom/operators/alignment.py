@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.operators.redundancy import hash_sample
@@ -76,22 +76,107 @@ def coral(source: DataFrame, target: DataFrame, columns: Sequence[str], reg: flo
     return apply_matrix(source, columns, matrix, means(source), means(target))
 
 
-def mmd_rbf(a: DataFrame, b: DataFrame, columns: Sequence[str], key: str, most: int = 1024, bandwidth: float | None = None) -> tuple[DataFrame, float]:
-    """Squared maximum mean discrepancy (biased) with a Gaussian kernel on a hash sample of at most `most`
-    rows of each domain, the documented bound of this quadratic measure; and the bandwidth used: the median
-    positive squared distance unless given, so that it can be kept from before an alignment."""
-    vector = F.array(*[F.col(c).cast("double") for c in columns])
-    x, y = [np.array([r[0] for r in hash_sample(df.filter(F.forall(vector, lambda v: v.isNotNull())), key, most).select(vector).collect()]) for df in (a, b)]
+def mmd2(x: np.ndarray, y: np.ndarray, bandwidth: float | None = None) -> tuple[float, float]:
+    """Biased squared discrepancy with a Gaussian kernel, and its bandwidth."""
     square = lambda p, q: np.maximum((p**2).sum(1)[:, None] + (q**2).sum(1)[None] - 2 * p @ q.T, 0.0)
     every = np.concatenate([x, y])
     if bandwidth is None:
         d = square(every, every)
         bandwidth = float(np.median(d[d > 1e-12])) if (d > 1e-12).any() else 1.0
     k = lambda p, q: float(np.exp(-square(p, q) / bandwidth).mean())
-    value = k(x, x) + k(y, y) - 2 * k(x, y)
+    return k(x, x) + k(y, y) - 2 * k(x, y), bandwidth
+
+
+def mmd_rbf(a: DataFrame, b: DataFrame, columns: Sequence[str], key: str, most: int = 1024, bandwidth: float | None = None) -> tuple[DataFrame, float]:
+    """Squared maximum mean discrepancy (biased) with a Gaussian kernel on a hash sample of at most `most`
+    rows of each domain, the documented bound of this quadratic measure; and the bandwidth used: the median
+    positive squared distance unless given, so that it can be kept from before an alignment."""
+    vector = F.array(*[F.col(c).cast("double") for c in columns])
+    x, y = [np.array([r[0] for r in hash_sample(df.filter(F.forall(vector, lambda v: v.isNotNull())), key, most).select(vector).collect()]) for df in (a, b)]
+    value, bandwidth = mmd2(x, y, bandwidth)
     return a.sparkSession.createDataFrame([(value, bandwidth, len(x), len(y))], "mmd2 double, bandwidth double, n_source long, n_target long"), bandwidth
 
 
+def domain_moments(rows: DataFrame, columns: Sequence[str], domain: str) -> dict:
+    """(n, means, covariance) of each domain's rows, which have no nulls: one pass, a row a domain on the driver."""
+    d, at = len(columns), {c: i for i, c in enumerate(columns)}
+    cells = [F.covar_samp(a, b).alias(f"{a}|{b}") for i, a in enumerate(columns) for b in columns[i:]]
+    out = {}
+    for r in rows.groupBy(domain).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.avg(c) for c in columns]).alias("m"), *cells).filter(F.col(domain).isNotNull()).collect():
+        cov = np.zeros((d, d))
+        for name, x in r.asDict().items():
+            if "|" in name:
+                a, b = name.split("|")
+                cov[at[a], at[b]] = cov[at[b], at[a]] = x or 0.0
+        out[r[domain]] = (r.n, np.array(r.m), cov)
+    return out
+
+
+def pair_scale(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation (ddof 0; 1 where constant) of two domains together."""
+    n = a[0] + b[0]
+    mean = (a[0] * a[1] + b[0] * b[1]) / n
+    squares = sum((k - 1) * np.diag(c) + k * (m - mean) ** 2 for k, m, c in (a, b))
+    s = np.sqrt(squares / n)
+    return mean, np.where(s > 1e-12, s, 1.0)
+
+
+def pair_maps(moments: dict, reg: float = 1e-3) -> dict:
+    """For every ordered pair of domains: mean and scale of both together, the standardised covariances, and CORAL's
+    (before, matrix, after) for standardised source rows."""
+    out = {}
+    for a, x in moments.items():
+        for b, y in moments.items():
+            if a != b:
+                mean, s = pair_scale(x, y)
+                ca, cb, eye = x[2] / np.outer(s, s), y[2] / np.outer(s, s), reg * np.eye(len(s))
+                out[a, b] = {"mean": mean, "scale": s, "cov": (ca, cb), "before": (x[1] - mean) / s, "matrix": matrix_power(ca + eye, -0.5) @ matrix_power(cb + eye, 0.5), "after": (y[1] - mean) / s}
+    return out
+
+
+def mapped_pairs(rows: DataFrame, columns: Sequence[str], domain: str, key: str, maps: dict) -> DataFrame:
+    """source, target, key and the columns as (x - before) @ matrix + after, for each row and each pair whose source is
+    its domain. maps: (source, target) to (before, matrix, after); features squared numbers a pair are broadcast."""
+    spark = rows.sparkSession
+    shape = "source string, target string, _b array<double>, _m array<array<double>>, _a array<double>"
+    given = spark.createDataFrame([(a, b, list(map(float, before)), [list(map(float, c)) for c in matrix.T], list(map(float, after))) for (a, b), (before, matrix, after) in maps.items()], shape)
+    wide = rows.select(F.col(domain).alias("source"), key, F.array(*[F.col(c).cast("double") for c in columns]).alias("_x")).join(F.broadcast(given), "source")
+    centred = wide.withColumn("_x", F.zip_with("_x", "_b", lambda x, b: x - b))
+    dot = lambda j: F.aggregate(F.zip_with("_x", F.get("_m", F.lit(j)), lambda x, w: x * w), F.lit(0.0), lambda t, x: t + x)
+    return centred.select("source", "target", key, *[(dot(j) + F.get("_a", F.lit(j))).alias(c) for j, c in enumerate(columns)])
+
+
+def pair_reports(rows: DataFrame, columns: Sequence[str], domain: str, key: str, most: int = 1024) -> DataFrame:
+    """Covariance gap and MMD of every ordered pair before and after CORAL, the latter with the bandwidth from before.
+
+    Gaps are of all rows. MMD is of a hash sample of at most `most` rows of each domain (documented bound)."""
+    moments = domain_moments(rows, columns, domain)
+    order = Window.partitionBy(domain).orderBy(F.xxhash64(F.lit(42), F.col(key)), key)
+    picked = rows.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most).select(domain, F.array(*[F.col(c).cast("double") for c in columns]).alias("v")).collect()
+    sample = {a: np.array([r.v for r in picked if r[domain] == a]) for a in moments}
+    out = []
+    for (a, b), m in pair_maps(moments).items():
+        x, y = (sample[a] - m["mean"]) / m["scale"], (sample[b] - m["mean"]) / m["scale"]
+        moved = (x - m["before"]) @ m["matrix"] + m["after"]
+        before, width = mmd2(x, y)
+        # CORAL makes a covariance C of the source M' C M
+        ca, cb = m["cov"]
+        out.append((a, b, "before", float(np.linalg.norm(ca - cb)), before))
+        out.append((a, b, "after", float(np.linalg.norm(m["matrix"].T @ ca @ m["matrix"] - cb)), mmd2(moved, y, width)[0]))
+    return rows.sparkSession.createDataFrame(out, "source string, target string, stage string, frobenius_gap double, mmd2 double")
+
+
+def pair_gaps(rows: DataFrame, columns: Sequence[str], domain: str, y: str) -> DataFrame:
+    """Covariance gap of each class and of all rows ('global') for every ordered pair of domains."""
+    each = covariance_pairs(rows, columns, [domain, y]).withColumn("class", F.col(y).cast("string")).drop(y)
+    every = each.unionByName(covariance_pairs(rows, columns, [domain]).withColumn("class", F.lit("global")))
+    a = every.withColumnsRenamed({domain: "source", "cov": "ca"})
+    b = every.withColumnsRenamed({domain: "target", "cov": "cb"})
+    times = F.when(F.col("feature_a") == F.col("feature_b"), 1).otherwise(2)
+    both = a.join(b, ["class", "feature_a", "feature_b"]).filter("source <> target")
+    return both.groupBy("source", "target", "class").agg(F.sqrt(F.sum(times * F.pow(F.col("ca") - F.col("cb"), 2))).alias("frobenius_gap"))
+
+
 def class_gaps(a: DataFrame, b: DataFrame, columns: Sequence[str], y: str) -> DataFrame:
     """Covariance gap of each class and of all rows."""
     parts = [covariance_gap(a, b, columns).withColumn("class", F.lit("global"))]

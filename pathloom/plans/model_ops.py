@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,7 +84,6 @@ def condition_number(spark: SparkSession, d: str) -> DataFrame:
 
 def daily_vif(spark: SparkSession, d: str) -> DataFrame:
     """Variance inflation and condition number by day: a day's matrix is features times features."""
-    import numpy as np
     import pandas as pd
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -153,19 +153,38 @@ def class_cov_gap(spark: SparkSession, d: str) -> DataFrame:
     return al.class_gaps(rows.filter(F.col("domain") == F.lit(ends.a)), rows.filter(F.col("domain") == F.lit(ends.b)), COLUMNS, "binary")
 
 
+def _pair_maps(spark: SparkSession, d: str) -> tuple[DataFrame, dict]:
+    rows = _matrix(spark, d)
+    return rows, al.pair_maps(al.domain_moments(rows, FEATURES, "collector"))
+
+
+def joint_standardize_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of each collector, standardised together with each other collector."""
+    rows, maps = _pair_maps(spark, d)
+    scaling = {p: (m["mean"], np.diag(1 / m["scale"]), np.zeros(len(FEATURES))) for p, m in maps.items()}
+    return al.mapped_pairs(rows, FEATURES, "collector", "feature_id", scaling)
+
+
+def cov_gap_pairs(spark: SparkSession, d: str) -> DataFrame:
+    _, maps = _pair_maps(spark, d)
+    return spark.createDataFrame([(a, b, float(np.linalg.norm(m["cov"][0] - m["cov"][1]))) for (a, b), m in maps.items()], "source string, target string, frobenius_gap double")
+
+
+def class_cov_gap_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return al.pair_gaps(_numeric(spark, d).filter("binary is not null"), COLUMNS, "domain", "binary")
+
+
 def coral_transform(spark: SparkSession, d: str) -> DataFrame:
-    a, b = al.joint_standardize(*_domains(spark, d), FEATURES)
-    return al.coral(a, b, FEATURES).select("feature_id", *FEATURES)
+    """Rows of each collector aligned to each other collector, in the scale of both together."""
+    rows, maps = _pair_maps(spark, d)
+    # (x - mean) / scale - before, times matrix: the scale goes into the matrix
+    coral = {p: (m["mean"] + m["scale"] * m["before"], m["matrix"] / m["scale"][:, None], m["after"]) for p, m in maps.items()}
+    return al.mapped_pairs(rows, FEATURES, "collector", "feature_id", coral)
 
 
 def alignment_report(spark: SparkSession, d: str) -> DataFrame:
-    """Covariance gap and MMD before and after, the latter with the bandwidth from before."""
-    a, b = al.joint_standardize(*_domains(spark, d), FEATURES)
-    moved = al.coral(a, b, FEATURES)
-    before, width = al.mmd_rbf(a, b, FEATURES, "feature_id", 512)
-    after, _ = al.mmd_rbf(moved, b, FEATURES, "feature_id", 512, width)
-    rows = [("before", al.covariance_gap(a, b, FEATURES).first()[0], before.first().mmd2), ("after", al.covariance_gap(moved, b, FEATURES).first()[0], after.first().mmd2)]
-    return spark.createDataFrame(rows, "stage string, frobenius_gap double, mmd2 double")
+    """Covariance gap and MMD before and after for every ordered pair of collectors."""
+    return al.pair_reports(_matrix(spark, d), FEATURES, "collector", "feature_id")
 
 
 def view_test(spark: SparkSession, d: str) -> DataFrame:
@@ -261,7 +280,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         usable_features, pearson_pairs, spearman_pairs, max_dependency, daily_pair_stability, pair_rank, method_consensus, feature_labels, median_imputed, vif, condition_number, daily_vif, feature_clusters, mrmr, dcor, nmi, flag_score,
-        joint_standardize, covariance_pairs, cov_gap, class_cov_gap, coral_transform, alignment_report, view_test, joint_individual, detectors, isolation_forest, kmeans_upgrade, gbt_scores, rf_scores, mlp_scores, oof_scores, time_folds,
+        joint_standardize, joint_standardize_pairs, covariance_pairs, cov_gap, cov_gap_pairs, class_cov_gap, class_cov_gap_pairs, coral_transform, alignment_report, view_test, joint_individual, detectors, isolation_forest, kmeans_upgrade, gbt_scores, rf_scores, mlp_scores, oof_scores, time_folds,
         tuned, calibrated_scores, stacked_fusion, explanations, update_files, stream_window_counts, stream_window_counts_5min,
     )
 }

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from pathloom.operators import alignment as al
 from pathloom.operators import detectors as de
 from pathloom.plans.label_ops import COLUMNS as MEASURES
 from pathloom.plans.label_ops import _numeric
@@ -73,3 +74,43 @@ def test_detectors_take_large_groups(spark):
     rows = spark.range(20_100).selectExpr("id", "'g' AS g", "CASE WHEN id = 7 THEN 900.0 ELSE sin(id) END AS x", "CAST(id % 997 AS DOUBLE) AS y")
     got = de.detect(rows, "g", "id", ["x", "y"]).toPandas().set_index("id")
     assert len(got) == 20_100 and got["lof"].idxmax() == 7
+
+
+def test_every_ordered_pair_of_domains(spark):
+    from pathloom.plans.model_ops import FEATURES, _matrix
+
+    d = "/root/testdata/sf0.01"
+    q, rows = entry.queries(), _matrix(spark, d).cache()
+    names = sorted(r[0] for r in rows.select("collector").distinct().collect())
+    pairs = {(a, b) for a in names for b in names if a != b}
+    assert len(names) == 4
+    gaps = {(r.source, r.target): r.frobenius_gap for r in q["cov_gap_pairs"](spark, d).collect()}
+    report = {(r.source, r.target, r.stage): r for r in q["alignment_report"](spark, d).collect()}
+    coral, scaled = q["coral_transform"](spark, d).toPandas(), q["joint_standardize_pairs"](spark, d).toPandas()
+    assert set(gaps) == pairs and {p[:2] for p in report} == pairs and len(report) == 24
+    assert len(coral) == len(scaled) == 3 * rows.count()
+    for a, b in ((names[1], names[2]), (names[3], names[0])):
+        x, y = al.joint_standardize(rows.filter(F.col("collector") == a), rows.filter(F.col("collector") == b), FEATURES)
+        moved = al.coral(x, y, FEATURES)
+        assert gaps[a, b] == pytest.approx(al.covariance_gap(x, y, FEATURES).first()[0])
+        for got, want in ((coral, moved), (scaled, x)):
+            want = want.select("feature_id", *FEATURES).toPandas().set_index("feature_id").sort_index()
+            got = got[(got["source"] == a) & (got["target"] == b)].set_index("feature_id").sort_index()
+            assert got[FEATURES].to_numpy() == pytest.approx(want.to_numpy(), abs=1e-6)
+        before, width = al.mmd_rbf(x, y, FEATURES, "feature_id")
+        after, _ = al.mmd_rbf(moved, y, FEATURES, "feature_id", bandwidth=width)
+        assert report[a, b, "before"].mmd2 == pytest.approx(before.first().mmd2, abs=1e-6)
+        assert report[a, b, "after"].mmd2 == pytest.approx(after.first().mmd2, abs=1e-6)
+        assert report[a, b, "after"].frobenius_gap == pytest.approx(al.covariance_gap(moved, y, FEATURES).first()[0], abs=1e-6)
+    rows.unpersist()
+
+
+def test_class_gaps_of_every_pair(spark):
+    d = "/root/testdata/sf0.01"
+    rows = _numeric(spark, d).filter("binary is not null")
+    got = {(r.source, r.target, r["class"]): r.frobenius_gap for r in entry.queries()["class_cov_gap_pairs"](spark, d).collect()}
+    assert len({k[:2] for k in got}) == 12
+    a, b = sorted({k[0] for k in got})[1:3]
+    want = al.class_gaps(rows.filter(F.col("domain") == a), rows.filter(F.col("domain") == b), MEASURES, "binary")
+    for r in want.collect():
+        assert got[a, b, r["class"]] == pytest.approx(r.frobenius_gap)
