@@ -79,8 +79,11 @@ def valley_free_rates(checks: DataFrame, keys: list[str], prefix: str = "") -> D
 
 def ego_rates(whole: DataFrame, ego: DataFrame, keys: list[str]) -> DataFrame:
     """Ego-scoped rates beside the global ones; the difference is that of the rounded rates."""
-    out = whole.join(ego, keys, "left")
-    out = out.withColumn("vf_rate_delta", F.round(F.col("ego_valley_free_rate") - F.col("valley_free_rate"), 6))
+    return ego_differences(whole.join(ego, keys, "left"))
+
+
+def ego_differences(rates: DataFrame) -> DataFrame:
+    out = rates.withColumn("vf_rate_delta", F.round(F.col("ego_valley_free_rate") - F.col("valley_free_rate"), 6))
     return out.withColumn("ego_vf_paths_frac", F.when(F.col("paths_checked") > 0, F.round(F.col("ego_paths_checked") / F.col("paths_checked"), 6)))
 
 

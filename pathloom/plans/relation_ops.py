@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pathloom.operators import graph as g
 from pathloom.operators import relations as r
 from pathloom.plans.graph_ops import E_SQL, KEYS, _targets, snapshot_edges
-from pathloom.plans.stream_ops import TARGET, UPDATES_SQL
+from pathloom.plans.stream_ops import TARGET, UPDATES_SQL, _ego
 from pathloom.sources.updates import read_updates
 
 
@@ -76,14 +76,23 @@ def vf_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ego_vf_rates(spark: SparkSession, d: str) -> DataFrame:
-    """Rates of the paths through the 500 smallest numbers seen, beside all; and violations by the target's role."""
+    """Rates of the paths through the target's ego network, beside all; and violations by the target's role.
+
+    Each path counts once for every scope it is in (all, the ego network, its target's role), in one aggregate; the
+    network's nodes, at most the target's neighbours, are broadcast.
+    """
     log, relations = _paths(spark, d)
-    checks = r.path_checks(log, "seq", relations).join(log, "seq")
-    ego = checks.filter(F.exists("path", lambda x: x % 50 == 0))
-    whole, part = r.valley_free_rates(checks, ["collector"]), r.valley_free_rates(ego, ["collector"], "ego_")
-    role = r.target_role(F.col("path"), TARGET)
-    bad = ego.filter("known > 0 and not valid").groupBy("collector").agg(F.count_if(role == "transit").alias("ego_transit_violations"), F.count_if(role == "origin").alias("ego_origin_violations"))
-    return r.ego_rates(whole, part, ["collector"]).join(bad, "collector", "left").na.fill(0, ["ego_transit_violations", "ego_origin_violations"])
+    hops = log.select("seq", "collector", F.explode("path").alias("asn"))
+    near = hops.join(F.broadcast(_ego(log)), ["collector", "asn"], "left_semi").select("seq").distinct().withColumn("near", F.lit(True))
+    facts = log.select("seq", "collector", r.target_role(F.col("path"), TARGET).alias("role"))
+    checks = r.path_checks(log, "seq", relations).join(facts, "seq").join(near, "seq", "left")
+    scopes = F.array_compact(F.array(F.lit("all"), F.when(F.col("near"), F.lit("ego")), F.when(F.col("near"), F.col("role"))))
+    rates = r.valley_free_rates(checks.withColumn("scope", F.explode(scopes)), ["collector", "scope"])
+    of = lambda scope, c: F.max(F.when(F.col("scope") == scope, F.col(c)))
+    measures = [c for c in rates.columns if c not in ("collector", "scope")]
+    bad = [F.coalesce(of(role, "valley_free_violations"), F.lit(0)).alias(f"ego_{role}_violations") for role in ("transit", "origin")]
+    wide = rates.groupBy("collector").agg(*[of("all", c).alias(c) for c in measures], *[of("ego", c).alias(f"ego_{c}") for c in measures], *bad)
+    return r.ego_differences(wide)
 
 
 def ixp_vectors(spark: SparkSession, d: str) -> DataFrame:

@@ -10,7 +10,10 @@ import __spark_entry__ as entry
 from pathloom.operators import alignment as al
 from pathloom.operators import detectors as de
 from pathloom.plans.label_ops import COLUMNS as MEASURES
+from pathloom.operators import relations as r
 from pathloom.plans.label_ops import _numeric
+from pathloom.plans.relation_ops import _paths
+from pathloom.plans.stream_ops import TARGET
 from pathloom.session import table
 from tests.test_topology_stream import COLUMNS, T0, random_log, replay
 
@@ -114,3 +117,19 @@ def test_class_gaps_of_every_pair(spark):
     want = al.class_gaps(rows.filter(F.col("domain") == a), rows.filter(F.col("domain") == b), MEASURES, "binary")
     for r in want.collect():
         assert got[a, b, r["class"]] == pytest.approx(r.frobenius_gap)
+
+
+def test_ego_rates_are_of_the_targets_network(spark, updates):
+    t = TARGET
+    # neighbours of the target in c: 11 and 13; none of them is a multiple of 50, and 100, 200 and 300 are not in its network
+    paths = [f"11 {t} 13", f"{t} 11 17", "13 19 23", "100 200 300", "29 31 37"]
+    d = updates([update(2 * i, i, "A", p) for i, p in enumerate(paths)] + [update(20, 9, "A", "11 41 43", "e")])
+    log, relations = _paths(spark, d)
+    checks = {x.seq: x for x in r.path_checks(log, "seq", relations).collect()}
+    ego = [checks[s] for s in (0, 2, 4)]
+    bad = [s for s in (0, 2, 4) if checks[s].known > 0 and not checks[s].valid]
+    got = {x.collector: x for x in entry.queries()["ego_vf_rates"](spark, d).collect()}
+    assert got["c"].ego_paths_total == 3 and got["c"].paths_total == 5
+    assert got["c"].ego_paths_checked == sum(x.known > 0 for x in ego)
+    assert (got["c"].ego_transit_violations, got["c"].ego_origin_violations) == (sum(s == 0 for s in bad), sum(s == 2 for s in bad))
+    assert got["e"].ego_paths_total is None
