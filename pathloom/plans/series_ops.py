@@ -89,8 +89,15 @@ def acf_lags(spark: SparkSession, d: str) -> DataFrame:
     return o.autocorrelation(_hourly(spark, d), ["collector", "asn"], ["h"], "x", range(4, 49))
 
 
+def acf_lags_5min(spark: SparkSession, d: str) -> DataFrame:
+    """Autocorrelation of the series of five-minute windows (mean of a window's readings), at lags of 4 to 300 windows."""
+    rows = features(spark, d).filter("w is not null and total_updates is not null").groupBy("collector", "asn", "w").agg(F.avg("total_updates").alias("x"))
+    return o.autocorrelation(rows, ["collector", "asn"], ["w"], "x", range(4, 301))
+
+
 def dominant_period(spark: SparkSession, d: str) -> DataFrame:
-    return o.dominant_period(acf_lags(spark, d), ["collector", "asn"])
+    """The period in five-minute windows, from 5 (25 minutes) to 299, past a day's 288."""
+    return o.dominant_period(acf_lags_5min(spark, d), ["collector", "asn"])
 
 
 def spike_intervals(spark: SparkSession, d: str) -> DataFrame:
@@ -172,7 +179,7 @@ def mutual_knn(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        event_sessions, event_manifest, event_interval_join, nearest_window_join, floor_snapshot_join, rolling_features, trailing_sequence, tail_split, acf_lags, dominant_period,
+        event_sessions, event_manifest, event_interval_join, nearest_window_join, floor_snapshot_join, rolling_features, trailing_sequence, tail_split, acf_lags, acf_lags_5min, dominant_period,
         spike_intervals, largest_gap, sign_flips, slot_profile, fourier_template, sampling_interval, label_override, upsert_keep_last, replace_by_key, domain_pairs, temporal_edges, mutual_knn,
     )
 }

@@ -133,3 +133,15 @@ def test_ego_rates_are_of_the_targets_network(spark, updates):
     assert got["c"].ego_paths_checked == sum(x.known > 0 for x in ego)
     assert (got["c"].ego_transit_violations, got["c"].ego_origin_violations) == (sum(s == 0 for s in bad), sum(s == 2 for s in bad))
     assert got["e"].ego_paths_total is None
+
+
+def test_a_period_of_half_an_hour_is_found(spark, data, tmp_path):
+    """One series with a burst every six windows, which hourly means cannot show."""
+    kinds = dict(table(spark, data, "window_features").dtypes)
+    given = {"feature_id": "id", "collector": "'c'", "asn": "1", "total_updates": "IF(id % 6 = 0, 90, 10)", "window_start": "timestamp_seconds(1751328000 + 300 * id)"}
+    rows = spark.range(900).selectExpr(*[f"CAST({given.get(c, 'NULL')} AS {k}) AS {c}" for c, k in kinds.items()])
+    rows.write.parquet(str(tmp_path / "window_features.parquet"))
+    found = entry.queries()["dominant_period"](spark, str(tmp_path)).collect()
+    assert [x.period for x in found] == [6]
+    lags = [x.lag for x in entry.queries()["acf_lags_5min"](spark, str(tmp_path)).collect()]
+    assert sorted(lags) == list(range(4, 301))
