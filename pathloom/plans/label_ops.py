@@ -54,7 +54,7 @@ def leave_one_out(spark: SparkSession, d: str) -> DataFrame:
 
 
 def subsample_stability(spark: SparkSession, d: str) -> DataFrame:
-    return lb.subsample_stability(_votes(spark, d), "row_id", METHODS, rounds=5)
+    return lb.subsample_stability(_votes(spark, d), "row_id", METHODS)
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:

@@ -201,11 +201,11 @@ def detectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def isolation_forest(spark: SparkSession, d: str) -> DataFrame:
-    return dt.isolation_forest(_numeric(spark, d), "row_id", COLUMNS[:3], trees=50).select("row_id", "iforest_score", "iforest_outlier")
+    return dt.isolation_forest(_numeric(spark, d), "row_id", COLUMNS).select("row_id", "iforest_score", "iforest_outlier")
 
 
 def kmeans_upgrade(spark: SparkSession, d: str) -> DataFrame:
-    return mo.kmeans_upgrade(_numeric(spark, d), COLUMNS, "discovered_label", (2, 3, 4)).select("row_id", "cluster", "upgraded")
+    return mo.kmeans_upgrade(_numeric(spark, d), COLUMNS, "discovered_label", range(2, 11)).select("row_id", "cluster", "upgraded")
 
 
 def _training(spark: SparkSession, d: str) -> DataFrame:
@@ -214,17 +214,17 @@ def _training(spark: SparkSession, d: str) -> DataFrame:
 
 def gbt_scores(spark: SparkSession, d: str) -> DataFrame:
     rows = _training(spark, d)
-    return mo.scores(mo.fit(rows, COLUMNS[:3], "gbt", maxIter=10, maxDepth=4), rows, ["row_id", "y"])
+    return mo.scores(mo.fit(rows, COLUMNS, "gbt"), rows, ["row_id", "y"])
 
 
 def rf_scores(spark: SparkSession, d: str) -> DataFrame:
     rows = _training(spark, d)
-    return mo.scores(mo.fit(rows, COLUMNS[:3], "rf", numTrees=20, maxDepth=5), rows, ["row_id", "y"])
+    return mo.scores(mo.fit(rows, COLUMNS, "rf"), rows, ["row_id", "y"])
 
 
 def mlp_scores(spark: SparkSession, d: str) -> DataFrame:
     rows = _training(spark, d)
-    return mo.scores(mo.fit(rows, COLUMNS[:3], "mlp", maxIter=30), rows, ["row_id", "y"])
+    return mo.scores(mo.fit(rows, COLUMNS, "mlp"), rows, ["row_id", "y"])
 
 
 def oof_scores(spark: SparkSession, d: str) -> DataFrame:

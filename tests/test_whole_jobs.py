@@ -1,6 +1,7 @@
 """Queries over the whole job: full windows, domains, pairs and rows."""
 
 import datetime as dt
+import inspect
 
 import numpy as np
 import pytest
@@ -145,3 +146,32 @@ def test_a_period_of_half_an_hour_is_found(spark, data, tmp_path):
     assert [x.period for x in found] == [6]
     lags = [x.lag for x in entry.queries()["acf_lags_5min"](spark, str(tmp_path)).collect()]
     assert sorted(lags) == list(range(4, 301))
+
+
+def test_models_run_at_full_size(spark, data, monkeypatch):
+    from pathloom.operators import labelling as lb
+    from pathloom.operators import models as mo
+
+    seen = {}
+
+    def spy(module, name):
+        real = getattr(module, name)
+        signature = inspect.signature(real)
+
+        def run(*args, **more):
+            given = signature.bind(*args, **more)
+            given.apply_defaults()
+            seen[name, given.arguments.get("name")] = given.arguments
+            return real(*args, **more)
+
+        monkeypatch.setattr(module, name, run)
+
+    for module, name in ((mo, "fit"), (mo, "kmeans_upgrade"), (de, "isolation_forest"), (lb, "subsample_stability")):
+        spy(module, name)
+    for query in ("isolation_forest", "subsample_stability", "kmeans_upgrade", "gbt_scores", "rf_scores", "mlp_scores"):
+        entry.queries()[query](spark, data)
+    assert list(seen["kmeans_upgrade", None]["tries"]) == list(range(2, 11))
+    assert seen["isolation_forest", None]["trees"] == 200 and seen["subsample_stability", None]["rounds"] == 20
+    for model in ("gbt", "rf", "mlp"):
+        assert seen["fit", model]["settings"] == {} and len(seen["fit", model]["columns"]) == 4
+    assert len(seen["isolation_forest", None]["columns"]) == 4
