@@ -24,7 +24,7 @@ def event_name(text: Column) -> Column:
 
 def splits(spark: SparkSession, d: str) -> DataFrame:
     """Every labelled window (copies once) with its split."""
-    shares = {r.split_name: r.share for r in table(spark, d, "split_targets").limit(100).collect()}
+    shares = {r.split_name: r.share for r in table(spark, d, "split_targets").collect()}  # a row a split
     rows = table(spark, d, "labelled_windows").select("row_id", "window_start", "window_id", "event_id").distinct()
     start = F.col("window_start").cast("timestamp")
     own = F.nullif(F.btrim("window_id"), F.lit(""))

@@ -16,8 +16,8 @@ _PIECE = ["_start", "_sig", "_from", "_to", "_n", "_least"]
 
 
 def _marked(events: DataFrame, keys: Mapping[str, Column], time: Column, order: Column, same: list[Column], max_gap_seconds: int, chunk_seconds: int) -> DataFrame:
-    """Each event (copies once) with its position, whether it differs from its predecessor, and what the
-    predecessor's end was. Positions, predecessors and runs are those within (key, chunk)."""
+    """Each event (copies once) with its position, whether it differs from its predecessor, and the position of
+    the last event up to it that does. Positions, predecessors and runs are those within (key, chunk)."""
     rows = events.select(*[c.alias(k) for k, c in keys.items()], time.alias("_t"), order.alias("_o"), F.struct(*same).alias("_sig"))
     rows = rows.filter("_t is not null")
     rows = rows.withColumn("_chunk", F.floor(F.unix_micros("_t") / F.lit(chunk_seconds * MICRO)).cast("bigint"))
@@ -28,7 +28,8 @@ def _marked(events: DataFrame, keys: Mapping[str, Column], time: Column, order:
     rows = rows.filter(~F.coalesce("_copy", F.lit(False))).drop("_copy")
     rows = rows.withColumns({"_pos": F.row_number().over(w), "_before": F.lag(F.struct("_t", "_sig")).over(w)})
     near = F.unix_micros("_t") - F.unix_micros("_before._t") <= F.lit(max_gap_seconds * MICRO)
-    return rows.withColumn("_differs", ~F.coalesce(F.col("_before._sig").eqNullSafe(F.col("_sig")) & near, F.lit(False)))
+    rows = rows.withColumn("_differs", ~F.coalesce(F.col("_before._sig").eqNullSafe(F.col("_sig")) & near, F.lit(False)))
+    return rows.withColumn("_start", F.max(F.when(F.col("_differs"), F.col("_pos"))).over(w))
 
 
 def _at_border(max_gap_seconds: int, chunk_seconds: int) -> Column:
@@ -71,6 +72,32 @@ def _stitched(pieces: DataFrame, keys: list[str], max_gap_seconds: int) -> DataF
     )
 
 
+def _starts(rows: DataFrame, keys: list[str], max_gap_seconds: int, chunk_seconds: int) -> tuple[DataFrame, DataFrame]:
+    """The runs of marked rows, from the rows that differ from their predecessor alone: a lead over these
+    starts gives the next start, the difference of positions the count, the time before it the end.
+
+    Two tables of _PIECE columns with the place (keys, _chunk, _start) of each start: runs within a chunk, and
+    the pieces of runs that may cross a border with what is known of the whole run (`_head`: its first piece).
+    """
+    part = [*keys, "_chunk"]
+    w = Window.partitionBy(*part).orderBy("_t", "_o")
+    whole = Window.partitionBy(*part)
+    so_far = F.min("_o").over(Window.partitionBy(*part, "_start").orderBy("_pos"))  # of the run up to this event
+    rows = rows.withColumn("_so_far", so_far).withColumns(
+        {"_end_before": F.lag(F.struct("_t", "_so_far")).over(w), "_size": F.count(F.lit(1)).over(whole), "_end": F.max(F.struct("_pos", "_t", "_so_far")).over(whole)}
+    )
+    starts = rows.filter("_differs")
+    next_end = F.lead("_end_before").over(w)
+    pieces = starts.select(
+        *part, "_start", "_sig", F.col("_t").alias("_from"), "_size",
+        (F.coalesce(F.lead("_pos").over(w), F.col("_size") + 1) - F.col("_pos")).alias("_n"),
+        F.coalesce(next_end["_t"], F.col("_end._t")).alias("_to"),
+        F.coalesce(next_end["_so_far"], F.col("_end._so_far")).alias("_least"),
+    )
+    border = _at_border(max_gap_seconds, chunk_seconds)
+    return pieces.filter(~border), _stitched(pieces.filter(border), keys, max_gap_seconds)
+
+
 def collapse_runs(
     events: DataFrame, keys: Mapping[str, Column], time: Column, order: Column, same: list[Column],
     max_gap_seconds: int = 900, chunk_seconds: int = 21_600,
@@ -90,25 +117,9 @@ def collapse_runs(
     A run can cross a border only within max_gap_seconds of it: just those pieces are stitched.
     """
     rows = _marked(events, keys, time, order, same, max_gap_seconds, chunk_seconds)
-    part = [*keys, "_chunk"]
-    w = Window.partitionBy(*part).orderBy("_t", "_o")
-    whole = Window.partitionBy(*part)
-    rows = rows.withColumn("_start", F.max(F.when(F.col("_differs"), F.col("_pos"))).over(w))
-    so_far = F.min("_o").over(Window.partitionBy(*part, "_start").orderBy("_pos"))  # of the run up to this event
-    rows = rows.withColumn("_so_far", so_far).withColumns(
-        {"_end_before": F.lag(F.struct("_t", "_so_far")).over(w), "_size": F.count(F.lit(1)).over(whole), "_end": F.max(F.struct("_pos", "_t", "_so_far")).over(whole)}
-    )
-    starts = rows.filter("_differs")
-    next_end = F.lead("_end_before").over(w)
-    pieces = starts.select(
-        *part, "_start", "_sig", F.col("_t").alias("_from"), "_size",
-        (F.coalesce(F.lead("_pos").over(w), F.col("_size") + 1) - F.col("_pos")).alias("_n"),
-        F.coalesce(next_end["_t"], F.col("_end._t")).alias("_to"),
-        F.coalesce(next_end["_so_far"], F.col("_end._so_far")).alias("_least"),
-    )
-    border = _at_border(max_gap_seconds, chunk_seconds)
-    across = _stitched(pieces.filter(border), list(keys), max_gap_seconds).filter("_head")
-    runs = pieces.filter(~border).select(*keys, "_sig", "_from", "_to", "_n", "_least").unionByName(across.select(*keys, "_sig", "_from", "_to", "_n", "_least"))
+    inner, across = _starts(rows, list(keys), max_gap_seconds, chunk_seconds)
+    columns = [*keys, "_sig", "_from", "_to", "_n", "_least"]
+    runs = inner.select(*columns).unionByName(across.filter("_head").select(*columns))
     return runs.select(
         *keys, F.col("_sig").alias("event"), F.col("_from").alias("first_ts"), F.col("_to").alias("last_ts"), F.col("_n").cast("bigint").alias("events"),
         ((F.unix_micros("_to") - F.unix_micros("_from")) / MICRO).alias("duration_s"), F.col("_least").alias("first_order"),
@@ -121,21 +132,20 @@ def run_members(
 ) -> DataFrame:
     """For each event of a run of two or more but its smallest: `first_order` and `member_order`.
 
-    The runs are those of collapse_runs: an event belongs to the last start at or before its position.
+    The runs are those of collapse_runs, found from the starts alone; an event joins its run by position: by
+    (key, chunk, last start at or before it). Runs of one event have no members and do not reach the join, nor do
+    their events, but for the few at a chunk's border. A join's hash is by start, so a hot key is spread.
     """
     rows = _marked(events, keys, time, order, same, max_gap_seconds, chunk_seconds)
-    part = [*keys, "_chunk"]
-    w = Window.partitionBy(*part).orderBy("_t", "_o")
-    rows = rows.withColumns({"_start": F.max(F.when(F.col("_differs"), F.col("_pos"))).over(w), "_size": F.count(F.lit(1)).over(Window.partitionBy(*part))})
-    run = Window.partitionBy(*part, "_start")
-    rows = rows.withColumns(
-        {"_n": F.count(F.lit(1)).over(run), "_from": F.min("_t").over(run), "_to": F.max("_t").over(run), "_least": F.min("_o").over(run)}
-    )
-    border = _at_border(max_gap_seconds, chunk_seconds)
-    inner = rows.filter(~border & (F.col("_o") != F.col("_least"))).select(F.col("_least").alias("first_order"), F.col("_o").alias("member_order"))
-    edge = rows.filter(border)
-    across = _stitched(edge.filter(F.col("_pos") == F.col("_start")), list(keys), max_gap_seconds)
-    across = across.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate([*part, "_start"])], F.col("_least").alias("first_order"))
-    on = reduce(and_, [edge[k].eqNullSafe(across[f"_k{i}"]) for i, k in enumerate([*part, "_start"])])
-    crossing = edge.join(across, on).filter(F.col("_o") != F.col("first_order")).select("first_order", F.col("_o").alias("member_order"))
-    return inner.unionByName(crossing)
+    inner, across = _starts(rows, list(keys), max_gap_seconds, chunk_seconds)
+    place = [*keys, "_chunk", "_start"]
+    runs = inner.select(*place, "_n", "_least").unionByName(across.select(*place, "_n", "_least")).filter("_n > 1")
+    runs = runs.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(place)], F.col("_least").alias("first_order"))
+    w = Window.partitionBy(*keys, "_chunk").orderBy("_t", "_o")
+    # a start that is followed by a start is a run of its own, unless the run goes on in the next chunk
+    ends = rows.withColumn("_lonely", F.col("_differs") & F.lead("_differs").over(w))
+    begin = F.col("_chunk") * F.lit(chunk_seconds * MICRO)
+    inside = (F.unix_micros("_t") - begin > F.lit(max_gap_seconds * MICRO)) & (begin + F.lit(chunk_seconds * MICRO) - F.unix_micros("_t") > F.lit(max_gap_seconds * MICRO))
+    several = ends.filter(~(F.coalesce("_lonely", F.lit(False)) & inside)).select(*place, F.col("_o").alias("member_order"))
+    on = reduce(and_, [several[k].eqNullSafe(runs[f"_k{i}"]) for i, k in enumerate(place)])
+    return several.join(runs, on).filter("member_order <> first_order").select("first_order", "member_order")
