@@ -47,6 +47,21 @@ def test_blanks_left_out(spark):
     assert found(spark, ["The limit was reached.The desk closed it.Why?Nobody knows.", "ولم يصدر أي تنبيه.الموجه عاد."]) == [["The limit was reached.", "The desk closed it.", "Why?", "Nobody knows."], ["ولم يصدر أي تنبيه.", "الموجه عاد."]]
 
 
+def test_urls_paths_and_dotted_names_stay_whole(spark):
+    cases = [
+        "See https://host.example/a?Query=1 for the log.|Visit http://a.b/C.D.|Then go.", "Node.JS is used.|See /etc/Foo.Bar now.",
+        "Ask e.g. Smith.|It took 5 h.|Then it ended.", "See Plan B.|Then stop.|J. Smith left.", "The 2. Bundesliga ended.|See rev. 4 and cap. 3 there.",
+        "It (see 3. The log. Also) ended.|He said “stop (at 5. Now).” twice.|Done", "Das sind z.B. AS1 und z. B. AS2, i. d. R. AS3.|Ende.",
+    ]
+    assert found(spark, [c.replace("|", " ") for c in cases]) == [c.split("|") for c in cases]
+
+
+def test_blanks_of_any_kind(spark):
+    cases = ["It ended.\xa0The desk left.", "Tout est clos.\u202f« Rien. Rien », a noté la garde.", "Fermé. « Oui. Non », dit-il.", "हो गया।\xa0ठीक है!\u3000सब ठीक।", "Wirklich?\u2003Ja."]
+    want = [["It ended.", "The desk left."], ["Tout est clos.", "« Rien. Rien », a noté la garde."], ["Fermé.", "« Oui. Non », dit-il."], ["हो गया।", "ठीक है!", "सब ठीक।"], ["Wirklich?", "Ja."]]
+    assert found(spark, cases) == want
+
+
 def test_lines_items_entries_and_rulings(spark):
     text = "Summary\n\n10.17 Findings\r\n\r\nA line that\nwraps here. Next one\nends.\n------\n1. First item. Second sentence\n2. Item\n   goes on\n- dash\n* star\n\n[09:37:41] An entry\n2025-07-22T07:51Z core7 went. Down\n1751292287 rrc91: last\n====\n-- NOC desk 13"
     assert found(spark, [text]) == [["Summary", "10.17 Findings", "A line that\nwraps here.", "Next one\nends.", "1. First item.", "Second sentence", "2. Item\n   goes on", "- dash", "* star", "[09:37:41] An entry", "2025-07-22T07:51Z core7 went.", "Down", "1751292287 rrc91: last", "-- NOC desk 13"]]
