@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
@@ -27,6 +28,7 @@ def counter_increments(
     counter: str,
     restart: str | None = None,
     block_seconds: int = 28_800,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Differences of consecutive readings of a cumulative counter.
 
@@ -38,7 +40,8 @@ def counter_increments(
     counts (a counter only grows).
 
     Readings are ordered within time blocks; the last reading of the block before is carried into the
-    next one, so no task holds a whole series. With `restart` there is nothing to carry but an overlap,
+    next one, so no task holds a whole series. Columns in `keep` come along from the later reading (of equal
+    times, their greatest). With `restart` there is nothing to carry but an overlap,
     so the series given must then be short ones (such as a source's 8-hour segments).
     """
     known = readings.filter(F.col(time).isNotNull() & F.col(counter).isNotNull())
@@ -46,9 +49,9 @@ def counter_increments(
     keys = series if restart else [*series, "_block"]
     rows = known.select(
         *series, *([] if restart else [block.alias("_block")]), F.col(time).alias("_t"), F.col(counter).alias("_v"),
-        (F.col(restart) if restart else F.lit(None).cast("timestamp")).alias("_restart"),
+        (F.col(restart) if restart else F.lit(None).cast("timestamp")).alias("_restart"), *keep,
     ).repartition(*keys)
-    rows = rows.groupBy(*keys, "_t").agg(F.max("_v").alias("_v"), F.max("_restart").alias("_restart"))
+    rows = rows.groupBy(*keys, "_t").agg(F.max("_v").alias("_v"), F.max("_restart").alias("_restart"), *[F.max(c).alias(c) for c in keep])
     w = Window.partitionBy(*keys).orderBy("_t")
     rows = rows.withColumns({"_pt": F.lag("_t").over(w), "_pv": F.lag("_v").over(w)})
     if not restart:
@@ -65,21 +68,29 @@ def counter_increments(
         F.when(begun, F.col("_restart")).otherwise(F.col("_pt")).alias("from_ts"),
         F.col("_t").alias("to_ts"),
         F.when(begun | (F.col("_v") < F.col("_pv")), F.col("_v")).otherwise(F.col("_v") - F.col("_pv")).alias("increment"),
+        *keep,
     ).filter(F.col("from_ts").isNotNull())
 
 
-def increments_to_cells(increments: DataFrame, series: list[str], step_seconds: int, max_span_seconds: int | None = None) -> DataFrame:
+def increments_to_cells(
+    increments: DataFrame, series: list[str], step_seconds: int, max_span_seconds: int | None = None, reach_seconds: int | None = None, add: Sequence[str] = ()
+) -> DataFrame:
     """Spreads each increment over the grid cells it overlaps, in proportion to the overlap.
 
     Gives series, `cell_start`, `amount` and `covered` (the share of the cell that increments cover).
-    Increments longer than max_span_seconds say nothing about when they happened and cover no cell.
+    Increments longer than max_span_seconds say nothing about when they happened and cover no cell. With
+    reach_seconds a reading is known to tell of that long before it at most: its increment falls into that
+    stretch, and what lies between the reading before and the stretch stays uncovered. Columns in `add` are spread likewise.
     """
     step = F.lit(step_seconds * MICRO)
     fits = F.col("_to") > F.col("_from")
     if max_span_seconds is not None:
         fits = fits & (F.col("_to") - F.col("_from") <= F.lit(max_span_seconds * MICRO))
+    begin = F.unix_micros("from_ts")
+    if reach_seconds is not None:
+        begin = F.greatest(begin, F.unix_micros("to_ts") - F.lit(reach_seconds * MICRO))
     spans = increments.select(
-        *series, F.unix_micros("from_ts").alias("_from"), F.unix_micros("to_ts").alias("_to"), F.col("increment").cast("double").alias("_inc")
+        *series, begin.alias("_from"), F.unix_micros("to_ts").alias("_to"), F.col("increment").cast("double").alias("_inc"), *add
     ).filter(fits)
     first, last = F.floor(F.col("_from") / step).cast("bigint"), F.floor((F.col("_to") - 1) / step).cast("bigint")
     cells = spans.withColumn("_cell", F.explode(F.sequence(first, last)))
@@ -89,8 +100,9 @@ def increments_to_cells(increments: DataFrame, series: list[str], step_seconds:
         .agg(
             F.sum(F.col("_inc") * (overlap / (F.col("_to") - F.col("_from")))).alias("amount"),
             F.sum(overlap / step).alias("covered"),
+            *[F.sum(F.col(c) * (overlap / (F.col("_to") - F.col("_from")))).alias(c) for c in add],
         )
-        .select(*series, F.timestamp_micros(F.col("_cell") * step).alias("cell_start"), "amount", "covered")
+        .select(*series, F.timestamp_micros(F.col("_cell") * step).alias("cell_start"), "amount", "covered", *add)
     )
 
 
@@ -127,24 +139,33 @@ def regular_windows(
 ) -> DataFrame:
     """Window readings as a regular series per (series, segment).
 
-    Each reading is that of a counter which starts at zero with its window and is read at its end: it
-    resets with every window, so consecutive differences give the windows' own increments, which cover
-    exactly their window. Windows between the first and the last covered one of a segment that nothing
-    covers come out with `missing`. A segment is an epoch-aligned block of segment_seconds. Of several
-    readings of a window the latest (by time, then `order`) counts. Null values and times are no readings;
-    a series with none has no rows. Series names may be null, which is a series of its own.
+    A reading tells what was counted in its window. Their running sum over a segment is a counter that is read at
+    each window's end and begins at zero with the segment's first window; it starts anew with each segment.
+    Differences of consecutive readings of the counter give increments (a drop would be a reset), which are spread
+    over the cells they overlap, a step back from their reading at most. The cells in between, which nothing covers,
+    come out with `missing`. A count below zero is none a counter can show: it leaves the counter as it is
+    and comes out as read.
+
+    A segment is an epoch-aligned block of segment_seconds. Of several readings of a window the latest (by
+    time, then `order`) counts. Null values and times are no readings; a series with none has no rows. Series names
+    may be null, which is a series of its own. All windows are over (series, segment), after one shuffle.
     """
     window = floor_time(F.col(time), step_seconds)
     known = readings.filter(F.col(time).isNotNull() & F.col(value).isNotNull())
     segment = F.floor(F.unix_micros(time) / F.lit(segment_seconds * MICRO)).cast("bigint")
     keys = [*series, "segment_no"]
     latest = (
-        known.select(*series, segment.alias("segment_no"), window.alias("_w"), F.struct(F.col(time), F.col(order), F.col(value).cast("double").alias("v")).alias("r"))
+        known.select(*series, segment.alias("segment_no"), window.alias("_w"), F.struct(F.col(time), F.col(order), F.col(value).alias("v")).alias("r"))
         .repartition(*keys)  # before the grouping: a window has one or two readings, nothing to combine
         .groupBy(*keys, "_w")
         .agg(F.max("r").alias("r"))
     )
-    ends = latest.select(*keys, "_w", F.timestamp_micros(F.unix_micros("_w") + step_seconds * MICRO).alias("_end"), F.col("r.v").alias("_v"))
-    increments = counter_increments(ends, keys, "_end", "_v", restart="_w")
-    cells = increments_to_cells(increments, keys, step_seconds).filter("covered > 0")
+    counter = F.sum(F.greatest(F.col("r.v"), F.lit(0))).over(Window.partitionBy(*keys).orderBy("_w"))
+    read = latest.select(
+        *keys, F.timestamp_micros(F.unix_micros("_w") + step_seconds * MICRO).alias("_end"), counter.alias("_counter"),
+        F.min("_w").over(Window.partitionBy(*keys)).alias("_begin"), F.least(F.col("r.v"), F.lit(0)).cast("double").alias("below_zero"),
+    )
+    increments = counter_increments(read, keys, "_end", "_counter", restart="_begin", keep=["below_zero"])
+    cells = increments_to_cells(increments, keys, step_seconds, reach_seconds=step_seconds, add=["below_zero"]).filter("covered > 0")
+    cells = cells.withColumn("amount", F.col("amount") + F.col("below_zero")).drop("below_zero")
     return fill_grid(cells, keys, step_seconds, ["amount", "covered"])

@@ -1,15 +1,16 @@
 """Implausible readings, flagged per source against the source's own normal level.
 
 Each source's ordered readings are split by a stationary Haar wavelet transform: the smooth of level j is
-the mean of the last 2**j readings, detail j the smooth of level j - 1 less that of level j, so that
-reading = coarse + sum of details. Details, and the coarse value's distance from the source's median (the
-robust stand-in for the coarsest level), are scaled by that median. A spike needs at least one large
-coefficient; runs of zero detail between neighbours are stuck values; bounds reveal the impossible.
+the mean of the last 2**j readings, detail j the smooth of level j - 1 less that of level j. Details are scaled
+robustly, by the median of their sizes in that series and level: one that is many times this is a spike. Runs of
+zero detail at the first level are stuck values; bounds reveal what cannot be true.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,16 +21,35 @@ from pathloom.operators.grid import MICRO
 
 
 def exact_medians(values: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The median of each key, exactly: equal values are counted first, so that a huge key shrinks to its
-    distinct values before they come together."""
-    counts = values.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.groupBy(*keys).agg(F.expr(f"percentile(`{value}`, 0.5D, _n)").alias("median"))
+    """The median of each key, exactly, without bringing a key's values together; nulls are left out.
+
+    Values are counted by narrow buckets of their logarithm, which combines map-side into some hundred rows a key;
+    a running sum finds the bucket or two that hold the middle; only the distinct values of these are
+    counted one by one.
+    """
+    size = F.floor(F.log2(F.abs(F.col(value))) * 64).cast("bigint")
+    bucket = F.when(F.col(value) > 0, size + 200_000).when(F.col(value) < 0, -size - 200_000).otherwise(0)  # logarithms lie within 1,100
+    known = values.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), bucket.alias("_bucket"))
+    counts = known.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    key, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_bucket")
+    ranked = counts.withColumns({"_all": F.sum("_n").over(key), "_upto": F.sum("_n").over(order)})
+    low, high = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)  # the middle ranks, from 0
+    middle = ranked.filter((F.col("_upto") > low) & (F.col("_upto") - F.col("_n") <= high))
+    middle = middle.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, "_bucket"])], low.alias("_low"), high.alias("_high"), (F.col("_upto") - F.col("_n")).alias("_base"))
+    near = known.join(middle, reduce(and_, [known[k].eqNullSafe(middle[f"_k{i}"]) for i, k in enumerate([*keys, "_bucket"])]))
+    near = near.groupBy(*keys, "_v", "_low", "_high", "_base").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_v")) + F.min("_base").over(key)
+    near = near.withColumn("_upto", upto)
+    at = lambda rank: F.max(F.when((F.col("_upto") > F.col(rank)) & (F.col("_upto") - F.col("_n") <= F.col(rank)), F.col("_v")))
+    return near.groupBy(*keys).agg(((at("_low") + at("_high")) / 2).alias("median"))
 
 
 def _haar(value: Column, levels: int, ordered: WindowSpec) -> dict[str, Column]:
-    """Detail coefficients by level and the coarse value. The first readings of a chunk average fewer."""
+    """Detail coefficients by level. The first readings of a chunk average fewer; the first has no detail of level 1."""
     smooth = [value] + [F.avg(value).over(ordered.rowsBetween(1 - (1 << j), 0)) for j in range(1, levels + 1)]
-    return {f"_d{j}": smooth[j - 1] - smooth[j] for j in range(1, levels + 1)} | {"_coarse": smooth[levels]}
+    # as half the difference, which is zero for equal neighbours only
+    details = {"_d1": (value - F.lag(value).over(ordered)) / 2}
+    return details | {f"_d{j}": smooth[j - 1] - smooth[j] for j in range(2, levels + 1)}
 
 
 def implausible(
@@ -43,19 +63,22 @@ def implausible(
     stuck: int = 8,
     lower: float = 0.0,
     levels: int = 3,
+    threshold: float = 12.0,
     chunk_seconds: int = 86_400,
 ) -> DataFrame:
     """A row for each flagged value: series, order, measure, value, median, detail, flags.
 
-    negative: below `lower`. spike: more than `ratio` times, or less than 1/ratio of, the median of the
-    series' values at or above `lower`. stuck: one of at least `stuck` equal values in a row (nulls left
-    out). sum: not the sum of the columns in sums[measure]; left out where one of them is null. detail is
-    the largest wavelet coefficient over the median.
+    spike: some detail coefficient is more than `threshold` times the deviation of its series, measure and level,
+    which is the median size of those coefficients / 0.6745; a level of which the half are zero has no spikes.
+    stuck: one of at least `stuck` equal values in a row (nulls left out), which is a run of zero details of
+    level 1. Bounds: negative, below `lower`; bound, more than `ratio` times, or less than 1/ratio of, the median
+    of the series' values at or above `lower`. sum: not the sum of the columns in sums[measure]; left out where
+    one of them is null. detail is the largest coefficient over its deviation, null where no level has one.
 
     The order is (time, order); null times come first. Copies repeat (time, order) exactly and count once.
-    Null values are never flagged. A series whose median is zero or missing has spikes only above zero and
-    none at all, in that order. Readings are worked on in (series, time chunk): runs across chunks are
-    stitched from one row per chunk.
+    Null values are never flagged. A series whose median is zero has values beyond the bound only above zero, one
+    without median none at all. Readings are worked on in (series, time chunk): runs across chunks are
+    stitched from one row per chunk, details do not look back into the chunk before.
     """
     sums = dict(sums or {})
     chunk = F.coalesce(F.floor(F.unix_micros(time) / F.lit(chunk_seconds * MICRO)).cast("bigint"), F.lit(-(1 << 40)))
@@ -77,9 +100,13 @@ def implausible(
 
     part = [*keys, "_chunk"]
     w = Window.partitionBy(*part).orderBy("_t", "_o")
-    rows = values.withColumns({"_before": F.lag("value").over(w)} | _haar(F.col("value"), levels, w))
+    rows = values.withColumns(_haar(F.col("value"), levels, w))
+    sizes = F.explode(F.array(*[F.struct(F.lit(j).alias("level"), F.abs(F.col(f"_d{j}")).alias("size")) for j in range(1, levels + 1)]))
+    scales = exact_medians(rows.select(*keys, sizes.alias("_s")).select(*keys, "_s.level", "_s.size"), [*keys, "level"], "size")
+    scales = scales.filter("median > 0").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("level", (F.col("median") / 0.6745).alias("x")))).alias("_scale"))
+    scales = scales.select(*[F.col(k).alias(f"_s{i}") for i, k in enumerate(keys)], "_scale")  # a row a series, with an entry a level
     # zero detail between neighbours: the run goes on
-    rows = rows.withColumn("_run", F.sum((~(F.col("value") - F.col("_before")).eqNullSafe(F.lit(0.0))).cast("int")).over(w))
+    rows = rows.withColumn("_run", F.sum((~F.col("_d1").eqNullSafe(F.lit(0.0))).cast("int")).over(w))
     rows = rows.withColumn("_length", F.count(F.lit(1)).over(Window.partitionBy(*part, "_run")))
 
     ends = rows.groupBy(*part).agg(
@@ -105,17 +132,16 @@ def implausible(
     rows = rows.join(long, same(rows, [*part, "_run"], long, "_l"), "left")
     rows = rows.join(medians, same(rows, keys, medians, "_m"), "left")
 
-    coefficients = [F.abs(F.col(f"_d{j}")) for j in range(1, levels + 1)] + [F.abs(F.col("_coarse") - F.col("median"))]
-    detail = F.greatest(*coefficients)
-    # value - median is the sum of the coefficients: with a spike, one of them is at least this large
-    least = F.col("median") * F.lit(min(ratio - 1, 1 - 1 / ratio) / (levels + 1) * (1 - 1e-9))
+    rows = rows.join(scales, same(rows, keys, scales, "_s"), "left")
+
+    detail = F.greatest(*[F.abs(F.col(f"_d{j}")) / F.try_element_at("_scale", F.lit(j)) for j in range(1, levels + 1)], F.lit(None).cast("double"))
     beyond = (F.col("value") > ratio * F.col("median")) | (F.col("value") < F.col("median") / ratio)
     flags = {
         "negative": F.col("value") < lower,
-        "spike": F.coalesce((detail >= least) & beyond, F.lit(False)),
+        "bound": F.coalesce(beyond, F.lit(False)),
+        "spike": F.coalesce(detail > threshold, F.lit(False)),
         "stuck": (F.greatest("_length", F.coalesce("_total", F.lit(0))) >= stuck),
         "sum": F.coalesce(F.col("value") != F.col("parts"), F.lit(False)),
     }
-    scaled = F.when(F.col("median") > 0, detail / F.col("median"))
-    flagged = rows.select(*series, F.col("_o").alias(order), "measure", "value", "median", scaled.alias("detail"), *[c.alias(n) for n, c in flags.items()])
-    return flagged.filter(F.col("negative") | F.col("spike") | F.col("stuck") | F.col("sum"))
+    flagged = rows.select(*series, F.col("_o").alias(order), "measure", "value", "median", detail.alias("detail"), *[c.alias(n) for n, c in flags.items()])
+    return flagged.filter(F.col("negative") | F.col("bound") | F.col("spike") | F.col("stuck") | F.col("sum"))

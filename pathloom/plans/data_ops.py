@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions.net import as_number, network
 from pathloom.functions.paths import clean_path
-from pathloom.operators.grid import regular_windows, window_id
+from pathloom.operators.grid import counter_increments, increments_to_cells, regular_windows, window_id
 from pathloom.operators.heavy_keys import key_profile, with_share
 from pathloom.operators.snapshot_diff import snapshot_changes, snapshot_index, undirected
 from pathloom.operators.spikes import implausible
@@ -32,6 +32,17 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return regular_grid(spark, d).filter("missing").select("collector", "asn", "window_id")
 
 
+def counter_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Readings as running counters that begin anew with each UTC day, as a device that restarts at midnight would show
+    them: resets detected from the values, increments spread over 15-minute cells, stretches over an hour uncovered."""
+    rows = _features(spark, d, "total_updates").filter("window_start is not null and total_updates >= 0")
+    once = rows.groupBy("collector", "asn", "window_start").agg(F.max("total_updates").alias("n"))
+    day = Window.partitionBy("collector", "asn", F.to_date("window_start")).orderBy("window_start")
+    counters = once.withColumn("counter", F.sum("n").over(day))
+    cells = increments_to_cells(counter_increments(counters, ["collector", "asn"], "window_start", "counter"), ["collector", "asn"], 900, max_span_seconds=3600)
+    return cells.withColumn("amount", F.round("amount", 4)).withColumn("covered", F.round("covered", 6))
+
+
 def implausible_readings(spark: SparkSession, d: str) -> DataFrame:
     measures = ["announcements", "withdrawals", "total_updates"]
     rows = _features(spark, d, *measures)
@@ -39,7 +50,8 @@ def implausible_readings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return implausible_readings(spark, d).select("feature_id", "measure")
+    """What the bounds and the zero-detail runs reveal; a spike within the bounds is no case there."""
+    return implausible_readings(spark, d).filter("negative or bound or stuck or sum").select("feature_id", "measure")
 
 
 def heavy_keys(spark: SparkSession, d: str) -> DataFrame:
@@ -69,6 +81,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p3_regular_grid": regular_grid,
+    "p3_counter_grid": counter_grid,
     "p3_found": p3_found,
     "p5_implausible_readings": implausible_readings,
     "p5_found": p5_found,
@@ -129,6 +142,16 @@ FROM grid g LEFT JOIN latest l ON g.collector = l.collector AND g.asn = l.asn AN
     "p3_found": _GRID
     + """SELECT g.collector, g.asn, strftime(g.w, '%Y%m%d_%H%M') AS window_id
 FROM grid g LEFT JOIN latest l ON g.collector = l.collector AND g.asn = l.asn AND g.w = l.w WHERE l.w IS NULL""",
+    "p3_counter_grid": """
+WITH once AS (SELECT lower(trim(collector)) AS collector, asn, window_start AS t, max(total_updates) AS n FROM window_features
+  WHERE window_start IS NOT NULL AND total_updates >= 0 GROUP BY ALL),
+c AS (SELECT collector, asn, t, sum(n) OVER (PARTITION BY collector, asn, t::DATE ORDER BY t)::BIGINT AS c FROM once),
+l AS (SELECT *, lag(t) OVER k AS pt, lag(c) OVER k AS pc FROM c WINDOW k AS (PARTITION BY collector, asn ORDER BY t)),
+i AS (SELECT collector, asn, epoch_us(pt) AS a, epoch_us(t) AS b, CASE WHEN c < pc THEN c ELSE c - pc END AS inc FROM l WHERE pt IS NOT NULL),
+f AS (SELECT *, unnest(generate_series(a // 900000000, (b - 1) // 900000000)) AS cell FROM i WHERE b - a <= 3600000000),
+o AS (SELECT *, least(b, (cell + 1) * 900000000) - greatest(a, cell * 900000000) AS overlap FROM f)
+SELECT collector, asn, make_timestamp(cell * 900000000) AS cell_start, round(sum(inc * (overlap / (b - a))), 4) AS amount, round(sum(overlap / 900000000), 6) AS covered
+FROM o GROUP BY ALL""",
     "p5_found": _FLAGS,
     "p7_edge_changes": _CHANGES + "SELECT * FROM both_ WHERE change IS NOT NULL",
     "p7_found": _CHANGES + "SELECT pair, stamp, source, target, change FROM both_ WHERE change IS NOT NULL",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pathloom.operators.grid import counter_increments, increments_to_cells, regular_windows
 from pathloom.operators.heavy_keys import key_profile
 from pathloom.operators.snapshot_diff import snapshot_changes, snapshot_index, undirected
-from pathloom.operators.spikes import implausible
+from pathloom.operators.spikes import exact_medians, implausible
 
 T0 = dt.datetime(2025, 7, 1)
 at = lambda minutes: T0 + dt.timedelta(minutes=minutes)
@@ -81,11 +81,50 @@ def test_implausible_against_brute_force_over_chunks(spark):
     expected = brute_flags(rows)
     for chunk in (1500, 3000, 86_400):
         got = implausible(df, ["s"], "t", "id", ["a", "w", "u"], {"u": ["a", "w"]}, chunk_seconds=chunk)
-        found = {(r.id, r.measure) for r in got.collect()}
+        found = {(r.id, r.measure) for r in got.filter("negative or bound or stuck or sum").collect()}
         assert found == expected, chunk
     assert implausible(df.limit(0), ["s"], "t", "id", ["a"]).count() == 0
 
 
+def test_spikes_by_scaled_details(spark):
+    rng = random.Random(4)
+    values = [100 + rng.randrange(20) for _ in range(400)]
+    for i in (50, 51, 200):
+        values[i] = 700  # within eight times the median, but far from its neighbours
+    rows = [(i, "s", at(i), v) for i, v in enumerate(values)] + [(1000 + i, "flat", at(i), 5 + 90 * (i == 30)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, s string, t timestamp, a long")
+    got = implausible(df, ["s"], "t", "id", ["a"], chunk_seconds=10_000_000)
+    details = defaultdict(list)
+    smooth = lambda i, j: statistics.fmean(values[max(0, i - (1 << j) + 1) : i + 1])
+    for i in range(len(values)):
+        details[1].append((values[i] - values[i - 1]) / 2 if i else None)
+        for j in (2, 3):
+            details[j].append(smooth(i, j - 1) - smooth(i, j))
+    scale = {j: statistics.median(abs(x) for x in d if x is not None) / 0.6745 for j, d in details.items()}
+    expected = {i for i in range(400) if any(d[i] is not None and abs(d[i]) > 12 * scale[j] for j, d in details.items())}
+    assert {r.id for r in got.filter("spike").collect()} == expected and {50, 200} <= expected  # a flat series has no scale
+    assert {r.id for r in got.filter("bound").collect()} == {1030}
+
+
+def test_exact_medians(spark):
+    rng = random.Random(9)
+    rows = [(k, v) for k in ("a", "b", None) for v in [rng.choice([0.0, -1.5, 3.25, 1e-9, 7e12, rng.random() * 10]) for _ in range(rng.choice([50, 51]))]]
+    rows += [("one", 4.0), ("two", 4.0), ("two", 5.0), ("none", None), ("equal", 2.0), ("equal", 2.0)]
+    known = defaultdict(list)
+    for k, v in rows:
+        if v is not None:
+            known[k].append(v)
+    got = {r.k: r.median for r in exact_medians(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}
+    assert got == {k: statistics.median(v) for k, v in known.items()}
+
+
+def test_regular_windows_difference_a_counter(spark):
+    rows = [("a", at(m), float(v), m) for m, v in ((0, 5), (5, 0), (20, -4), (25, 7), (490, 2), (500, 3))]
+    df = spark.createDataFrame(rows, "s string, window_start timestamp, total_updates double, feature_id long")
+    got = [(r.cell_start, r.amount, r.missing) for r in regular_windows(df, ["s"]).orderBy("cell_start").collect()]
+    assert got == [(at(0), 5.0, False), (at(5), 0.0, False), (at(10), None, True), (at(15), None, True), (at(20), -4.0, False), (at(25), 7.0, False), (at(490), 2.0, False), (at(495), None, True), (at(500), 3.0, False)]
+
+
 def test_key_profile(spark):
     rows = [(1, "k", at(0), "p"), (2, "k", at(5), "q"), (2, "k", at(5), "q"), (3, "k", None, None), (4, None, at(1), "p"), (5, "m", None, None)]
     df = spark.createDataFrame(rows, "seq long, k string, t timestamp, p string")
