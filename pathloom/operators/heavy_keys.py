@@ -10,28 +10,30 @@ from pyspark.sql import functions as F
 
 
 def key_profile(rows: DataFrame, keys: dict[str, Column], time: Column, item: Column, record: Column) -> DataFrame:
-    """Per key: `n` records, `first_ts`, `last_ts` and `n_items` distinct items, with even work.
+    """Per key: `n` records, `first_ts`, `last_ts` and `n_items` distinct items, with even work; and `records`, of all rows.
 
     Every step is an algebraic aggregate with map-side combining: each task holds a hash table of partial
     states that spills when full, and only those compact states are shuffled. Distinct items come from an
     aggregation by (key, item) whose hash spreads a hot key over all tasks; what then remains of a hot key
-    is one partial row per task. Copies of a record (equal `record`) are exact and count once.
+    is one partial row per task.
 
-    Rows with a null key part are left out. Null times count as records but not for first and last; null
-    items are no items.
+    Copies of a record (equal `record`) are exact and count once: rows are counted with their copies, and
+    what copies add is taken off again. For that each row sends its record and a 128-bit hash of its key, not its
+    columns, and only the few records found more than once go on.
+
+    Rows with a null key part are left out, but for `records`. Null times count as records but not for first and
+    last; null items are no items.
     """
     picked = rows.select(record.alias("_record"), time.alias("_t"), item.alias("_item"), *[c.alias(k) for k, c in keys.items()])
-    # copies are dropped by the hash of the record, which is even whatever the keys
-    once = picked.repartition(F.col("_record")).distinct()
     # as an aggregate the test for null parts stays here: pushed down it would work out the keys twice
     whole = F.bool_and(reduce(and_, [F.col(k).isNotNull() for k in keys]))
-    by_item = once.groupBy(*keys, "_item").agg(F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_first"), F.max("_t").alias("_last"), whole.alias("_whole"))
-    return by_item.filter("_whole").groupBy(*keys).agg(
-        F.sum("_n").alias("n"), F.min("_first").alias("first_ts"), F.max("_last").alias("last_ts"), F.count("_item").alias("n_items")
+    by_item = picked.groupBy(*keys, "_item").agg(F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_first"), F.max("_t").alias("_last"), whole.alias("_whole"))
+    by_key = by_item.groupBy(*keys).agg(
+        F.sum("_n").alias("n"), F.min("_first").alias("first_ts"), F.max("_last").alias("last_ts"), F.count("_item").alias("n_items"), F.bool_and("_whole").alias("_whole")
     )
-
-
-def with_share(profile: DataFrame) -> DataFrame:
-    """Adds `share`: of all records. The total is one row, so its broadcast is bounded."""
-    total = profile.agg(F.sum("n").alias("_all"))
-    return profile.crossJoin(F.broadcast(total)).withColumn("share", F.col("n") / F.col("_all")).drop("_all")
+    tag = {"_h1": F.xxhash64(*keys), "_h2": F.xxhash64(F.lit("key"), *keys)}
+    again = picked.withColumns(tag).groupBy("_record", "_h1", "_h2").agg((F.count(F.lit(1)) - 1).alias("_extra")).filter("_extra > 0")
+    again = again.groupBy("_h1", "_h2").agg(F.sum("_extra").alias("_extra"))
+    once = by_key.withColumns(tag).join(again, ["_h1", "_h2"], "left").withColumn("n", F.col("n") - F.coalesce("_extra", F.lit(0)))
+    total = once.agg(F.sum("n").alias("records"))  # one row
+    return once.filter("_whole").select(*keys, "n", "first_ts", "last_ts", "n_items").crossJoin(F.broadcast(total))

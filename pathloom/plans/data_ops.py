@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pathloom.functions.net import as_number, network
 from pathloom.functions.paths import clean_path
 from pathloom.operators.grid import counter_increments, increments_to_cells, regular_windows, window_id
-from pathloom.operators.heavy_keys import key_profile, with_share
+from pathloom.operators.heavy_keys import key_profile
 from pathloom.operators.snapshot_diff import snapshot_changes, snapshot_index, undirected
 from pathloom.operators.spikes import implausible
 from pathloom.session import table
@@ -64,9 +64,7 @@ def heavy_keys(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Shares are of all distinct updates, also those with a missing key part."""
-    all_updates = table(spark, d, "updates").agg(F.count_distinct("seq").alias("n_all"))
-    found = heavy_keys(spark, d).crossJoin(F.broadcast(all_updates)).filter(F.col("n") >= F.col("n_all") * 0.01)
-    return found.select("peer_as", "prefix")
+    return heavy_keys(spark, d).filter(F.col("n") >= F.col("records") * 0.01).select("peer_as", "prefix")
 
 
 def edge_changes(spark: SparkSession, d: str) -> DataFrame:
