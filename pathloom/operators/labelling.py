@@ -62,7 +62,7 @@ def mad_threshold(rows: DataFrame, score: str, times: float = 3.0) -> DataFrame:
 
 def vote_weights(votes: DataFrame, methods: Sequence[str]) -> DataFrame:
     """method, weight: 1 / (1 + mean absolute correlation with the others), over their sum. Methods that
-    never vary have none."""
+    never vary have none; if no method varies, all have the same."""
     pairs = [(a, b) for a in methods for b in methods if a != b]
     flat = votes.agg(*[F.stddev_pop(F.col(m).cast("double")).alias(m) for m in methods], *[correlation(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}") for a, b in pairs])
     rows = [
@@ -71,7 +71,8 @@ def vote_weights(votes: DataFrame, methods: Sequence[str]) -> DataFrame:
             F.filter(F.array(*[F.when(F.col(o) > 0, F.abs(f"{m}|{o}")) for o in methods if o != m]), lambda x: x.isNotNull() & ~F.isnan(x)).alias("r"),
         ) for m in methods
     ]
-    each = flat.select(F.explode(F.array(*rows)).alias("x")).select("x.*").filter("sd > 0")
+    each = flat.select(F.explode(F.array(*rows)).alias("x")).select("x.*").withColumn("_any", F.max("sd").over(Window.partitionBy(F.lit(0))))  # a row a method
+    each = each.filter("sd > 0 or coalesce(_any, 0) = 0")
     mean = F.when(F.size("r") > 0, F.aggregate("r", F.lit(0.0), lambda a, x: a + x) / F.size("r")).otherwise(0.0)
     raw = each.select("method", (1 / (1 + mean)).alias("w"))
     return raw.withColumn("weight", F.col("w") / F.sum("w").over(Window.partitionBy(F.lit(0)))).drop("w")  # a row a method
@@ -137,27 +138,34 @@ def effect_sizes(rows: DataFrame, columns: Sequence[str], flag: Column) -> DataF
     return s.select("feature", "n1", "n0", F.when(pooled > 0, (F.col("m1") - F.col("m0")) / pooled).alias("d")).withColumn("direction", F.when(F.col("d") > 0, "higher").when(F.col("d") < 0, "lower").otherwise("equal"))
 
 
-def visibility(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], during: Column, top: int = 10) -> DataFrame:
-    """Whether an incident stands out from its padding: z of each feature's means over the padding's
-    deviation (ddof 1), low-variance features left out, the mean of the highest z and a verdict.
-
-    visible: at least 3 features with z >= 2 and a mean of the top z >= 0.5; marginal: at least one;
-    'no_incident' and 'no_padding' (fewer than 3 rows) are special.
-    """
+def deviations(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], during: Column) -> DataFrame:
+    """(keys, feature, z): distance of the incident's mean from the padding's over the padding's deviation (ddof 1), to
+    three digits; features with fewer than 3 padding values or hardly any variance are left out."""
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns]))
-    tagged = rows.withColumn("_in", during)
-    sizes = tagged.groupBy(*keys).agg(F.count_if("_in").alias("n_during"), F.count_if(~F.col("_in")).alias("n_padding"))
-    long = tagged.select(*keys, "_in", cells.alias("c")).select(*keys, "_in", "c.feature", "c.x").filter("x is not null")
+    long = rows.withColumn("_in", during).select(*keys, "_in", cells.alias("c")).select(*keys, "_in", "c.feature", "c.x").filter("x is not null")
     pad, inc = F.when(~F.col("_in"), F.col("x")), F.when(F.col("_in"), F.col("x"))
     s = long.groupBy(*keys, "feature").agg(F.count(pad).alias("n0"), F.avg(pad).alias("m0"), F.stddev_samp(pad).alias("s0"), F.avg(inc).alias("m1"))
     s = s.filter((F.col("n0") >= 3) & (F.col("s0") >= F.greatest(F.abs("m0") * 1e-4, F.lit(1e-6))) & F.col("m1").isNotNull())
-    z = s.withColumn("z", F.round(F.abs(F.col("m1") - F.col("m0")) / F.col("s0"), 3))
+    return s.withColumn("z", F.round(F.abs(F.col("m1") - F.col("m0")) / F.col("s0"), 3))
+
+
+def visibility(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], during: Column, top: int = 10) -> DataFrame:
+    """Whether an incident stands out from its padding: number of features with z >= 2, the list and the mean of
+    the highest z, and a verdict.
+
+    visible: at least 3 such features and a mean of the top z >= 0.5; marginal: at least one of them and that mean;
+    invisible otherwise. 'no_incident' and 'no_padding' (fewer than 3 rows) are special.
+    """
+    sizes = rows.withColumn("_in", during).groupBy(*keys).agg(F.count_if("_in").alias("n_during"), F.count_if(~F.col("_in")).alias("n_padding"))
+    z = deviations(rows, keys, columns, during)
     ranked = z.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("z"), "feature")))
-    got = ranked.groupBy(*keys).agg(F.count_if(F.col("z") >= 2).alias("n_deviant"), F.avg(F.when(F.col("_r") <= top, F.col("z"))).alias("top_mean_z"))
-    out = sizes.join(got, list(keys), "left").na.fill(0, ["n_deviant"]).na.fill(0.0, ["top_mean_z"])
+    listed = F.array_sort(F.collect_list(F.when(F.col("_r") <= top, F.struct("_r", F.concat_ws(":", "feature", F.format_number("z", 3)).alias("t")))))  # `top` of them at most
+    got = ranked.groupBy(*keys).agg(F.count_if(F.col("z") >= 2).alias("n_deviant"), F.avg(F.when(F.col("_r") <= top, F.col("z"))).alias("top_mean_z"), F.array_join(F.transform(listed, lambda x: x.t), " ").alias("top_z"))
+    out = sizes.join(got, list(keys), "left").na.fill(0, ["n_deviant"]).na.fill(0.0, ["top_mean_z"]).na.fill("", ["top_z"])
+    stands_out = F.col("top_mean_z") >= 0.5
     verdict = (
-        F.when(F.col("n_during") == 0, "no_incident").when(F.col("n_padding") < 3, "no_padding").when((F.col("n_deviant") >= 3) & (F.col("top_mean_z") >= 0.5), "visible")
-        .when(F.col("n_deviant") >= 1, "marginal").otherwise("not_visible")
+        F.when(F.col("n_during") == 0, "no_incident").when(F.col("n_padding") < 3, "no_padding").when((F.col("n_deviant") >= 3) & stands_out, "visible")
+        .when((F.col("n_deviant") >= 1) & stands_out, "marginal").otherwise("invisible")
     )
     return out.withColumn("verdict", verdict)
 

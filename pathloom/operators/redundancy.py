@@ -19,7 +19,7 @@ from pathloom.functions.stats import correlation
 
 def usable_columns(rows: DataFrame, columns: Sequence[str], count_null: bool = False) -> list[str]:
     """Columns that are not all null and not constant; with count_null a null counts as a value of its own."""
-    counts = rows.agg(*[F.struct(F.approx_count_distinct(c).alias("n"), F.min(c).alias("a"), F.max(c).alias("b"), F.count(c).alias("k"), F.count(F.lit(1)).alias("all")).alias(c) for c in columns]).first()
+    counts = rows.agg(*[F.struct(F.min(c).alias("a"), F.max(c).alias("b"), F.count(c).alias("k"), F.count(F.lit(1)).alias("all")).alias(c) for c in columns]).first()
     return [c for c in columns if counts[c]["k"] > 0 and (counts[c]["a"] != counts[c]["b"] or (count_null and counts[c]["k"] < counts[c]["all"]))]
 
 
@@ -36,6 +36,45 @@ def pearson_pairs(rows: DataFrame, columns: Sequence[str], keys: Sequence[str] =
     return wide.select(*keys, "n", cells.alias("c")).select(*keys, "n", "c.feature_a", "c.feature_b", F.coalesce("c.r", F.lit(0.0)).alias("r"))
 
 
+def t_tail(t: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """Two-sided tail probability of Student's t: the regularised incomplete beta function of df / (df + t^2) at
+    (df / 2, 1 / 2), by its continued fraction."""
+    from math import lgamma
+
+    def beta(a: float, b: float, x: float) -> float:
+        if x <= 0 or x >= 1:
+            return float(x >= 1)
+        if x > (a + 1) / (a + b + 2):
+            return 1 - beta(b, a, 1 - x)
+        front = np.exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * np.log(x) + b * np.log1p(-x)) / a
+        tiny = 1e-300
+        c, d = 1.0, 1.0 / (1 - (a + b) * x / (a + 1) or tiny)
+        total = d
+        for m in range(1, 500):
+            for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+                d = 1.0 / (1 + step * d or tiny)
+                c = 1 + step / c or tiny
+                total *= c * d
+            if abs(c * d - 1) < 1e-14:
+                break
+        return float(front * total)
+
+    return np.array([np.nan if not n > 0 or np.isnan(x) else beta(n / 2, 0.5, n / (n + x * x)) if np.isfinite(x) else 0.0 for x, n in zip(t, df, strict=True)])
+
+
+def with_p_values(pairs: DataFrame) -> DataFrame:
+    """Adds `p_value` of a correlation r over n rows, two-sided, by Student's t with n - 2 degrees; null below 3 rows.
+    A row a pair of features is all that reaches Python."""
+
+    def tail(r: pd.Series, n: pd.Series) -> pd.Series:
+        df = n.to_numpy(dtype=float) - 2
+        r = r.to_numpy(dtype=float)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return pd.Series(t_tail(np.abs(r) * np.sqrt(df / (1 - r * r)), df))
+
+    return pairs.withColumn("p_value", F.nanvl(F.pandas_udf(tail, "double")(F.col("r"), F.col("n")), F.lit(None).cast("double")))
+
+
 def average_ranks(rows: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """The columns replaced by their ranks, ties sharing the mean rank.
 

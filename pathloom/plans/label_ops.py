@@ -221,9 +221,9 @@ e AS (SELECT feature, n1, n0, (m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) /
     "visibility": _N + ", x AS (" + " UNION ALL ".join(f"SELECT domain, '{c}' AS feature, \"binary\" = 1 AS f, {c} AS x FROM n WHERE \"binary\" IS NOT NULL" for c in COLUMNS) + """),
 z AS (SELECT domain, feature, round(abs(avg(x) FILTER (f) - avg(x) FILTER (NOT f)) / stddev_samp(x) FILTER (NOT f), 3) AS z FROM x GROUP BY ALL
   HAVING count(*) FILTER (NOT f) >= 3 AND stddev_samp(x) FILTER (NOT f) >= greatest(abs(avg(x) FILTER (NOT f)) * 1e-4, 1e-6) AND count(*) FILTER (f) > 0),
-g AS (SELECT domain, count(*) FILTER (z >= 2) AS n_deviant, avg(z) AS top_mean_z FROM z GROUP BY ALL), c AS (SELECT domain, count(*) FILTER ("binary" = 1) AS n_during, count(*) FILTER ("binary" = 0) AS n_padding FROM n WHERE "binary" IS NOT NULL GROUP BY ALL)
-SELECT domain, n_during, n_padding, coalesce(n_deviant, 0) AS n_deviant, coalesce(top_mean_z, 0) AS top_mean_z, CASE WHEN n_during = 0 THEN 'no_incident' WHEN n_padding < 3 THEN 'no_padding' WHEN n_deviant >= 3 AND top_mean_z >= 0.5 THEN 'visible'
-  WHEN n_deviant >= 1 THEN 'marginal' ELSE 'not_visible' END AS verdict FROM c LEFT JOIN g USING (domain)""",
+g AS (SELECT domain, count(*) FILTER (z >= 2) AS n_deviant, avg(z) AS top_mean_z, string_agg(feature || ':' || format('{:.3f}', z), ' ' ORDER BY z DESC, feature) AS top_z FROM z GROUP BY ALL), c AS (SELECT domain, count(*) FILTER ("binary" = 1) AS n_during, count(*) FILTER ("binary" = 0) AS n_padding FROM n WHERE "binary" IS NOT NULL GROUP BY ALL)
+SELECT domain, n_during, n_padding, coalesce(n_deviant, 0) AS n_deviant, coalesce(top_mean_z, 0) AS top_mean_z, coalesce(top_z, '') AS top_z, CASE WHEN n_during = 0 THEN 'no_incident' WHEN n_padding < 3 THEN 'no_padding' WHEN n_deviant >= 3 AND top_mean_z >= 0.5 THEN 'visible'
+  WHEN n_deviant >= 1 AND top_mean_z >= 0.5 THEN 'marginal' ELSE 'invisible' END AS verdict FROM c LEFT JOIN g USING (domain)""",
     "periodic_relabel": _N + ", bd AS (SELECT " + ", ".join(f"quantile_cont({c}, 0.01) AS lo_{c}, quantile_cont({c}, 0.99) AS hi_{c}" for c in COLUMNS) + ", max(announcements) AS most FROM n WHERE discovered_label = 'likely_normal'), o AS (SELECT n.*, most, (" + " + ".join(f"({c} < lo_{c} OR {c} > hi_{c})::INT" for c in COLUMNS if c != "announcements") + """)::BIGINT AS n_outside FROM n, bd)
 SELECT row_id, n_outside, CASE WHEN discovered_label IN ('likely_anomalous', 'highly_anomalous') AND n_outside < 2 AND NOT coalesce(announcements > 5 * most, false) THEN 'likely_normal' ELSE discovered_label END AS relabelled FROM o""",
     "daily_label_stats": f"""WITH {L_SQL}, k AS (SELECT domain, strftime(w, '%Y-%m-%d') AS day, count(*) AS n, avg(consensus_score) AS mean_score, count(*) FILTER ("binary" = 1) AS n_anomalies FROM l GROUP BY ALL) SELECT *, n_anomalies / n AS rate, n_anomalies / n > 0.3 AS suspicious FROM k""",
