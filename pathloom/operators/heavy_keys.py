@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def key_profile(rows: DataFrame, keys: dict[str, Column], time: Column, item: Column, record: Column) -> DataFrame:
+def key_profile(rows: DataFrame, keys: dict[str, Column], read: Sequence[str], time: Column, item: Column, record: Column) -> DataFrame:
     """Per key: `n` records, `first_ts`, `last_ts` and `n_items` distinct items, with even work; and `records`, of all rows.
 
     Every step is an algebraic aggregate with map-side combining: each task holds a hash table of partial
@@ -18,8 +19,8 @@ def key_profile(rows: DataFrame, keys: dict[str, Column], time: Column, item: Co
     is one partial row per task.
 
     Copies of a record (equal `record`) are exact and count once: rows are counted with their copies, and
-    what copies add is taken off again. For that each row sends its record and a 128-bit hash of its key, not its
-    columns, and only the few records found more than once go on.
+    what copies add is taken off again. For that each row sends its record and the columns `read`, as they are,
+    which the keys are worked out from; only for the few records found more than once that is done again.
 
     Rows with a null key part are left out, but for `records`. Null times count as records but not for first and
     last; null items are no items.
@@ -31,9 +32,9 @@ def key_profile(rows: DataFrame, keys: dict[str, Column], time: Column, item: Co
     by_key = by_item.groupBy(*keys).agg(
         F.sum("_n").alias("n"), F.min("_first").alias("first_ts"), F.max("_last").alias("last_ts"), F.count("_item").alias("n_items"), F.bool_and("_whole").alias("_whole")
     )
-    tag = {"_h1": F.xxhash64(*keys), "_h2": F.xxhash64(F.lit("key"), *keys)}
-    again = picked.withColumns(tag).groupBy("_record", "_h1", "_h2").agg((F.count(F.lit(1)) - 1).alias("_extra")).filter("_extra > 0")
-    again = again.groupBy("_h1", "_h2").agg(F.sum("_extra").alias("_extra"))
-    once = by_key.withColumns(tag).join(again, ["_h1", "_h2"], "left").withColumn("n", F.col("n") - F.coalesce("_extra", F.lit(0)))
+    again = rows.select(record.alias("_record"), *read).repartition("_record").groupBy("_record", *read).agg((F.count(F.lit(1)) - 1).alias("_extra")).filter("_extra > 0")
+    again = again.select("_extra", *[c.alias(f"_k{i}") for i, c in enumerate(keys.values())]).groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(F.sum("_extra").alias("_extra"))
+    same = reduce(and_, [by_key[k].eqNullSafe(again[f"_k{i}"]) for i, k in enumerate(keys)])
+    once = by_key.join(again, same, "left").withColumn("n", F.col("n") - F.coalesce("_extra", F.lit(0)))
     total = once.agg(F.sum("n").alias("records"))  # one row
     return once.filter("_whole").select(*keys, "n", "first_ts", "last_ts", "n_items").crossJoin(F.broadcast(total))

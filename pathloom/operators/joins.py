@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathloom.operators.chunked import in_blocks
 from pathloom.operators.grid import MICRO
 
 
@@ -75,10 +76,11 @@ def ordered_pairs(items: DataFrame, column: str, most: int = 10_000) -> DataFram
     return items.sparkSession.createDataFrame(pairs, f"source_{column} string, target_{column} string")
 
 
-def temporal_edges(rows: DataFrame, keys: list[str], order: list[str], node: str, k: int = 2) -> DataFrame:
-    """Each row with the k before it: edges of a chronological graph."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    numbered = rows.select(*keys, F.col(node).alias("target"), *[F.lag(node, i).over(w).alias(f"_{i}") for i in range(1, k + 1)])
+def temporal_edges(rows: DataFrame, keys: list[str], time: str, order: list[str], node: str, k: int = 2, block: int = 50_000) -> DataFrame:
+    """Each row with the k before it by (time, order): edges of a chronological graph. Rows without time are left out."""
+    w = Window.partitionBy(*keys, "_block").orderBy("_pos")
+    placed = in_blocks(rows.select(*keys, time, *order, F.col(node).alias("target")), keys, time, order, k, 0, block)
+    numbered = placed.select(*keys, "target", "_own", *[F.lag("target", i).over(w).alias(f"_{i}") for i in range(1, k + 1)]).filter("_own")
     before = F.explode(F.array(*[F.struct(F.col(f"_{i}").alias("source"), F.lit(i).alias("step")) for i in range(1, k + 1)]))
     return numbered.select(*keys, "target", before.alias("_e")).filter("_e.source is not null").select(*keys, "_e.source", "target", "_e.step")
 

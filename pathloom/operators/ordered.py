@@ -3,20 +3,35 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathloom.operators.chunked import in_blocks, join_same, with_positions
 
-def sessions(rows: DataFrame, keys: list[str], time: str, gap_minutes: int = 120, name: str | None = None) -> DataFrame:
+
+def sessions(rows: DataFrame, keys: list[str], time: str, gap_minutes: int = 120, name: str | None = None, chunk_seconds: int = 604_800) -> DataFrame:
     """Numbers events: an event starts where the gap to the row before is larger than gap_minutes.
 
     Adds `event_no` (from 1 within keys) and, with `name`, `event_id` as {name}_evt_{number:03d}. Rows with a
     null time are left out.
+
+    Events are numbered within (key, chunk of time). One row a chunk tells its last time and its number of events,
+    from which follows how many came before and whether its first event goes on from the chunk before.
     """
-    w = Window.partitionBy(*keys).orderBy(time)
-    gap = F.unix_micros(time) - F.unix_micros(F.lag(time).over(w))
-    starts = F.coalesce(gap > F.lit(gap_minutes * 60_000_000), F.lit(True)).cast("int")
-    out = rows.filter(F.col(time).isNotNull()).withColumn("event_no", F.sum(starts).over(w.rangeBetween(Window.unboundedPreceding, 0)))
+    chunk = F.floor(F.unix_micros(time) / F.lit(chunk_seconds * 1_000_000)).cast("bigint")
+    w = Window.partitionBy(*keys, "_chunk").orderBy(time)
+    wide = lambda later, earlier: F.unix_micros(later) - F.unix_micros(earlier) > F.lit(gap_minutes * 60_000_000)
+    placed = rows.filter(F.col(time).isNotNull()).withColumn("_chunk", chunk).repartition(*keys, "_chunk")
+    starts = wide(time, F.lag(time).over(w))
+    placed = placed.withColumn("_own", F.sum(F.coalesce(starts, F.lit(False)).cast("int")).over(w.rangeBetween(Window.unboundedPreceding, 0)))
+    ends = placed.groupBy(*keys, "_chunk").agg(F.min(time).alias("_first"), F.max(time).alias("_last"), F.max("_own").alias("_events"))
+    order = Window.partitionBy(*keys).orderBy("_chunk")
+    anew = F.coalesce(wide("_first", F.lag("_last").over(order)), F.lit(True)).cast("int")  # the chunk's first event is a new one
+    ends = ends.withColumn("_anew", anew)
+    base = F.sum(F.col("_anew") + F.col("_events")).over(order) - F.col("_events")
+    ends = ends.select(*keys, "_chunk", base.alias("_base"))
+    out = join_same(placed, ends, [*keys, "_chunk"]).select(*rows.columns, (F.col("_base") + F.col("_own")).alias("event_no"))
     if name:
         number = F.col("event_no").cast("string")
         out = out.withColumn("event_id", F.concat(F.col(name), F.lit("_evt_"), F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number)))
@@ -30,24 +45,25 @@ def event_manifest(rows: DataFrame, keys: list[str], time: str, label: str) -> D
     return by_label.groupBy(*keys, "event_id").agg(F.min("_a").alias("start_time"), F.max("_b").alias("end_time"), F.sum("_n").alias("n_windows"), best.alias("dominant_label"))
 
 
-def rolling(rows: DataFrame, keys: list[str], order: list[str], value: str, size: int = 12, least: int = 4) -> DataFrame:
+def rolling(rows: DataFrame, keys: list[str], time: str, order: list[str], value: str, size: int = 12, least: int = 4, block: int = 50_000) -> DataFrame:
     """Adds `rolling_median` (centred: size / 2 before and size / 2 - 1 after, at least `least` values) and
-    `trailing_mean` (the last `size` values)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
+    `trailing_mean` (the last `size` values), by (time, order). Rows without time are left out."""
+    w = Window.partitionBy(*keys, "_block").orderBy("_pos")
     centred = w.rowsBetween(-(size // 2), size - size // 2 - 1)
     # a frame of a few rows: its sorted values' middle
     seen = F.sort_array(F.collect_list(value).over(centred))
     n = F.size("_seen")
     middle = (F.get("_seen", F.floor((n - 1) / 2).cast("int")) + F.get("_seen", F.floor(n / 2).cast("int"))) / 2
-    out = rows.withColumns({"_seen": seen, "trailing_mean": F.avg(value).over(w.rowsBetween(1 - size, 0))})
-    return out.withColumn("rolling_median", F.when(n >= least, middle)).drop("_seen")
+    placed = in_blocks(rows, keys, time, order, size, size, block)
+    out = placed.withColumns({"_seen": seen, "trailing_mean": F.avg(value).over(w.rowsBetween(1 - size, 0))}).filter("_own")
+    return out.withColumn("rolling_median", F.when(n >= least, middle)).drop("_seen", "_pos", "_block", "_own")
 
 
-def trailing_sequences(rows: DataFrame, keys: list[str], order: list[str], values: list[str], length: int = 10) -> DataFrame:
-    """Adds `sequence`: the last `length` rows' values, padded at the left with the oldest of them."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - length, 0)
+def trailing_sequences(rows: DataFrame, keys: list[str], time: str, order: list[str], values: list[str], length: int = 10, block: int = 50_000) -> DataFrame:
+    """Adds `sequence`: the last `length` rows' values by (time, order), padded at the left with the oldest of them."""
+    w = Window.partitionBy(*keys, "_block").orderBy("_pos").rowsBetween(1 - length, 0)
     seen = F.collect_list(F.array(*[F.coalesce(F.col(v).cast("float"), F.lit(float("nan")).cast("float")) for v in values])).over(w)
-    out = rows.withColumn("sequence", seen)
+    out = in_blocks(rows, keys, time, order, length, 0, block).withColumn("sequence", seen).filter("_own").drop("_pos", "_block", "_own")
     return out.withColumn("sequence", F.concat(F.array_repeat(F.get("sequence", F.lit(0)), F.lit(length) - F.size("sequence")), "sequence"))
 
 
@@ -80,19 +96,32 @@ def numbered_by(rows: DataFrame, order: list[str]) -> DataFrame:
     return placed.join(before.select("_part", "_before"), "_part").withColumn("row_no", within - 1 + F.col("_before")).drop("_part", "_before")
 
 
-def autocorrelation(rows: DataFrame, keys: list[str], order: list[str], value: str, lags: range) -> DataFrame:
-    """Autocorrelation of each series (by row position) at each lag, over its lag-0 value; null for a flat series.
+def autocorrelation(rows: DataFrame, keys: list[str], time: str, value: str, lags: range, block: int = 8192) -> DataFrame:
+    """Autocorrelation of each series (by position in time) at each lag, over its lag-0 value; null for a flat series.
 
-    A self-join on (series, position) with each row sent to its lagged positions: series, lags and blocks of
-    positions are spread over the cluster.
+    Positions are cut into blocks, each with the readings of the longest lag after it; a block gives a sum of products
+    for each lag, and these are added up. So a long series is spread, and a reading goes to two blocks or so. At
+    most one reading a time is expected; null values and times are left out.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    x = F.col(value) - F.avg(value).over(Window.partitionBy(*keys))
-    centred = rows.filter(F.col(value).isNotNull()).withColumns({"_i": F.row_number().over(w), "_x": x}).select(*keys, "_i", "_x")
-    power = centred.groupBy(*keys).agg(F.sum(F.col("_x") * F.col("_x")).alias("_p"))
-    ahead = centred.select(*keys, F.col("_x").alias("_y"), F.explode(F.array(*[F.struct(F.lit(g).alias("lag"), (F.col("_i") + g).alias("_i")) for g in lags])).alias("g")).select(*keys, "_y", "g.lag", "g._i")
-    sums = ahead.join(centred, [*keys, "_i"]).groupBy(*keys, "lag").agg(F.sum(F.col("_x") * F.col("_y")).alias("_s"))
-    return sums.join(power, keys).select(*keys, F.col("lag").cast("bigint").alias("lag"), F.when(F.col("_p") > 1e-12, F.col("_s") / F.col("_p")).alias("acf"))
+    reach = max(lags)
+    placed = with_positions(rows.filter(F.col(value).isNotNull()).select(*keys, F.col(time).alias("_t"), F.col(value).cast("double").alias("_v")), keys, "_t", [])
+    means = placed.groupBy(*keys).agg(F.avg("_v").alias("_mean"))
+    centred = join_same(placed, means, keys).select(*keys, "_pos", (F.col("_v") - F.col("_mean")).alias("_x"))
+    first = F.greatest(F.floor((F.col("_pos") - reach) / block), F.lit(0)).cast("bigint")
+    spread = centred.withColumn("_block", F.explode(F.sequence(first, F.floor(F.col("_pos") / block).cast("bigint"))))
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+    def products(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_pos", ignore_index=True)
+        x, own = pdf["_x"].to_numpy(), int((pdf["_pos"] < (pdf["_block"].iloc[0] + 1) * block).sum())
+        found = [float(x[: max(0, min(own, len(x) - g))] @ x[g : g + max(0, min(own, len(x) - g))]) for g in (0, *lags)]
+        used = [min(own, len(x) - g) > 0 for g in (0, *lags)]
+        out = pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(found) for k in keys}, "lag": [0, *lags], "_s": found})
+        return out[used]
+
+    sums = spread.groupBy(*keys, "_block").applyInPandas(products, f"{kinds}, lag bigint, _s double").groupBy(*keys, "lag").agg(F.sum("_s").alias("_s"))
+    power = F.max(F.when(F.col("lag") == 0, F.col("_s"))).over(Window.partitionBy(*keys))  # a row a lag
+    return sums.withColumn("_p", power).filter("lag > 0").select(*keys, "lag", F.when(F.col("_p") > 1e-12, F.col("_s") / F.col("_p")).alias("acf"))
 
 
 def dominant_period(acf: DataFrame, keys: list[str], height: float = 0.08, distance: int = 3) -> DataFrame:

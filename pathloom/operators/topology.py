@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions.paths import path_edges
-from pathloom.operators.grid import floor_time
+from pathloom.operators.grid import MICRO, floor_time
 
 SEGMENT_SECONDS = 28_800
 
@@ -47,16 +47,19 @@ def edge_intervals(deltas: DataFrame, group: list[str]) -> DataFrame:
     return deltas.withColumns({"refs": F.sum("delta").over(order), "until": F.lead("w").over(order)}).filter("refs > 0").drop("delta")
 
 
-def live_edges(log: DataFrame, group: list[str]) -> DataFrame:
+def live_edges(log: DataFrame, group: list[str], window_seconds: int = 300, segment_seconds: int = SEGMENT_SECONDS) -> DataFrame:
     """The live edges at the end of each window that has updates: group, segment, w, u, v, refs.
 
-    Windows of a segment are few (96 of five minutes), so an edge's interval is expanded over the windows of
-    its segment by an equi-join on the segment.
+    An edge's interval is expanded over its own windows (96 of five minutes in a segment at most), of which those
+    that have updates stay: the join is on (group, segment, window), so a busy segment is spread over its windows.
     """
-    windows = log.select(*group, "segment", "w").distinct().withColumnRenamed("w", "at")
+    windows = log.select(*group, "segment", "w").distinct()
     spans = edge_intervals(edge_deltas(path_lives(log, group), group), group)
-    held = spans.join(windows, [*group, "segment"]).filter("at >= w and (until is null or at < until)")
-    return held.select(*group, "segment", F.col("at").alias("w"), "u", "v", "refs")
+    step, begin = F.lit(window_seconds * MICRO), F.unix_micros("w")
+    end = F.coalesce(F.unix_micros("until"), F.unix_micros("segment") + F.lit(segment_seconds * MICRO))
+    at = F.transform(F.sequence(F.lit(0).cast("bigint"), ((end - begin - 1) / step).cast("bigint")), lambda i: F.timestamp_micros(begin + i * step))
+    held = spans.filter(end > begin).select(*group, "segment", "u", "v", "refs", F.explode(at).alias("w"))
+    return held.join(windows, [*group, "segment", "w"], "left_semi").select(*group, "segment", "w", "u", "v", "refs")
 
 
 def topology_evolution(live: DataFrame, group: list[str]) -> DataFrame:

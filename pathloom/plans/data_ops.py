@@ -59,7 +59,7 @@ def heavy_keys(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "updates").select("seq", "timestamp", "type", "peer_as", "prefix", "as_path")
     path = F.when(F.col("type") == "A", F.nullif(clean_path(F.col("as_path")), F.lit("")))
     keys = {"peer_as": as_number(F.col("peer_as")), "prefix": network(F.col("prefix"))}
-    return key_profile(rows, keys, F.col("timestamp"), path, F.col("seq"))
+    return key_profile(rows, keys, ["peer_as", "prefix"], F.col("timestamp"), path, F.col("seq"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

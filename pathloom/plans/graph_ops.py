@@ -10,7 +10,7 @@ from pathloom.operators import topology as topo
 from pathloom.operators.components import components
 from pathloom.operators.graph_kernels import kernel_features, kernel_nodes
 from pathloom.operators.snapshot_diff import undirected
-from pathloom.plans.stream_ops import FIVE_MINUTES, HOUR, UPDATES_SQL
+from pathloom.plans.stream_ops import FIVE_MINUTES, UPDATES_SQL
 from pathloom.session import table
 from pathloom.sources.updates import read_updates
 
@@ -80,29 +80,21 @@ def important_nodes(spark: SparkSession, d: str) -> DataFrame:
 GROUP = ["collector"]
 
 
-def _log(spark: SparkSession, d: str, seconds: int = HOUR) -> DataFrame:
+def _log(spark: SparkSession, d: str, seconds: int = FIVE_MINUTES) -> DataFrame:
     return topo.with_segment(read_updates(spark, d, seconds))
 
 
-def live_edges(spark: SparkSession, d: str, seconds: int = HOUR) -> DataFrame:
-    return topo.live_edges(_log(spark, d, seconds), GROUP)
-
-
-def live_edges_5min(spark: SparkSession, d: str) -> DataFrame:
-    return live_edges(spark, d, FIVE_MINUTES)
+def live_edges(spark: SparkSession, d: str, seconds: int = FIVE_MINUTES) -> DataFrame:
+    return topo.live_edges(_log(spark, d, seconds), GROUP, seconds)
 
 
 def topology_evolution(spark: SparkSession, d: str) -> DataFrame:
     return topo.topology_evolution(live_edges(spark, d), GROUP)
 
 
-def topology_evolution_5min(spark: SparkSession, d: str) -> DataFrame:
-    return topo.topology_evolution(live_edges_5min(spark, d), GROUP)
-
-
 def edge_churn(spark: SparkSession, d: str) -> DataFrame:
     """Edges that came to life and died by five-minute window."""
-    spans = topo.edge_intervals(topo.edge_deltas(topo.path_lives(_log(spark, d, FIVE_MINUTES), GROUP), GROUP), GROUP)
+    spans = topo.edge_intervals(topo.edge_deltas(topo.path_lives(_log(spark, d), GROUP), GROUP), GROUP)
     born = spans.select(*GROUP, "segment", "u", "v", F.col("w").alias("at"), F.lit(1).alias("x"))
     gone = spans.filter("until is not null").select(*GROUP, "segment", "u", "v", F.col("until").alias("at"), F.lit(-1).alias("x"))
     # a change of the count alone ends one interval and starts the next in the same window: they cancel
@@ -137,9 +129,7 @@ QUERIES = {
     "graph_kernel_nodes": _on_edges(kernel_nodes),
     "important_nodes": important_nodes,
     "live_edges_per_window": live_edges,
-    "live_edges_per_window_5min": live_edges_5min,
     "topology_evolution": topology_evolution,
-    "topology_evolution_5min": topology_evolution_5min,
     "edge_churn": edge_churn,
     "topology_counters": state_counters,
 }

@@ -60,7 +60,7 @@ def without_exchanges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _paths(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    log = read_updates(spark, d, 3600).filter("type = 'A'").select("seq", "collector", "w", "path")
+    log = read_updates(spark, d).filter("type = 'A'").select("seq", "collector", "w", "path")
     hops = log.filter(F.size("path") > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.least(F.get("path", i - 1), F.get("path", i)).alias("u"), F.greatest(F.get("path", i - 1), F.get("path", i)).alias("v")))).alias("e"))
     return log, _relations_of(hops.select("e.u", "e.v"))
 

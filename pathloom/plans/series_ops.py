@@ -64,13 +64,13 @@ def floor_snapshot_join(spark: SparkSession, d: str) -> DataFrame:
 
 def rolling_features(spark: SparkSession, d: str) -> DataFrame:
     rows = labelled(spark, d).select("row_id", "domain", "w", F.col("announcements").cast("double").alias("x"))
-    return o.rolling(rows, ["domain"], ["w", "row_id"], "x").select("row_id", "rolling_median", "trailing_mean")
+    return o.rolling(rows, ["domain"], "w", ["row_id"], "x").select("row_id", "rolling_median", "trailing_mean")
 
 
 def trailing_sequence(spark: SparkSession, d: str) -> DataFrame:
     """Sequences of ten windows, as text of their announcements."""
     rows = labelled(spark, d).select("row_id", "domain", "w", "announcements")
-    out = o.trailing_sequences(rows, ["domain"], ["w", "row_id"], ["announcements"], 10)
+    out = o.trailing_sequences(rows, ["domain"], "w", ["row_id"], ["announcements"], 10)
     text = F.array_join(F.transform("sequence", lambda x: F.when(F.isnan(x[0]), F.lit("-")).otherwise(x[0].cast("bigint").cast("string"))), " ")
     return out.select("row_id", text.alias("sequence"))
 
@@ -80,24 +80,15 @@ def tail_split(spark: SparkSession, d: str) -> DataFrame:
     return o.tail_split(rows, ["w", "row_id"], "binary").select("row_id", F.col("row_no").cast("bigint").alias("row_no"), "is_validation")
 
 
-def _hourly(spark: SparkSession, d: str) -> DataFrame:
-    rows = features(spark, d).filter("w is not null and total_updates is not null")
-    return rows.groupBy("collector", "asn", floor_time(F.col("w"), 3600).alias("h")).agg(F.avg("total_updates").alias("x"))
-
-
 def acf_lags(spark: SparkSession, d: str) -> DataFrame:
-    return o.autocorrelation(_hourly(spark, d), ["collector", "asn"], ["h"], "x", range(4, 49))
-
-
-def acf_lags_5min(spark: SparkSession, d: str) -> DataFrame:
     """Autocorrelation of the series of five-minute windows (mean of a window's readings), at lags of 4 to 300 windows."""
     rows = features(spark, d).filter("w is not null and total_updates is not null").groupBy("collector", "asn", "w").agg(F.avg("total_updates").alias("x"))
-    return o.autocorrelation(rows, ["collector", "asn"], ["w"], "x", range(4, 301))
+    return o.autocorrelation(rows, ["collector", "asn"], "w", "x", range(4, 301))
 
 
 def dominant_period(spark: SparkSession, d: str) -> DataFrame:
     """The period in five-minute windows, from 5 (25 minutes) to 299, past a day's 288."""
-    return o.dominant_period(acf_lags_5min(spark, d), ["collector", "asn"])
+    return o.dominant_period(acf_lags(spark, d), ["collector", "asn"])
 
 
 def spike_intervals(spark: SparkSession, d: str) -> DataFrame:
@@ -168,7 +159,7 @@ def domain_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def temporal_edges(spark: SparkSession, d: str) -> DataFrame:
-    return j.temporal_edges(labelled(spark, d), ["domain"], ["w", "row_id"], "row_id", 2)
+    return j.temporal_edges(labelled(spark, d), ["domain"], "w", ["row_id"], "row_id", 2)
 
 
 def mutual_knn(spark: SparkSession, d: str) -> DataFrame:
@@ -179,7 +170,7 @@ def mutual_knn(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        event_sessions, event_manifest, event_interval_join, nearest_window_join, floor_snapshot_join, rolling_features, trailing_sequence, tail_split, acf_lags, acf_lags_5min, dominant_period,
+        event_sessions, event_manifest, event_interval_join, nearest_window_join, floor_snapshot_join, rolling_features, trailing_sequence, tail_split, acf_lags, dominant_period,
         spike_intervals, largest_gap, sign_flips, slot_profile, fourier_template, sampling_interval, label_override, upsert_keep_last, replace_by_key, domain_pairs, temporal_edges, mutual_knn,
     )
 }
@@ -204,11 +195,11 @@ m AS MATERIALIZED (SELECT domain, event_id, min(a) AS start_time, max(b) AS end_
 )
 _ACF = (
     f"WITH {W_SQL}"
-    + """, h AS (SELECT collector, asn, time_bucket(INTERVAL 1 hour, w) AS h, avg(total_updates) AS x FROM f WHERE w IS NOT NULL AND total_updates IS NOT NULL GROUP BY ALL),
+    + """, h AS (SELECT collector, asn, w AS h, avg(total_updates) AS x FROM f WHERE w IS NOT NULL AND total_updates IS NOT NULL GROUP BY ALL),
 c AS MATERIALIZED (SELECT collector, asn, row_number() OVER (PARTITION BY collector, asn ORDER BY h) AS i, x - avg(x) OVER (PARTITION BY collector, asn) AS x FROM h),
 p AS (SELECT collector, asn, sum(x * x) AS p FROM c GROUP BY ALL)
 SELECT a.collector, a.asn, (b.i - a.i)::BIGINT AS lag, CASE WHEN any_value(p) > 1e-12 THEN sum(a.x * b.x) / any_value(p) END AS acf
-FROM c a JOIN c b ON a.collector = b.collector AND a.asn = b.asn AND b.i - a.i BETWEEN 4 AND 48 JOIN p ON p.collector = a.collector AND p.asn = a.asn GROUP BY ALL"""
+FROM c a JOIN c b ON a.collector = b.collector AND a.asn = b.asn AND b.i - a.i BETWEEN 4 AND 300 JOIN p ON p.collector = a.collector AND p.asn = a.asn GROUP BY ALL"""
 )
 
 ORACLE = {

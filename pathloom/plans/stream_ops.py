@@ -1,15 +1,15 @@
-"""Queries over the update stream: path functions and the statistical view, of one-hour windows as in the SQL and of five minutes (`_5min`)."""
+"""Queries over the update stream: path functions and the statistical view of five-minute windows."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.functions import paths
 from pathloom.operators import statview as sv
+from pathloom.operators.chunked import with_predecessor
 from pathloom.sources.updates import read_updates
 
-HOUR = 3600
 FIVE_MINUTES = 300
 KEYS = ["collector", "w"]
 
@@ -18,7 +18,7 @@ PUBLIC = "NOT (asn IN (0, 23456, 65535, 4294967295) OR asn BETWEEN 64512 AND 655
 
 UPDATES_SQL = f"""
 raw_u AS (
-  SELECT DISTINCT seq, timestamp AS ts, time_bucket(INTERVAL 1 hour, timestamp) AS w, coalesce(collector, '') AS collector, coalesce(type, '') AS type,
+  SELECT DISTINCT seq, timestamp AS ts, time_bucket(INTERVAL 5 minutes, timestamp) AS w, coalesce(collector, '') AS collector, coalesce(type, '') AS type,
          coalesce(peer_ip, '') AS peer_ip, coalesce(peer_as, '') AS peer_as, coalesce(prefix, '') AS prefix, coalesce(origin, '') AS origin,
          coalesce(next_hop, '') AS next_hop, coalesce(as_path, '') AS as_path FROM updates WHERE timestamp IS NOT NULL),
 nums AS (
@@ -30,7 +30,7 @@ u AS (
 """
 
 
-def _log(spark: SparkSession, d: str, seconds: int = HOUR) -> DataFrame:
+def _log(spark: SparkSession, d: str, seconds: int = FIVE_MINUTES) -> DataFrame:
     return read_updates(spark, d, seconds)
 
 
@@ -39,7 +39,7 @@ def _text() -> Column:
 
 
 def asn_validity(spark: SparkSession, d: str) -> DataFrame:
-    tokens = read_updates(spark, d, HOUR, raw=True).select(F.explode(F.split("as_path", r"\s+")).alias("token")).filter(F.col("token").rlike("^[0-9]{1,18}$")).distinct()
+    tokens = read_updates(spark, d, FIVE_MINUTES, raw=True).select(F.explode(F.split("as_path", r"\s+")).alias("token")).filter(F.col("token").rlike("^[0-9]{1,18}$")).distinct()
     return tokens.select(F.col("token").cast("bigint").alias("asn")).distinct().select("asn", paths.is_public_asn(F.col("asn")).alias("valid"))
 
 
@@ -56,12 +56,12 @@ def path_edges(spark: SparkSession, d: str) -> DataFrame:
 
 def path_edit_distance(spark: SparkSession, d: str) -> DataFrame:
     """Distances between the successive paths of a prefix over the whole log."""
-    w = Window.partitionBy("prefix").orderBy("ts", "seq")
-    rows = _log(spark, d).filter("type = 'A'").filter(F.size("path") > 0).withColumn("before", F.lag("path").over(w)).filter("before is not null")
+    rows = with_predecessor(_log(spark, d).filter("type = 'A'").filter(F.size("path") > 0).select("seq", "ts", "prefix", "path"), ["prefix"], "ts", ["seq"], "path", "before")
+    rows = rows.filter("before is not null")
     return rows.select("seq", paths.edit_distance(F.col("before"), F.col("path")).cast("bigint").alias("distance"))
 
 
-def _part(name, seconds=HOUR):
+def _part(name, seconds=FIVE_MINUTES):
     def run(spark: SparkSession, d: str) -> DataFrame:
         return getattr(sv, name)(_log(spark, d, seconds), KEYS)
 
@@ -78,15 +78,11 @@ def _ego(log: DataFrame) -> DataFrame:
     return near.select("collector", F.explode(F.array("u", "v")).alias("asn")).distinct()
 
 
-def ego_filter_ratio(spark: SparkSession, d: str, seconds: int = HOUR) -> DataFrame:
+def ego_filter_ratio(spark: SparkSession, d: str, seconds: int = FIVE_MINUTES) -> DataFrame:
     log = _log(spark, d, seconds)
     return sv.ego_filter_ratio(log, sv.ego_filter(log, _ego(log), TARGET, ["collector"]), KEYS)
 
 
-def ego_filter_ratio_5min(spark: SparkSession, d: str) -> DataFrame:
-    return ego_filter_ratio(spark, d, FIVE_MINUTES)
-
-
 def ego_filter_any_hop(spark: SparkSession, d: str) -> DataFrame:
     log = _log(spark, d)
     return sv.ego_filter(log, _ego(log), TARGET, ["collector"], "any_hop").select("seq")
@@ -113,9 +109,7 @@ QUERIES = {
     "path_edges": path_edges,
     "path_edit_distance": path_edit_distance,
     **{query: _part(name) for query, name in WINDOWED.items()},
-    **{f"{query}_5min": _part(name, FIVE_MINUTES) for query, name in WINDOWED.items()},
     "ego_filter_ratio": ego_filter_ratio,
-    "ego_filter_ratio_5min": ego_filter_ratio_5min,
     "ego_filter_any_hop": ego_filter_any_hop,
 }
 

@@ -128,9 +128,9 @@ def test_regular_windows_difference_a_counter(spark):
 def test_key_profile(spark):
     rows = [(1, "k", at(0), "p"), (2, "k", at(5), "q"), (2, "k", at(5), "q"), (3, "k", None, None), (4, None, at(1), "p"), (5, "m", None, None)]
     df = spark.createDataFrame(rows, "seq long, k string, t timestamp, p string")
-    got = {r.k: tuple(r)[1:] for r in key_profile(df, {"k": F.col("k")}, F.col("t"), F.col("p"), F.col("seq")).collect()}
+    got = {r.k: tuple(r)[1:] for r in key_profile(df, {"k": F.col("k")}, ["k"], F.col("t"), F.col("p"), F.col("seq")).collect()}
     assert got == {"k": (3, at(0), at(5), 2, 5), "m": (1, None, None, 0, 5)}
-    assert key_profile(df.limit(0), {"k": F.col("k")}, F.col("t"), F.col("p"), F.col("seq")).count() == 0
+    assert key_profile(df.limit(0), {"k": F.col("k")}, ["k"], F.col("t"), F.col("p"), F.col("seq")).count() == 0
 
 
 def test_snapshot_changes_against_brute_force(spark):

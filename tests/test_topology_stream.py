@@ -53,7 +53,7 @@ def replay(rows, window=3600, segment=28_800):
 def test_live_edges_equal_an_ordered_replay(spark):
     rows = random_log()
     log = topo.with_segment(update_log(spark.createDataFrame(rows + rows[:30], COLUMNS), 3600))
-    live = topo.live_edges(log, ["collector"])
+    live = topo.live_edges(log, ["collector"], 3600)
     got = {(r.collector, int(r.t), r.u, r.v): r.refs for r in live.select("collector", (F.unix_micros("w") / 1_000_000).alias("t"), "u", "v", "refs").collect()}
     assert got == replay(rows)
 
@@ -63,7 +63,7 @@ def test_short_announcements_and_unknown_withdrawals(spark):
     rows = [key(0, 0, "A", "100", "X", "1 2 3"), key(1, 1, "A", "200", "X", "1 2"), key(2, 2, "A", "100", "X", "7"), key(3, 3, "W", "100", "X", ""), key(4, 4, "W", "200", "X", ""), key(5, 5, "W", "300", "Q", "")]
     log = topo.with_segment(update_log(spark.createDataFrame(rows, COLUMNS), 3600))
     live = defaultdict(set)
-    for r in topo.live_edges(log, ["collector"]).collect():
+    for r in topo.live_edges(log, ["collector"], 3600).collect():
         live[r.w.hour].add((r.u, r.v, r.refs))
     assert live == {0: {(1, 2, 1), (2, 3, 1)}, 1: {(1, 2, 2), (2, 3, 1)}, 2: {(1, 2, 2), (2, 3, 1)}, 3: {(1, 2, 1)}}
 

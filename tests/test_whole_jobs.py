@@ -38,23 +38,23 @@ def test_edges_of_less_than_an_hour_appear(spark, updates):
     d = updates([update(0, 1, "A", "11 12"), update(1, 12, "W", ""), update(2, 30, "A", "13 14")])
     churn = {r.w: (r.edges_added, r.edges_removed) for r in entry.queries()["edge_churn"](spark, d).collect()}
     assert churn == {T0: (1, 0), T0 + 10 * MINUTE: (0, 1), T0 + 30 * MINUTE: (1, 0)}
-    live = {(r.w, r.u, r.v) for r in entry.queries()["live_edges_per_window_5min"](spark, d).collect()}
+    live = {(r.w, r.u, r.v) for r in entry.queries()["live_edges_per_window"](spark, d).collect()}
     assert live == {(T0, 11, 12), (T0 + 30 * MINUTE, 13, 14)}
-    assert {r.w for r in entry.queries()["topology_evolution_5min"](spark, d).collect()} == {T0, T0 + 30 * MINUTE}
+    assert {r.w for r in entry.queries()["topology_evolution"](spark, d).collect()} == {T0, T0 + 30 * MINUTE}
 
 
 def test_five_minute_live_edges_equal_an_ordered_replay(spark, updates):
     rows = random_log()
-    got = {(r.collector, int((r.w - dt.datetime(1970, 1, 1)).total_seconds()), r.u, r.v): r.refs for r in entry.queries()["live_edges_per_window_5min"](spark, updates(rows)).collect()}
+    got = {(r.collector, int((r.w - dt.datetime(1970, 1, 1)).total_seconds()), r.u, r.v): r.refs for r in entry.queries()["live_edges_per_window"](spark, updates(rows)).collect()}
     assert got == replay(rows, 300)
 
 
 def test_views_of_five_minutes(spark, updates):
     d = updates([update(0, 1, "A", "11 12"), update(1, 12, "W", ""), update(2, 13, "A", "13 14")])
     want = {T0: (1, 0), T0 + 10 * MINUTE: (1, 1)}
-    for name in ("stat_view_full_5min", "win_volume_5min", "stream_window_counts_5min"):
+    for name in ("stat_view_full", "win_volume", "stream_window_counts"):
         assert {r.w: (r.announcements, r.withdrawals) for r in entry.queries()[name](spark, d).collect()} == want, name
-    assert {r.w for r in entry.queries()["ego_filter_ratio_5min"](spark, d).collect()} == set(want)
+    assert {r.w for r in entry.queries()["ego_filter_ratio"](spark, d).collect()} == set(want)
 
 
 def test_detectors_score_against_the_whole_domain(spark, data, tmp_path):
@@ -144,7 +144,7 @@ def test_a_period_of_half_an_hour_is_found(spark, data, tmp_path):
     rows.write.parquet(str(tmp_path / "window_features.parquet"))
     found = entry.queries()["dominant_period"](spark, str(tmp_path)).collect()
     assert [x.period for x in found] == [6]
-    lags = [x.lag for x in entry.queries()["acf_lags_5min"](spark, str(tmp_path)).collect()]
+    lags = [x.lag for x in entry.queries()["acf_lags"](spark, str(tmp_path)).collect()]
     assert sorted(lags) == list(range(4, 301))
 
 
