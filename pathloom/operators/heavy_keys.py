@@ -32,9 +32,11 @@ def key_profile(rows: DataFrame, keys: dict[str, Column], read: Sequence[str], t
     by_key = by_item.groupBy(*keys).agg(
         F.sum("_n").alias("n"), F.min("_first").alias("first_ts"), F.max("_last").alias("last_ts"), F.count("_item").alias("n_items"), F.bool_and("_whole").alias("_whole")
     )
-    again = rows.select(record.alias("_record"), *read).repartition("_record").groupBy("_record", *read).agg((F.count(F.lit(1)) - 1).alias("_extra")).filter("_extra > 0")
-    again = again.select("_extra", *[c.alias(f"_k{i}") for i, c in enumerate(keys.values())]).groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(F.sum("_extra").alias("_extra"))
+    copies = rows.select(record.alias("_record"), *read).repartition("_record").groupBy("_record", *read).agg((F.count(F.lit(1)) - 1).alias("_extra")).filter("_extra > 0")
+    again = copies.select("_extra", *[c.alias(f"_k{i}") for i, c in enumerate(keys.values())]).groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(F.sum("_extra").alias("_extra"))
     same = reduce(and_, [by_key[k].eqNullSafe(again[f"_k{i}"]) for i, k in enumerate(keys)])
     once = by_key.join(again, same, "left").withColumn("n", F.col("n") - F.coalesce("_extra", F.lit(0)))
-    total = once.agg(F.sum("n").alias("records"))  # one row
+    # two rows: a count without columns, and the copies, whose shuffle is used once more
+    total = rows.agg(F.count(F.lit(1)).alias("_rows")).crossJoin(F.broadcast(copies.agg(F.coalesce(F.sum("_extra"), F.lit(0)).alias("_copies"))))
+    total = total.select((F.col("_rows") - F.col("_copies")).alias("records"))
     return once.filter("_whole").select(*keys, "n", "first_ts", "last_ts", "n_items").crossJoin(F.broadcast(total))
