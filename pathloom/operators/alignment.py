@@ -146,24 +146,40 @@ def mapped_pairs(rows: DataFrame, columns: Sequence[str], domain: str, key: str,
     return centred.select("source", "target", key, *[(dot(j) + F.get("_a", F.lit(j))).alias(c) for j, c in enumerate(columns)])
 
 
-def pair_reports(rows: DataFrame, columns: Sequence[str], domain: str, key: str, most: int = 1024) -> DataFrame:
+def pair_reports(rows: DataFrame, columns: Sequence[str], domain: str, key: str, block: int = 1024) -> DataFrame:
     """Covariance gap and MMD of every ordered pair before and after CORAL, the latter with the bandwidth from before.
 
-    Gaps are of all rows. MMD is of a hash sample of at most `most` rows of each domain (documented bound)."""
+    All rows count. Gaps come from moments. For the MMD the rows of the two domains fall into random blocks of about
+    `block` each, in which they are compared; the blocks' values are averaged, weighted by their rows. Maps, features
+    squared numbers a pair of domains, are broadcast.
+    """
     moments = domain_moments(rows, columns, domain)
-    order = Window.partitionBy(domain).orderBy(F.xxhash64(F.lit(42), F.col(key)), key)
-    picked = rows.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most).select(domain, F.array(*[F.col(c).cast("double") for c in columns]).alias("v")).collect()
-    sample = {a: np.array([r.v for r in picked if r[domain] == a]) for a in moments}
-    out = []
-    for (a, b), m in pair_maps(moments).items():
-        x, y = (sample[a] - m["mean"]) / m["scale"], (sample[b] - m["mean"]) / m["scale"]
-        moved = (x - m["before"]) @ m["matrix"] + m["after"]
+    maps = pair_maps(moments)
+    parts = {(a, b): max(1, -(-(moments[a][0] + moments[b][0]) // (2 * block))) for a, b in maps}
+    spark = rows.sparkSession
+    asked = spark.createDataFrame([(x, a, b, int(k), x == a) for (a, b), k in parts.items() for x in (a, b)], f"{domain} string, source string, target string, parts long, is_source boolean")
+    spread = rows.select(domain, F.xxhash64(F.lit(42), F.col(key)).alias("_h"), F.array(*[F.col(c).cast("double") for c in columns]).alias("v")).join(F.broadcast(asked), domain)
+    spread = spread.withColumn("_block", F.pmod("_h", "parts"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_h", ignore_index=True)
+        pair = (pdf["source"].iloc[0], pdf["target"].iloc[0])
+        m = maps[pair]
+        x, y = [(np.stack(v.to_numpy()) - m["mean"]) / m["scale"] if len(v) else np.empty((0, len(columns))) for v in (pdf["v"][pdf["is_source"]], pdf["v"][~pdf["is_source"]])]
+        if len(x) < 2 or len(y) < 2:
+            return pd.DataFrame({"source": [], "target": [], "before": [], "after": [], "n": []})
         before, width = mmd2(x, y)
-        # CORAL makes a covariance C of the source M' C M
-        ca, cb = m["cov"]
-        out.append((a, b, "before", float(np.linalg.norm(ca - cb)), before))
-        out.append((a, b, "after", float(np.linalg.norm(m["matrix"].T @ ca @ m["matrix"] - cb)), mmd2(moved, y, width)[0]))
-    return rows.sparkSession.createDataFrame(out, "source string, target string, stage string, frobenius_gap double, mmd2 double")
+        after = mmd2((x - m["before"]) @ m["matrix"] + m["after"], y, width)[0]
+        return pd.DataFrame({"source": [pair[0]], "target": [pair[1]], "before": [before], "after": [after], "n": [len(x) + len(y)]})
+
+    values = spread.groupBy("source", "target", "_block").applyInPandas(compare, "source string, target string, before double, after double, n long")
+    mean = lambda c: F.sum(F.col(c) * F.col("n")) / F.sum("n")
+    values = values.groupBy("source", "target").agg(mean("before").alias("before"), mean("after").alias("after"))
+    # CORAL makes a covariance C of the source M' C M
+    gaps = [(a, b, float(np.linalg.norm(m["cov"][0] - m["cov"][1])), float(np.linalg.norm(m["matrix"].T @ m["cov"][0] @ m["matrix"] - m["cov"][1]))) for (a, b), m in maps.items()]
+    known = spark.createDataFrame(gaps, "source string, target string, gap_before double, gap_after double").join(values, ["source", "target"], "left")
+    both = F.explode(F.array(F.struct(F.lit("before").alias("stage"), F.col("gap_before").alias("frobenius_gap"), F.col("before").alias("mmd2")), F.struct(F.lit("after").alias("stage"), F.col("gap_after").alias("frobenius_gap"), F.col("after").alias("mmd2"))))
+    return known.select("source", "target", both.alias("x")).select("source", "target", "x.*")
 
 
 def pair_gaps(rows: DataFrame, columns: Sequence[str], domain: str, y: str) -> DataFrame:
@@ -226,42 +242,72 @@ def wilks(correlations: np.ndarray, n: int, p: int, q: int) -> tuple[float, floa
     return lam, float(chi2), float(gamma_upper(p * q / 2, chi2 / 2))
 
 
-def view_test(rows: DataFrame, first: Sequence[str], second: Sequence[str], key: str, most: int = 5000, permutations: int = 200, bootstraps: int = 100, seed: int = 42) -> DataFrame:
+def _wishart(rng: np.random.Generator, n: int, d: int) -> np.ndarray:
+    """The covariance of n independent normal rows of d columns, drawn without the rows (Bartlett's decomposition)."""
+    t = np.tril(rng.standard_normal((d, d)), -1) + np.diag(np.sqrt(rng.chisquare(np.maximum(n - 1 - np.arange(d), 1))))
+    return t @ t.T / max(n - 1, 1)
+
+
+def view_test(rows: DataFrame, first: Sequence[str], second: Sequence[str], key: str, permutations: int = 1000, bootstraps: int = 100, simulations: int = 50, block: int = 8192, seed: int = 42) -> DataFrame:
     """One row: leading canonical correlation of two views, permutation p-values (b / m, and (b+1) / (m+1)),
-    bootstrap limits, Wilks' test and the number of components above chance.
+    bootstrap limits, Wilks' test, the number of components above those of `simulations` of independent normal data
+    (their 95 % quantile), and a verdict.
 
-    Correlations are of all rows; permutations and bootstraps are of a hash sample of at most `most` rows
-    (documented bound), spread over the cluster by number.
+    All rows count in everything. They fall by a hash into random blocks; a permutation shuffles the second view
+    within each block, a bootstrap gives each row a Poisson weight, and a block sends its sums of products. Of each
+    draw one row of sums, features squared numbers, reaches the driver. Rows with nulls are left out.
     """
     columns = [*first, *second]
-    p = len(first)
+    p, d = len(first), len(columns)
     vector = F.array(*[F.col(c).cast("double") for c in columns])
-    fit = rows.filter(F.forall(vector, lambda v: v.isNotNull()))
-    n = fit.count()
-    rho = canonical_correlations(covariance_matrix(fit, columns), p)
-    x = np.array([r[0] for r in hash_sample(fit, key, most).select(vector).collect()])
-    x = (x - x.mean(0)) / np.where(x.std(0) > 1e-12, x.std(0), 1.0)
-    shared = rows.sparkSession.sparkContext.broadcast(x)
-
-    def run(batches):
-        x = shared.value
-        for pdf in batches:
-            out = []
-            for i in pdf["id"]:
-                rng = np.random.default_rng([seed, int(i)])
-                if i < permutations:
-                    z = np.concatenate([x[:, :p], x[rng.permutation(len(x)), p:]], axis=1)
-                else:
-                    z = x[rng.integers(0, len(x), len(x))]
-                out.append((int(i), float(canonical_correlations(np.cov(z.T), p)[0])))
-            yield pd.DataFrame(out, columns=["id", "rho"])
-
-    done = rows.sparkSession.range(permutations + bootstraps).repartition(8).mapInPandas(run, "id long, rho double").collect()
-    perm, boot = [r.rho for r in done if r.id < permutations], [r.rho for r in done if r.id >= permutations]
+    fit = rows.filter(F.forall(vector, lambda v: v.isNotNull())).select(key, vector.alias("v"))
+    parts = [F.avg(F.get("v", F.lit(i))) for i in range(d)]
+    wide = fit.select(*[F.get("v", F.lit(i)).alias(c) for i, c in enumerate(columns)])
+    head = fit.agg(F.count(F.lit(1)).alias("n"), F.array(*parts).alias("m")).first()
+    n, mean = head.n, np.array([x or 0.0 for x in head.m])
+    cov = covariance_matrix(wide, columns)
+    scale = np.where(np.diag(cov) > 1e-24, np.sqrt(np.abs(np.diag(cov))), 1.0)
+    rho = canonical_correlations(cov, p)
+    upper = np.triu_indices(d)
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_h", ignore_index=True)
+        x = (np.stack(pdf["v"].to_numpy()) - mean) / scale
+        at, out = int(pdf["_block"].iloc[0]), []
+        for i in range(permutations + bootstraps):
+            rng = np.random.default_rng([seed, i, at])
+            if i < permutations:
+                sums = x[:, :p].T @ x[rng.permutation(len(x)), p:]
+                out.append((i, *sums.ravel().tolist(), *[0.0] * (len(upper[0]) + d + 1 - p * (d - p))))
+            else:
+                w = rng.poisson(1.0, len(x)).astype(np.float64)
+                out.append((i, *((x * w[:, None]).T @ x)[upper].tolist(), *(w @ x).tolist(), float(w.sum())))
+        return pd.DataFrame(out, columns=["id", *[f"s{j}" for j in range(len(upper[0]) + d + 1)]])
+
+    width = len(upper[0]) + d + 1
+    assert p * (d - p) <= width
+    blocks = fit.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key))).withColumn("_block", F.pmod("_h", F.lit(max(1, -(-n // block)))))
+    sums = blocks.groupBy("_block").applyInPandas(draw, "id long, " + ", ".join(f"s{j} double" for j in range(width)))
+    done = sums.groupBy("id").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(width)]).collect()  # a row a draw
+    own = cov / np.outer(scale, scale)
+    perm, boot = [], []
+    for r in done:
+        v = np.array(r[1:])
+        c = own.copy()
+        if r["id"] < permutations:
+            c[:p, p:] = v[: p * (d - p)].reshape(p, d - p) / max(n - 1, 1)
+            c[p:, :p] = c[:p, p:].T
+            perm.append(float(canonical_correlations(c, p)[0]))
+        else:
+            total, m = v[-1], v[len(upper[0]) : -1] / max(v[-1], 1)
+            c[upper] = v[: len(upper[0])] / max(total - 1, 1) - m[upper[0]] * m[upper[1]] * total / max(total - 1, 1)
+            c = np.triu(c) + np.triu(c, 1).T
+            boot.append(float(canonical_correlations(c, p)[0]))
     b = int(sum(v >= rho[0] for v in perm))
-    lam, chi2, pv = wilks(rho, n, p, len(second))
+    lam, chi2, pv = wilks(rho, n, p, d - p)
     low, high = np.percentile(boot, [2.5, 97.5]) if boot else (None, None)
-    above = int((rho > np.quantile(perm, 0.95)).sum()) if perm else 0
+    chance = np.array([canonical_correlations(_wishart(np.random.default_rng([seed, 1 << 20, i]), n, d), p) for i in range(simulations)])
+    above = int((rho > np.quantile(chance, 0.95, axis=0)).sum()) if simulations else 0
     row = (n, float(rho[0]), b / max(len(perm), 1), (b + 1) / (len(perm) + 1), float(low), float(high), lam, chi2, pv, above, "complementary" if rho[0] < 0.5 else "partly shared" if rho[0] < 0.8 else "redundant")
     return rows.sparkSession.createDataFrame([row], "n long, rho_1 double, p_perm double, p_perm_plus double, ci_low double, ci_high double, wilks_lambda double, chi2 double, p_value double, n_significant int, verdict string")
 

@@ -2,7 +2,7 @@
 
 Features are few (tens to some hundred) and rows many: all pairwise numbers come from one pass over the
 rows, and only feature-by-feature matrices are worked on further, on the driver where linear algebra is
-needed. Row samples of the two quadratic measures are drawn by a hash and bounded by a parameter.
+needed. The two quadratic measures work in random blocks of rows.
 """
 
 from __future__ import annotations
@@ -191,14 +191,21 @@ def hash_sample(rows: DataFrame, key: str, most: int, seed: int = 42) -> DataFra
     return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(most)
 
 
-def distance_correlation(x: np.ndarray, y: np.ndarray) -> float:
-    """The V-statistic from double-centred distance matrices."""
+def hash_blocks(rows: DataFrame, key: str, size: int, seed: int = 42) -> DataFrame:
+    """Adds `_block`: rows fall by a hash of the key into blocks of about `size`, so each block is a random part of all rows."""
+    parts = max(1, -(-rows.count() // size))
+    return rows.withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(parts)))
+
 
-    def centred(v: np.ndarray) -> np.ndarray:
-        d = np.abs(v[:, None] - v[None])
-        return d - d.mean(axis=0) - d.mean(axis=1)[:, None] + d.mean()
+def centred_distances(v: np.ndarray) -> np.ndarray:
+    """The distance matrix less its row and column means."""
+    d = np.abs(v[:, None] - v[None])
+    return d - d.mean(axis=0) - d.mean(axis=1)[:, None] + d.mean()
 
-    a, b = centred(x), centred(y)
+
+def distance_correlation(x: np.ndarray, y: np.ndarray) -> float:
+    """The V-statistic from double-centred distance matrices."""
+    a, b = centred_distances(x), centred_distances(y)
     va, vb = (a * a).mean(), (b * b).mean()
     return float(np.sqrt(max((a * b).mean(), 0.0) / np.sqrt(va * vb))) if va > 0 and vb > 0 else 0.0
 
@@ -226,29 +233,36 @@ def mutual_information(x: np.ndarray, y: np.ndarray, k: int = 3) -> float:
     return max(0.0, float(_digamma(np.array([n]))[0] + _digamma(np.array([k]))[0] - (_digamma(np.maximum(nx, 0) + 1.0) + _digamma(np.maximum(ny, 0) + 1.0)).mean()))
 
 
-def pairwise_kernel(rows: DataFrame, columns: Sequence[str], key: str, most: int, kind: str) -> DataFrame:
-    """Distance correlation ('dcor') or normalised mutual information ('nmi') of all pairs, on a hash sample
-    of at most `most` rows (a documented bound of these quadratic measures). A task works on some pairs."""
-    sample = hash_sample(rows, key, most)
-    spark = rows.sparkSession
-    pairs = spark.createDataFrame([(i, j) for i in range(len(columns)) for j in range(i + (kind == "dcor"), len(columns))], "i int, j int").repartition(max(1, len(columns)))
-    packed = sample.select(F.struct(F.xxhash64(F.lit(1), F.col(key)).alias("h"), F.array(*[F.col(c).cast("double") for c in columns]).alias("v")).alias("r")).agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r.v).alias("m"))
-    names = list(columns)
+def pairwise_kernel(rows: DataFrame, columns: Sequence[str], key: str, block: int, kind: str) -> DataFrame:
+    """Distance correlation ('dcor') or normalised mutual information ('nmi') of all pairs, over all rows.
 
-    def solve(batches):
-        for pdf in batches:
-            out = []
-            for i, j, m in zip(pdf["i"], pdf["j"], pdf["m"], strict=True):
-                a = np.array([np.asarray(r, dtype=np.float64)[[i, j]] for r in m])
-                out.append((names[i], names[j], distance_correlation(a[:, 0], a[:, 1]) if kind == "dcor" else mutual_information(a[:, 0], a[:, 1])))
-            yield pd.DataFrame(out, columns=["feature_a", "feature_b", "r"])
-
-    found = pairs.crossJoin(F.broadcast(packed)).mapInPandas(solve, "feature_a string, feature_b string, r double")  # the sample is bounded
-    if kind == "dcor":
-        return found
-    own = found.filter("feature_a = feature_b").select(F.col("feature_a").alias("_f"), F.col("r").alias("_h"))
-    two = found.filter("feature_a <> feature_b").join(own.withColumnRenamed("_h", "_ha"), F.col("feature_a") == F.col("_f")).drop("_f").join(own.withColumnRenamed("_h", "_hb"), F.col("feature_b") == F.col("_f"))
-    return two.select("feature_a", "feature_b", F.when(F.col("_ha") * F.col("_hb") > 0, F.least(F.lit(1.0), F.col("r") / F.sqrt(F.col("_ha") * F.col("_hb")))).otherwise(0.0).alias("r"))
+    Both measures compare every row with every other one. Rows fall into random blocks of about `block`; a block gives
+    its distance covariances, or its nearest-neighbour estimates of information, and the blocks' values are averaged,
+    weighted by rows. All rows count, the work is linear in them, and the error falls as they grow. With no
+    more than `block` rows it is the measure itself. Rows must have no nulls.
+    """
+    names = list(columns)
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values("_h")[names].to_numpy(dtype=np.float64)
+        if kind == "dcor":
+            d = [centred_distances(x[:, i]) for i in range(len(names))]
+            values = [float((d[i] * d[j]).mean()) for i, j in pairs]
+        else:
+            values = [mutual_information(x[:, i], x[:, j]) if len(x) > 3 else 0.0 for i, j in pairs]
+        return pd.DataFrame({"i": [i for i, _ in pairs], "j": [j for _, j in pairs], "x": values, "n": len(x)})
+
+    cells = [F.col(c).cast("double").alias(c) for c in names]
+    picked = hash_blocks(rows.select(key, *cells), key, block).withColumn("_h", F.xxhash64(F.lit(1), F.col(key)))
+    mean = (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x")
+    found = picked.groupBy("_block").applyInPandas(solve, "i int, j int, x double, n long").groupBy("i", "j").agg(mean)
+    own = found.filter("i = j").select(F.col("i").alias("_f"), F.col("x").alias("_o"))  # a row a feature
+    two = found.filter("i < j").join(own.withColumnsRenamed({"_f": "i", "_o": "_oi"}), "i").join(own.withColumnsRenamed({"_f": "j", "_o": "_oj"}), "j")
+    both = F.sqrt(F.col("_oi") * F.col("_oj"))
+    r = F.sqrt(F.greatest(F.col("x"), F.lit(0.0)) / both) if kind == "dcor" else F.least(F.lit(1.0), F.col("x") / both)
+    name = F.array(*map(F.lit, names))
+    return two.select(F.get(name, F.col("i")).alias("feature_a"), F.get(name, F.col("j")).alias("feature_b"), F.when((F.col("_oi") > 0) & (F.col("_oj") > 0), r).otherwise(0.0).alias("r"))
 
 
 def flag_scores(features: DataFrame, methods: Sequence[str], threshold: float = 0.90) -> DataFrame:

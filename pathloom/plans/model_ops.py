@@ -15,6 +15,7 @@ from pathloom.operators import redundancy as rd
 from pathloom.operators.labelling import finite_rows
 from pathloom.plans.label_ops import COLUMNS, _N, _numeric, _scored
 from pathloom.plans.series_ops import W_SQL, features
+from pathloom.plans.stream_ops import UPDATES_SQL
 from pathloom.session import ensure_checkpoint_dir, table
 from pathloom.sources import files
 from pathloom.streaming import topology as stream
@@ -110,11 +111,11 @@ def mrmr(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dcor(spark: SparkSession, d: str) -> DataFrame:
-    return rd.pairwise_kernel(_matrix(spark, d), FEATURES, "feature_id", 1000, "dcor")
+    return rd.pairwise_kernel(_matrix(spark, d), FEATURES, "feature_id", 2000, "dcor")
 
 
 def nmi(spark: SparkSession, d: str) -> DataFrame:
-    return rd.pairwise_kernel(_matrix(spark, d), FEATURES, "feature_id", 1000, "nmi")
+    return rd.pairwise_kernel(_matrix(spark, d), FEATURES, "feature_id", 3000, "nmi")
 
 
 def flag_score(spark: SparkSession, d: str) -> DataFrame:
@@ -127,50 +128,28 @@ def flag_score(spark: SparkSession, d: str) -> DataFrame:
     return rd.final_selection(rd.flag_scores(every, ["pearson", "spearman"]))
 
 
-def _domains(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The two collectors with the first and the last name."""
-    rows = _matrix(spark, d)
-    ends = rows.agg(F.min("collector").alias("a"), F.max("collector").alias("b")).first()
-    return rows.filter(F.col("collector") == F.lit(ends.a)), rows.filter(F.col("collector") == F.lit(ends.b))
-
-
-def joint_standardize(spark: SparkSession, d: str) -> DataFrame:
-    a, b = al.joint_standardize(*_domains(spark, d), FEATURES)
-    return a.unionByName(b).select("feature_id", *FEATURES)
-
-
 def covariance_pairs(spark: SparkSession, d: str) -> DataFrame:
     return al.covariance_pairs(_matrix(spark, d), FEATURES, ["collector"])
 
 
-def cov_gap(spark: SparkSession, d: str) -> DataFrame:
-    return al.covariance_gap(*al.joint_standardize(*_domains(spark, d), FEATURES), FEATURES)
-
-
-def class_cov_gap(spark: SparkSession, d: str) -> DataFrame:
-    rows = _numeric(spark, d).filter("binary is not null")
-    ends = rows.agg(F.min("domain").alias("a"), F.max("domain").alias("b")).first()
-    return al.class_gaps(rows.filter(F.col("domain") == F.lit(ends.a)), rows.filter(F.col("domain") == F.lit(ends.b)), COLUMNS, "binary")
-
-
 def _pair_maps(spark: SparkSession, d: str) -> tuple[DataFrame, dict]:
     rows = _matrix(spark, d)
     return rows, al.pair_maps(al.domain_moments(rows, FEATURES, "collector"))
 
 
-def joint_standardize_pairs(spark: SparkSession, d: str) -> DataFrame:
+def joint_standardize(spark: SparkSession, d: str) -> DataFrame:
     """Rows of each collector, standardised together with each other collector."""
     rows, maps = _pair_maps(spark, d)
     scaling = {p: (m["mean"], np.diag(1 / m["scale"]), np.zeros(len(FEATURES))) for p, m in maps.items()}
     return al.mapped_pairs(rows, FEATURES, "collector", "feature_id", scaling)
 
 
-def cov_gap_pairs(spark: SparkSession, d: str) -> DataFrame:
+def cov_gap(spark: SparkSession, d: str) -> DataFrame:
     _, maps = _pair_maps(spark, d)
     return spark.createDataFrame([(a, b, float(np.linalg.norm(m["cov"][0] - m["cov"][1]))) for (a, b), m in maps.items()], "source string, target string, frobenius_gap double")
 
 
-def class_cov_gap_pairs(spark: SparkSession, d: str) -> DataFrame:
+def class_cov_gap(spark: SparkSession, d: str) -> DataFrame:
     return al.pair_gaps(_numeric(spark, d).filter("binary is not null"), COLUMNS, "domain", "binary")
 
 
@@ -188,7 +167,7 @@ def alignment_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def view_test(spark: SparkSession, d: str) -> DataFrame:
-    return al.view_test(_matrix(spark, d), FEATURES[:4], FEATURES[4:], "feature_id", 2000, 60, 40)
+    return al.view_test(_matrix(spark, d), FEATURES[:4], FEATURES[4:], "feature_id")
 
 
 def joint_individual(spark: SparkSession, d: str) -> DataFrame:
@@ -260,28 +239,33 @@ def update_files(spark: SparkSession, d: str) -> DataFrame:
     return files.update_files(spark, "rrc91", "2025-07-01 00:00:00", "2025-07-02 00:00:00").select("collector", "path", "ts")
 
 
-def stream_window_counts(spark: SparkSession, d: str, window: str = "1 hour") -> DataFrame:
-    """The whole update table as a stream into windows (hourly as in the SQL), in complete mode."""
+def _update_stream(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
+    """The update table as a stream, and a folder of its own for checkpoints and results in the shared folder."""
     rows = table(spark, d, "updates")
     single = all(name.endswith("/updates.parquet") for name in rows.inputFiles())  # a file, or a folder of parts
     source = stream.read_stream(spark, d if single else f"{d}/updates.parquet", rows.schema, pattern="updates.parquet" if single else None)
-    where = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
-    shaped = stream.shaped(source).withWatermark("ts", "400 days")
-    counts = shaped.dropDuplicatesWithinWatermark(["seq"]).groupBy("collector", F.window("ts", window).alias("win")).agg(F.count_if(F.col("type") == "A").alias("announcements"), F.count_if(F.col("type") == "W").alias("withdrawals"), F.count(F.lit(1)).alias("total_updates"))
-    counts = counts.select("collector", F.col("win.start").alias("w"), "announcements", "withdrawals", "total_updates")
-    return stream.run_available(counts, f"counts_{where[-32:]}", where, "complete")
+    return source, f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+
+def stream_window_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The whole update table as a stream into five-minute windows, written to files; no update is later than the watermark."""
+    source, where = _update_stream(spark, d)
+    return stream.run_to_parquet(stream.window_counts(source, 5, "400 days"), f"{where}/out", f"{where}/checkpoint", "complete")
 
 
-def stream_window_counts_5min(spark: SparkSession, d: str) -> DataFrame:
-    return stream_window_counts(spark, d, "5 minutes")
+def stream_edge_state(spark: SparkSession, d: str) -> DataFrame:
+    """Each collector's edges and their references at the end of the stream: the sum of the streamed deltas."""
+    source, where = _update_stream(spark, d)
+    deltas = stream.run_to_parquet(stream.edge_deltas(source, "400 days"), f"{where}/out", f"{where}/checkpoint")
+    return deltas.groupBy("collector", "u", "v").agg(F.sum("delta").alias("refs")).filter("refs <> 0")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         usable_features, pearson_pairs, spearman_pairs, max_dependency, daily_pair_stability, pair_rank, method_consensus, feature_labels, median_imputed, vif, condition_number, daily_vif, feature_clusters, mrmr, dcor, nmi, flag_score,
-        joint_standardize, joint_standardize_pairs, covariance_pairs, cov_gap, cov_gap_pairs, class_cov_gap, class_cov_gap_pairs, coral_transform, alignment_report, view_test, joint_individual, detectors, isolation_forest, kmeans_upgrade, gbt_scores, rf_scores, mlp_scores, oof_scores, time_folds,
-        tuned, calibrated_scores, stacked_fusion, explanations, update_files, stream_window_counts, stream_window_counts_5min,
+        joint_standardize, covariance_pairs, cov_gap, class_cov_gap, coral_transform, alignment_report, view_test, joint_individual, detectors, isolation_forest, kmeans_upgrade, gbt_scores, rf_scores, mlp_scores, oof_scores, time_folds,
+        tuned, calibrated_scores, stacked_fusion, explanations, update_files, stream_window_counts, stream_edge_state,
     )
 }
 
@@ -292,7 +276,7 @@ _RANK = "rk AS MATERIALIZED (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) +
 _DAILY = "dy AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT day, '{a}' AS feature_a, '{b}' AS feature_b, coalesce(CASE WHEN isnan(corr({a}, {b})) THEN 0 ELSE corr({a}, {b}) END, 0) AS r FROM m GROUP BY day HAVING count(*) >= 144" for a, b in _PAIRS) + ")"
 _STAB = _DAILY + """, st AS (SELECT feature_a, feature_b, count(*) AS n_days, avg(r) AS mean, avg(abs(r)) AS mean_abs, stddev_pop(r) AS std, stddev_pop(abs(r)) AS std_abs, min(r) AS min, max(r) AS max, avg((abs(r) >= 0.9)::INT) AS fraction_high FROM dy GROUP BY ALL),
 sb AS (SELECT *, mean_abs >= 0.9 AND fraction_high >= 0.8 AND std_abs <= 0.1 AS stable_redundant FROM st)"""
-_TWO = _M + ", ab AS MATERIALIZED (SELECT * FROM m WHERE collector = (SELECT min(collector) FROM m) OR collector = (SELECT max(collector) FROM m)), js AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in FEATURES) + " FROM ab), z AS MATERIALIZED (SELECT feature_id, collector, " + ", ".join(f"({c} - m_{c}) / s_{c} AS {c}" for c in FEATURES) + " FROM ab, js)"
+_PAIR = _M + ", pr AS (SELECT a.c AS source, b.c AS target FROM (SELECT DISTINCT collector AS c FROM m) a, (SELECT DISTINCT collector AS c FROM m) b WHERE a.c <> b.c), js AS MATERIALIZED (SELECT source, target, " + ", ".join(f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) > 1e-12 THEN stddev_pop({c}) ELSE 1 END AS s_{c}" for c in FEATURES) + " FROM pr JOIN m ON m.collector IN (source, target) GROUP BY ALL)"
 
 ORACLE = {
     "pearson_pairs": f"{_M} {_CORR}",
@@ -303,10 +287,13 @@ ORACLE = {
     "method_consensus": f"{_M}, {_RANK}, p AS (SELECT 'pearson' AS method, * FROM ({_CORR}) UNION ALL SELECT 'spearman', * FROM ({_CORR.replace('FROM m', 'FROM rk')})) SELECT least(feature_a, feature_b) AS feature_a, greatest(feature_a, feature_b) AS feature_b, count(DISTINCT method) AS n_methods, string_agg(DISTINCT method, ', ' ORDER BY method) AS methods FROM p WHERE abs(r) >= 0.5 GROUP BY ALL",
     "feature_labels": f"{_M}, d AS (" + " UNION ALL ".join(f"SELECT day, '{c}' AS feature, avg({c}) AS m FROM m GROUP BY day" for c in FEATURES) + "), s AS (SELECT feature, count(*) AS n_days, avg(m) AS mean, avg(abs(m)) AS mean_abs, stddev_pop(m) AS std FROM d GROUP BY ALL), c AS (SELECT *, CASE WHEN mean_abs >= 1e-4 THEN std / mean_abs END AS cv FROM s) SELECT *, CASE WHEN cv IS NULL THEN 'undefined' WHEN cv <= 0.15 THEN 'stable' WHEN cv >= 0.35 THEN 'date_sensitive' ELSE 'moderate' END AS temporal_label FROM c",
     "median_imputed": f"WITH {W_SQL}, m AS (SELECT median(total_updates) AS a, median(as_path_avg) AS b FROM f) SELECT feature_id, coalesce(total_updates, a)::DOUBLE AS total_updates, coalesce(as_path_avg, b) AS as_path_avg FROM f, m",
-    "joint_standardize": f"{_TWO} SELECT feature_id, {', '.join(FEATURES)} FROM z",
+    "joint_standardize": _PAIR + " SELECT source, target, feature_id, " + ", ".join(f"({c} - m_{c}) / s_{c} AS {c}" for c in FEATURES) + " FROM js JOIN m ON m.collector = source",
     "covariance_pairs": f"{_M} " + " UNION ALL ".join(f"SELECT collector, '{a}' AS feature_a, '{b}' AS feature_b, covar_samp({a}, {b}) AS cov FROM m GROUP BY collector" for i, a in enumerate(FEATURES) for b in FEATURES[i:]),
-    "cov_gap": f"{_TWO}, g AS (" + " UNION ALL ".join(f"SELECT {1 if a == b else 2} AS k, covar_samp({a}, {b}) FILTER (collector = lo) - covar_samp({a}, {b}) FILTER (collector <> lo) AS x FROM z, (SELECT min(collector) AS lo FROM z)" for i, a in enumerate(FEATURES) for b in FEATURES[i:]) + ") SELECT sqrt(sum(k * x * x)) AS frobenius_gap FROM g",
-    "class_cov_gap": f"{_N}, t AS MATERIALIZED (SELECT *, domain = (SELECT min(domain) FROM n WHERE \"binary\" IS NOT NULL) AS lo FROM n WHERE \"binary\" IS NOT NULL AND domain IN ((SELECT min(domain) FROM n WHERE \"binary\" IS NOT NULL), (SELECT max(domain) FROM n WHERE \"binary\" IS NOT NULL))), g AS (" + " UNION ALL ".join(f"SELECT '{k}' AS class, {1 if a == b else 2} AS k, covar_samp({a}, {b}) FILTER (lo) - covar_samp({a}, {b}) FILTER (NOT lo) AS x FROM t WHERE {w}" for k, w in (("global", "true"), ("0", '"binary" = 0'), ("1", '"binary" = 1')) for i, a in enumerate(COLUMNS) for b in COLUMNS[i:]) + ") SELECT class, sqrt(sum(k * x * x)) AS frobenius_gap FROM g GROUP BY ALL",
+    "cov_gap": _PAIR + ", cv AS MATERIALIZED (SELECT collector, " + ", ".join(f"covar_samp({a}, {b}) AS c{i}_{j}" for i, a in enumerate(FEATURES) for j, b in enumerate(FEATURES) if i <= j) + " FROM m GROUP BY ALL) SELECT source, target, sqrt(" + " + ".join(f"{1 if i == j else 2} * power((x.c{i}_{j} - y.c{i}_{j}) / (s_{a} * s_{b}), 2)" for i, a in enumerate(FEATURES) for j, b in enumerate(FEATURES) if i <= j) + ") AS frobenius_gap FROM js JOIN cv x ON x.collector = source JOIN cv y ON y.collector = target",
+    "class_cov_gap": _N + ", cl AS (SELECT *, \"binary\"::VARCHAR AS cls FROM n WHERE \"binary\" IS NOT NULL UNION ALL SELECT *, 'global' FROM n WHERE \"binary\" IS NOT NULL), cv AS MATERIALIZED (SELECT domain, cls, " + ", ".join(f"covar_samp({a}, {b}) AS c{i}_{j}" for i, a in enumerate(COLUMNS) for j, b in enumerate(COLUMNS) if i <= j) + " FROM cl GROUP BY ALL) SELECT x.domain AS source, y.domain AS target, x.cls AS class, sqrt(" + " + ".join(f"{1 if i == j else 2} * power(x.c{i}_{j} - y.c{i}_{j}, 2)" for i, a in enumerate(COLUMNS) for j, b in enumerate(COLUMNS) if i <= j) + ") AS frobenius_gap FROM cv x JOIN cv y ON x.cls = y.cls AND x.domain <> y.domain",
     "update_files": "SELECT 'rrc91' AS collector, 'rrc91/' || strftime(ts, '%Y.%m') || '/updates.' || strftime(ts, '%Y%m%d.%H%M') || '.gz' AS path, ts FROM (SELECT unnest(generate_series(TIMESTAMP '2025-07-01', TIMESTAMP '2025-07-01 23:55:00', INTERVAL 5 minutes)) AS ts)",
-    "stream_window_counts": "SELECT coalesce(collector, '') AS collector, time_bucket(INTERVAL 1 hour, timestamp) AS w, count(*) FILTER (type = 'A') AS announcements, count(*) FILTER (type = 'W') AS withdrawals, count(*) AS total_updates FROM (SELECT DISTINCT * FROM updates WHERE timestamp IS NOT NULL) GROUP BY ALL",
+    "stream_edge_state": f"""WITH {UPDATES_SQL}, eff AS (SELECT collector, peer_as, prefix, type, path, row_number() OVER (PARTITION BY collector, peer_as, prefix ORDER BY ts DESC, seq DESC) AS r FROM u WHERE type = 'W' OR (type = 'A' AND len(path) >= 2)),
+hop AS (SELECT collector, peer_as, prefix, unnest(path) AS a, unnest(path[2:]) AS b FROM eff WHERE r = 1 AND type = 'A')
+SELECT collector, u, v, count(*) AS refs FROM (SELECT DISTINCT collector, peer_as, prefix, least(a, b) AS u, greatest(a, b) AS v FROM hop WHERE b IS NOT NULL) GROUP BY ALL""",
+    "stream_window_counts": "SELECT coalesce(collector, '') AS collector, time_bucket(INTERVAL 5 minutes, timestamp) AS w, count(*) FILTER (type = 'A') AS announcements, count(*) FILTER (type = 'W') AS withdrawals, count(*) AS total_updates FROM (SELECT DISTINCT * FROM updates WHERE timestamp IS NOT NULL) GROUP BY ALL",
 }

@@ -1,8 +1,8 @@
 """Incremental topology: edge deltas from a keyed state, and windowed counts with a watermark.
 
-The reference order is that of arrival: nothing is ever late there. A stream needs a bound, so windowed
-counts take a watermark (ten minutes by default) and drop what comes later. Edge deltas have no
-watermark: state is one path a key, and each update is applied in arrival order within its batch.
+A stream needs a bound on what may come late, so both take a watermark. Windowed counts drop what comes later than
+it; edge deltas use it to know copies of an update, wherever they lie, and apply each update in order of its time
+within its batch. Their state is one path a key.
 """
 
 from __future__ import annotations
@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from pathloom.functions.paths import clean_path
+from pathloom.functions.paths import clean_path, path_array, path_edges
 
-DELTAS = "collector string, peer_as string, prefix string, seq bigint, ts timestamp, u bigint, v bigint, delta int"
+CHANGES = "collector string, peer_as string, prefix string, seq bigint, ts timestamp, before string, path string"
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int | None = None, pattern: str | None = None) -> DataFrame:
@@ -43,40 +43,35 @@ def window_counts(updates: DataFrame, minutes: int = 5, late: str = "10 minutes"
     return counts.select("collector", F.col("win.start").alias("w"), "announcements", "withdrawals", "total_updates")
 
 
-def _edges(path: str) -> set[tuple[int, int]]:
-    hops = [int(x) for x in path.split()] if path else []
-    return {(min(a, b), max(a, b)) for a, b in zip(hops, hops[1:], strict=False) if a != b}
-
-
-def edge_deltas(updates: DataFrame) -> DataFrame:
+def edge_deltas(updates: DataFrame, late: str = "1 day") -> DataFrame:
     """+1 and -1 for each edge whose use by a (collector, peer_as, prefix) begins or ends.
 
     An announcement of two or more numbers replaces the key's path, a withdrawal removes it, a shorter one
-    changes nothing; of a replaced path only the edges that differ are sent. The state is the key's path
-    and the last sequence number; copies of an update are passed over.
+    changes nothing; of a replaced path only the edges that differ are sent. A copy of an update is passed over if it
+    comes within `late` of the original, in whatever batch. The state is the key's path; Python sees a batch's
+    updates of a key as columns, and edges are taken apart by SQL.
     """
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        path, last = state.get if state.exists else ("", -1)
-        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
-        out = []
-        seen = {last}
-        for r in rows.itertuples(index=False):
-            if r.seq in seen:
-                continue
-            seen.add(r.seq)
-            last = r.seq
-            new = path if r.type == "A" and len(r.path.split()) < 2 else r.path if r.type == "A" else "" if r.type == "W" else path
-            if new != path:
-                old_edges, new_edges = _edges(path), _edges(new)
-                out += [(*key, r.seq, r.ts, u, v, 1) for u, v in sorted(new_edges - old_edges)] + [(*key, r.seq, r.ts, u, v, -1) for u, v in sorted(old_edges - new_edges)]
-                path = new
-        state.update((path, int(last)))
-        if out:
-            yield pd.DataFrame(out, columns=["collector", "peer_as", "prefix", "seq", "ts", "u", "v", "delta"])
-
-    keyed = shaped(updates).select("collector", "peer_as", "prefix", "seq", "ts", "type", "path").groupBy("collector", "peer_as", "prefix")
-    return keyed.applyInPandasWithState(advance, DELTAS, "path string, last long", "append", "NoTimeout")
+        (path,) = state.get if state.exists else ("",)
+        rows = pd.concat(list(batches)).sort_values(["ts", "seq"], ignore_index=True)
+        before = rows["path"].shift(1, fill_value=path)
+        changed = rows["path"] != before
+        state.update((rows["path"].iloc[-1],))
+        if changed.any():
+            out = rows.loc[changed, ["seq", "ts"]].assign(before=before[changed], path=rows["path"][changed])
+            for i, name in enumerate(("collector", "peer_as", "prefix")):
+                out.insert(i, name, key[i])
+            yield out
+
+    once = shaped(updates).withWatermark("ts", late).dropDuplicatesWithinWatermark(["seq"])
+    effective = once.filter((F.col("type") == "W") | ((F.col("type") == "A") & F.contains("path", F.lit(" "))))
+    keyed = effective.select("collector", "peer_as", "prefix", "seq", "ts", F.when(F.col("type") == "A", F.col("path")).otherwise("").alias("path")).groupBy("collector", "peer_as", "prefix")
+    changes = keyed.applyInPandasWithState(advance, CHANGES, "path string", "append", "NoTimeout")
+    edges = lambda c: F.array_distinct(path_edges(path_array(F.col(c))))
+    begun, ended = F.array_except(edges("path"), edges("before")), F.array_except(edges("before"), edges("path"))
+    signed = lambda es, n: F.transform(es, lambda e: F.struct(e["u"].alias("u"), e["v"].alias("v"), F.lit(n).alias("delta")))
+    return changes.select("collector", "peer_as", "prefix", "seq", "ts", F.explode(F.concat(signed(begun, 1), signed(ended, -1))).alias("e")).select("collector", "peer_as", "prefix", "seq", "ts", "e.*")
 
 
 def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
@@ -86,12 +81,21 @@ def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "ap
     return stream.sparkSession.table(name)
 
 
-def run_to_parquet(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
-    """Exactly once into parquet files: the file sink's log, or a batch identifier that is overwritten on retry."""
+def run_to_parquet(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over what is there now into parquet files, exactly once: by the file sink's log, or, if the mode is
+    complete, by a folder a batch that is overwritten on retry, of which the last holds the result."""
+    spark = stream.sparkSession
     if mode == "append":
-        return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+        schema = stream.schema
+        query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return spark.read.schema(schema).parquet(path)
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+    query.awaitTermination()
+    results = spark.read.parquet(path)
+    last = results.agg(F.max("batch").alias("batch")).first().batch if mode == "complete" else None
+    return results.filter(F.col("batch") == last).drop("batch") if mode == "complete" else results

@@ -113,11 +113,22 @@ def test_streamed_deltas_sum_to_the_state(spark, tmp_path):
     assert got == {k: n for c, w in ends.items() for k, n in last[c, w].items()}
 
 
+def test_a_late_copy_in_another_batch_changes_nothing(spark, tmp_path):
+    key = lambda i, path: (i, T0 + dt.timedelta(minutes=i), "c", "A", "ip", "1", "X", "IGP", "nh", path)
+    for n, rows in enumerate(([key(1, "1 2"), key(2, "2 3")], [key(1, "1 2"), key(3, "7")], [key(2, "2 3")])):
+        spark.createDataFrame(rows, COLUMNS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = stream.read_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], COLUMNS).schema, 1)
+        deltas = stream.run_to_parquet(stream.edge_deltas(source), str(tmp_path / "out"), str(tmp_path / "cp"))
+        left = {(r.u, r.v): r.n for r in deltas.groupBy("u", "v").agg(F.sum("delta").alias("n")).filter("n <> 0").collect()}
+        assert left == {(2, 3): 1}, n
+    assert deltas.count() == 3
+
+
 def test_streamed_windows_equal_the_batch(spark, data, tmp_path):
     rows = table(spark, data, "updates")
     rows.write.parquet(str(tmp_path / "in"))
     source = stream.read_stream(spark, str(tmp_path / "in"), rows.schema)
-    counts = stream.run_available(stream.window_counts(source, 60, "400 days"), "counts_test", str(tmp_path / "cp"), "complete")
+    counts = stream.run_to_parquet(stream.window_counts(source, 60, "400 days"), str(tmp_path / "out"), str(tmp_path / "cp"), "complete")
     got = {(r.collector, r.w): (r.announcements, r.withdrawals, r.total_updates) for r in counts.collect()}
     batch = sv.volumes(update_log(rows, 3600), ["collector", "w"])
     assert got == {(r.collector, r.w): (r.announcements, r.withdrawals, r.total_updates) for r in batch.collect()}

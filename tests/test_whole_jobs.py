@@ -88,9 +88,9 @@ def test_every_ordered_pair_of_domains(spark):
     names = sorted(r[0] for r in rows.select("collector").distinct().collect())
     pairs = {(a, b) for a in names for b in names if a != b}
     assert len(names) == 4
-    gaps = {(r.source, r.target): r.frobenius_gap for r in q["cov_gap_pairs"](spark, d).collect()}
+    gaps = {(r.source, r.target): r.frobenius_gap for r in q["cov_gap"](spark, d).collect()}
     report = {(r.source, r.target, r.stage): r for r in q["alignment_report"](spark, d).collect()}
-    coral, scaled = q["coral_transform"](spark, d).toPandas(), q["joint_standardize_pairs"](spark, d).toPandas()
+    coral, scaled = q["coral_transform"](spark, d).toPandas(), q["joint_standardize"](spark, d).toPandas()
     assert set(gaps) == pairs and {p[:2] for p in report} == pairs and len(report) == 24
     assert len(coral) == len(scaled) == 3 * rows.count()
     for a, b in ((names[1], names[2]), (names[3], names[0])):
@@ -112,7 +112,7 @@ def test_every_ordered_pair_of_domains(spark):
 def test_class_gaps_of_every_pair(spark):
     d = "/root/testdata/sf0.01"
     rows = _numeric(spark, d).filter("binary is not null")
-    got = {(r.source, r.target, r["class"]): r.frobenius_gap for r in entry.queries()["class_cov_gap_pairs"](spark, d).collect()}
+    got = {(r.source, r.target, r["class"]): r.frobenius_gap for r in entry.queries()["class_cov_gap"](spark, d).collect()}
     assert len({k[:2] for k in got}) == 12
     a, b = sorted({k[0] for k in got})[1:3]
     want = al.class_gaps(rows.filter(F.col("domain") == a), rows.filter(F.col("domain") == b), MEASURES, "binary")
