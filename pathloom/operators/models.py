@@ -59,6 +59,16 @@ def out_of_fold(rows: DataFrame, columns: Sequence[str], key: str, model: str, f
     return out
 
 
+def cross_fitted(rows: DataFrame, key: str, fitted: Callable[[DataFrame, DataFrame], DataFrame], folds: int = 3, seed: int = 7) -> DataFrame:
+    """What fitted(train, test) gives for each fold's rows, trained on the others: no row is scored by what has seen it."""
+    fold = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(folds))
+    parts = [fitted(rows.filter(fold != f), rows.filter(fold == f)) for f in range(folds)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def time_folds(rows: DataFrame, order: Sequence[str], folds: int) -> DataFrame:
     """Adds `fold` for expanding windows in time: train on smaller, test on equal. 0 is never tested."""
     from pathloom.operators.ordered import numbered_by

@@ -176,7 +176,7 @@ def joint_individual(spark: SparkSession, d: str) -> DataFrame:
 
 def detectors(spark: SparkSession, d: str) -> DataFrame:
     """LOF, robust distance and density outliers of each domain's windows, all of a domain together."""
-    return dt.detect(_numeric(spark, d), "domain", "row_id", COLUMNS[:3])
+    return dt.detect(_numeric(spark, d), "domain", "row_id", COLUMNS)
 
 
 def isolation_forest(spark: SparkSession, d: str) -> DataFrame:
@@ -192,22 +192,20 @@ def _training(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gbt_scores(spark: SparkSession, d: str) -> DataFrame:
-    rows = _training(spark, d)
-    return mo.scores(mo.fit(rows, COLUMNS, "gbt"), rows, ["row_id", "y"])
+    """Scores of rows by models that did not see them, as the next three."""
+    return mo.out_of_fold(_training(spark, d), COLUMNS, "row_id", "gbt", 2).drop("fold")
 
 
 def rf_scores(spark: SparkSession, d: str) -> DataFrame:
-    rows = _training(spark, d)
-    return mo.scores(mo.fit(rows, COLUMNS, "rf"), rows, ["row_id", "y"])
+    return mo.out_of_fold(_training(spark, d), COLUMNS, "row_id", "rf", 3).drop("fold")
 
 
 def mlp_scores(spark: SparkSession, d: str) -> DataFrame:
-    rows = _training(spark, d)
-    return mo.scores(mo.fit(rows, COLUMNS, "mlp"), rows, ["row_id", "y"])
+    return mo.out_of_fold(_training(spark, d), COLUMNS, "row_id", "mlp", 3).drop("fold")
 
 
 def oof_scores(spark: SparkSession, d: str) -> DataFrame:
-    return mo.out_of_fold(_training(spark, d), COLUMNS[:3], "row_id", "logistic", 3)
+    return mo.out_of_fold(_training(spark, d), COLUMNS, "row_id", "logistic", 3)
 
 
 def time_folds(spark: SparkSession, d: str) -> DataFrame:
@@ -215,18 +213,19 @@ def time_folds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tuned(spark: SparkSession, d: str) -> DataFrame:
-    return mo.tune(_training(spark, d), COLUMNS[:3], "row_id", "logistic", [{"regParam": 0.0}, {"regParam": 0.1}], 2)
+    return mo.tune(_training(spark, d), COLUMNS, "row_id", "logistic", [{"regParam": r, "elasticNetParam": e} for r in (0.0, 0.01, 0.1) for e in (0.0, 0.5)], 3)
 
 
 def calibrated_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The given score, calibrated by curves fitted on the other folds."""
     rows = _scored(spark, d)
-    iso = mo.calibrate_isotonic(rows, rows, "s1", "y").select("row_id", F.col("calibrated").alias("isotonic"))
-    return iso.join(mo.calibrate_platt(rows, rows, "s1", "y").select("row_id", F.col("calibrated").alias("platt")), "row_id")
+    iso = mo.cross_fitted(rows, "row_id", lambda train, test: mo.calibrate_isotonic(train, test, "s1", "y").select("row_id", F.col("calibrated").alias("isotonic")))
+    return iso.join(mo.cross_fitted(rows, "row_id", lambda train, test: mo.calibrate_platt(train, test, "s1", "y").select("row_id", F.col("calibrated").alias("platt"))), "row_id")
 
 
 def stacked_fusion(spark: SparkSession, d: str) -> DataFrame:
     rows = _scored(spark, d).withColumn("y", F.col("y").cast("double"))
-    return mo.stack(rows, rows, ["s1", "s2"], ["row_id"])
+    return mo.cross_fitted(rows, "row_id", lambda train, test: mo.stack(train, test, ["s1", "s2"], ["row_id"]))
 
 
 def explanations(spark: SparkSession, d: str) -> DataFrame:
