@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -152,6 +153,22 @@ def latency_summary(rows: DataFrame, keys: Sequence[str], value: str) -> DataFra
     return rows.groupBy(*keys).agg(F.median(value).alias("median"), F.percentile(value, F.lit(0.95)).alias("p95"), F.count(value).alias("n"))
 
 
+def time_scoring(score: Callable[[DataFrame], DataFrame], rows: DataFrame, single: int = 30, batched: int = 3) -> DataFrame:
+    """How long scoring takes: `kind` ('single' for one row at a time, 'batched' for all rows), `n_rows`, `ms`; a row for
+    each of the given numbers of repeats, after one that does not count. For latency_summary."""
+    one = rows.limit(1).cache()
+    found = []
+    for kind, part, times in (("single", one, single), ("batched", rows, batched)):
+        n = part.count()
+        for i in range(times + 1):
+            began = time.perf_counter()
+            score(part).write.format("noop").mode("overwrite").save()
+            if i:
+                found.append((kind, n, (time.perf_counter() - began) * 1000))
+    one.unpersist()
+    return rows.sparkSession.createDataFrame(found, "kind string, n_rows long, ms double")
+
+
 def event_pivot(rows: DataFrame, event: str, column: str, names: Sequence[str], value: str) -> DataFrame:
     return rows.groupBy(event).pivot(column, list(names)).agg(F.avg(value))
 

@@ -98,7 +98,7 @@ def edge_churn(spark: SparkSession, d: str) -> DataFrame:
     born = spans.select(*GROUP, "segment", "u", "v", F.col("w").alias("at"), F.lit(1).alias("x"))
     gone = spans.filter("until is not null").select(*GROUP, "segment", "u", "v", F.col("until").alias("at"), F.lit(-1).alias("x"))
     # a change of the count alone ends one interval and starts the next in the same window: they cancel
-    net = born.union(gone).groupBy(*GROUP, "segment", "u", "v", "at").agg(F.sum("x").alias("x"))
+    net = born.union(gone).groupBy(*GROUP, "segment", "u", "v", "at").agg(F.sum("x").alias("x")).filter("x <> 0")
     return net.groupBy(*GROUP, F.col("at").alias("w")).agg(F.count_if(F.col("x") > 0).alias("edges_added"), F.count_if(F.col("x") < 0).alias("edges_removed"))
 
 
@@ -203,6 +203,19 @@ pr(i, pair, stamp, asn, x) AS (SELECT 0, pair, stamp, asn, 1 / n FROM deg JOIN n
     JOIN n ON n.pair = pr.pair AND n.stamp = pr.stamp JOIN b ON b.pair = pr.pair AND b.stamp = pr.stamp AND b.a = pr.asn WHERE i < 20) GROUP BY i, pair, stamp, a)
 SELECT pair, stamp, asn, x AS pagerank FROM pr WHERE i = 20""",
     "live_edges_per_window": _LIVE + "SELECT * FROM live",
+    "edge_churn": _LIVE + """, wn AS (SELECT *, row_number() OVER (PARTITION BY collector, segment ORDER BY w) AS i FROM wins), ln AS (SELECT l.collector, l.segment, l.u, l.v, wn.i FROM live l JOIN wn USING (collector, segment, w)),
+born AS (SELECT collector, segment, u, v, i FROM ln ANTI JOIN (SELECT collector, segment, u, v, i + 1 AS i FROM ln) USING (collector, segment, u, v, i)),
+gone AS (SELECT collector, segment, u, v, i FROM (SELECT collector, segment, u, v, i + 1 AS i FROM ln) ANTI JOIN ln USING (collector, segment, u, v, i)),
+ch AS (SELECT collector, segment, i, 1 AS a, 0 AS r FROM born UNION ALL SELECT collector, segment, i, 0, 1 FROM gone)
+SELECT collector, w, sum(a)::BIGINT AS edges_added, sum(r)::BIGINT AS edges_removed FROM ch JOIN wn USING (collector, segment, i) GROUP BY ALL""",
+    "topology_counters": _LIVE + """, eb AS (SELECT collector, segment, type, lag(type) OVER (PARTITION BY collector, segment, peer_as, prefix ORDER BY ts, seq) AS before FROM lg WHERE type = 'W' OR (type = 'A' AND len(path) >= 2)),
+ap AS (SELECT collector, segment, count(*) FILTER (type = 'A') AS ann_applied, count(*) FILTER (type = 'W' AND before = 'A') AS wd_applied, count(*) FILTER (type = 'A' AND before = 'A') AS replaced FROM eb GROUP BY ALL)
+SELECT collector, segment, count(*) FILTER (type = 'A' AND len(path) < 2) AS ann_ignored, coalesce(any_value(ann_applied), 0) AS ann_applied, coalesce(any_value(wd_applied), 0) AS wd_applied, coalesce(any_value(replaced), 0) AS replaced FROM lg LEFT JOIN ap USING (collector, segment) GROUP BY ALL""",
+    "component_sizes": f"""WITH RECURSIVE {E_SQL}, reach(pair, stamp, asn, root) AS (SELECT pair, stamp, asn, asn FROM deg UNION
+  SELECT r.pair, r.stamp, b.b, r.root FROM reach r JOIN b ON b.pair = r.pair AND b.stamp = r.stamp AND b.a = r.asn WHERE r.root::VARCHAR < b.b::VARCHAR),
+c AS (SELECT pair, stamp, asn, min(root::VARCHAR) AS component FROM reach GROUP BY ALL), k AS (SELECT pair, stamp, component, count(*) AS n FROM c GROUP BY ALL),
+z AS (SELECT pair, stamp, sum(n)::BIGINT AS n_nodes_full, count(*) AS n_components, max(n) AS lcc_nodes, max(n) / sum(n) AS lcc_fraction FROM k GROUP BY ALL), t AS (SELECT pair, stamp, degree AS target_degree_full FROM deg WHERE asn = {_TARGET})
+SELECT z.*, target_degree_full FROM z LEFT JOIN t USING (pair, stamp)""",
     "topology_evolution": _LIVE
     + """, nn AS (SELECT collector, w, count(DISTINCT x) AS n_nodes FROM (SELECT collector, w, unnest([u, v]) AS x FROM live) GROUP BY ALL)
 SELECT l.collector, l.w, count(*) AS n_edges, sum(refs)::BIGINT AS references, any_value(n_nodes) AS n_nodes FROM live l JOIN nn USING (collector, w) GROUP BY ALL""".replace("AS references", 'AS "references"'),

@@ -253,6 +253,13 @@ f AS (SELECT domain, t, round((coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)
     "wilcoxon_w": _S + """, p AS (SELECT domain, round(s1 - s2, 12) AS d FROM sc), r AS (SELECT domain, d, rank() OVER (PARTITION BY domain ORDER BY abs(d)) + (count(*) OVER (PARTITION BY domain, abs(d)) - 1) / 2 AS rk, count(*) OVER (PARTITION BY domain, abs(d)) AS t FROM p WHERE d <> 0),
 w AS (SELECT domain, sum(rk) FILTER (d > 0) AS w_plus, coalesce(sum(rk) FILTER (d < 0), 0) AS w_minus, count(*) AS n FROM r GROUP BY ALL), a AS (SELECT domain, count(*) AS n_pairs, count(*) FILTER (d > 0) AS wins, count(*) FILTER (d = 0) AS ties, median(d) AS median_diff FROM p GROUP BY ALL)
 SELECT domain, n_pairs, wins, ties, median_diff, w_plus, w_minus, n AS n_used, least(w_plus, w_minus) AS w FROM a JOIN w USING (domain)""",
+    "wilcoxon_p": _S + """, p AS (SELECT domain, round(s1 - s2, 12) AS d FROM sc), r AS (SELECT domain, d, rank() OVER (PARTITION BY domain ORDER BY abs(d)) + (count(*) OVER (PARTITION BY domain, abs(d)) - 1) / 2 AS rk, count(*) OVER (PARTITION BY domain, abs(d)) AS t FROM p WHERE d <> 0),
+w AS (SELECT domain, sum(rk) FILTER (d > 0) AS w_plus, coalesce(sum(rk) FILTER (d < 0), 0) AS w_minus, count(*) AS n FROM r GROUP BY ALL), a AS (SELECT domain, count(*) AS n_pairs, count(*) FILTER (d > 0) AS wins, count(*) FILTER (d = 0) AS ties, median(d) AS median_diff FROM p GROUP BY ALL)
+, tt AS (SELECT domain, sum(t * t * t - t) AS t FROM (SELECT DISTINCT domain, abs(d), t FROM r) GROUP BY ALL),
+z AS (SELECT domain, (least(w_plus, w_minus) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - tt.t / 48) AS z FROM w JOIN tt USING (domain)),
+q AS (SELECT domain, z, 1 / (1 + 0.2316419 * abs(z)) AS k FROM z),
+pv AS (SELECT domain, exp(-z * z / 2) / sqrt(2 * pi()) * (k * (0.319381530 + k * (-0.356563782 + k * (1.781477937 + k * (-1.821255978 + k * 1.330274429))))) AS tail, z FROM q)
+SELECT domain, n_pairs, wins, ties, median_diff, w_plus, w_minus, n AS n_used, least(w_plus, w_minus) AS w, least(1.0, 2 * CASE WHEN z < 0 THEN tail ELSE 1 - tail END) AS p_value FROM a JOIN w USING (domain) JOIN pv USING (domain)""",
     "tau_grid": _S + """, t AS (SELECT unnest(list_transform(range(91), lambda i: round(0.05 + 0.01 * i, 2))) AS t), g AS (SELECT domain, t, count(*) FILTER (y = 1 AND s1 >= t) AS tp, count(*) FILTER (y = 0 AND s1 >= t) AS fp, count(*) FILTER (y = 1 AND s1 < t) AS fn FROM sc, t GROUP BY ALL),
 f AS (SELECT domain, t, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 12) AS f FROM g) SELECT domain, arg_max(t, (f, -t)) AS tau, max(f) AS f1 FROM f GROUP BY ALL""",
 }

@@ -278,6 +278,8 @@ sb AS (SELECT *, mean_abs >= 0.9 AND fraction_high >= 0.8 AND std_abs <= 0.1 AS
 _PAIR = _M + ", pr AS (SELECT a.c AS source, b.c AS target FROM (SELECT DISTINCT collector AS c FROM m) a, (SELECT DISTINCT collector AS c FROM m) b WHERE a.c <> b.c), js AS MATERIALIZED (SELECT source, target, " + ", ".join(f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) > 1e-12 THEN stddev_pop({c}) ELSE 1 END AS s_{c}" for c in FEATURES) + " FROM pr JOIN m ON m.collector IN (source, target) GROUP BY ALL)"
 
 ORACLE = {
+    "usable_features": f"WITH {W_SQL} " + " UNION ALL ".join(f"SELECT '{c}' AS feature FROM f HAVING count({c}) > 0 AND min({c}) <> max({c})" for c in FEATURES),
+    "time_folds": f"{_N}, k AS (SELECT row_id, row_number() OVER (ORDER BY w, row_id) - 1 AS r, count(*) OVER () AS n FROM n WHERE \"binary\" IS NOT NULL) SELECT row_id, least(floor(r * 5 / n), 4)::INT AS fold FROM k",
     "pearson_pairs": f"{_M} {_CORR}",
     "spearman_pairs": f"{_M}, {_RANK} " + _CORR.replace("FROM m", "FROM rk"),
     "max_dependency": f"{_M}, p AS ({_CORR}), e AS (SELECT feature_a AS feature, feature_b AS partner, abs(r) AS a FROM p UNION ALL SELECT feature_b, feature_a, abs(r) FROM p) SELECT feature, max(a) AS max_abs, arg_min(partner, (-a, partner)) AS best_partner FROM e GROUP BY ALL",

@@ -91,6 +91,7 @@ def ego_vf_rates(spark: SparkSession, d: str) -> DataFrame:
     of = lambda scope, c: F.max(F.when(F.col("scope") == scope, F.col(c)))
     measures = [c for c in rates.columns if c not in ("collector", "scope")]
     bad = [F.coalesce(of(role, "valley_free_violations"), F.lit(0)).alias(f"ego_{role}_violations") for role in ("transit", "origin")]
+    bad.append(of("transit", "valley_free_rate").alias("ego_transit_vf_rate"))
     wide = rates.groupBy("collector").agg(*[of("all", c).alias(c) for c in measures], *[of("ego", c).alias(f"ego_{c}") for c in measures], *bad)
     return r.ego_differences(wide)
 

@@ -203,6 +203,9 @@ FROM c a JOIN c b ON a.collector = b.collector AND a.asn = b.asn AND b.i - a.i B
 )
 
 ORACLE = {
+    "replace_by_key": """WITH e AS (SELECT DISTINCT pair, stamp, least(source, target) AS u, greatest(source, target) AS v FROM edges WHERE source <> target),
+n AS (SELECT pair, stamp, count(*) AS n_edges, 'new' AS origin FROM e WHERE stamp LIKE '%0000' GROUP BY ALL), o AS (SELECT pair, stamp, n_edges, 'old' AS origin FROM snapshots_index)
+SELECT * FROM n UNION ALL SELECT o.* FROM o ANTI JOIN n USING (pair, stamp)""",
     "event_sessions": f"WITH {S_SQL} SELECT * FROM ss",
     "event_manifest": f"WITH {S_SQL} SELECT * FROM m",
     "event_interval_join": f"WITH {S_SQL} SELECT l.row_id, l.domain, l.w, max(m.event_id) AS event_id FROM l LEFT JOIN m ON l.domain = m.domain AND l.w BETWEEN m.start_time AND m.end_time GROUP BY ALL",

@@ -2,29 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathloom.operators.relations import both_directions
 
 
-def update_files(spark: SparkSession, collector: str, start: str, end: str, minutes: int = 5, pattern: str = "updates.{}.gz") -> DataFrame:
-    """Names and times of the update files of a half-open time range."""
-    times = spark.range(1).select(F.explode(F.sequence(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"), F.expr(f"interval {int(minutes)} minutes"))).alias("ts")).filter(F.col("ts") < F.lit(end).cast("timestamp"))
+def update_files(spark: SparkSession, collector: str, start: str, end: str, minutes: int = 5, pattern: str = "updates.{}.gz", closed: bool = False) -> DataFrame:
+    """Names and times of the update files of a half-open time range, or of a closed one."""
+    times = spark.range(1).select(F.explode(F.sequence(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"), F.expr(f"interval {int(minutes)} minutes"))).alias("ts"))
+    times = times.filter(F.col("ts") <= F.lit(end).cast("timestamp") if closed else F.col("ts") < F.lit(end).cast("timestamp"))
     stamp = F.date_format("ts", "yyyyMMdd.HHmm")
     name = F.concat(F.lit(pattern.split("{}")[0]), stamp, F.lit(pattern.split("{}")[1]))
     return times.select(F.lit(collector).alias("collector"), F.concat_ws("/", F.lit(collector), F.date_format("ts", "yyyy.MM"), name).alias("path"), "ts")
 
 
 def snapshot_files(spark: SparkSession, collector: str, start: str, end: str) -> DataFrame:
-    """The 8-hourly snapshot files of a half-open time range."""
-    return update_files(spark, collector, start, end, 480, "bview.{}.gz")
+    """The 8-hourly snapshot files of a time range, its end included."""
+    return update_files(spark, collector, start, end, 480, "bview.{}.gz", closed=True)
 
 
 def nearest_file(files: DataFrame, dates: DataFrame) -> DataFrame:
-    """For each date the file (path, file_date) nearest in days; the earlier of equals. Few files: they are broadcast up to Spark's own size check."""
-    gap = F.abs(F.datediff("file_date", "date"))
-    return dates.join(files).groupBy("date").agg(F.min_by("path", F.struct(gap, F.col("file_date"))).alias("path"))
+    """For each date the file (path, file_date) nearest in days; the earlier of equals.
+
+    Dates and files are put in one order; each date takes the last file up to it or the first after it, so nothing is
+    paired. The lists are short (a row a file, a row a date) and ordered in one task.
+    """
+    one = files.groupBy("file_date").agg(F.min("path").alias("path"))
+    line = dates.select("date", F.lit(1).alias("_asks"), F.lit(None).cast("struct<d:date,p:string>").alias("_f")).distinct()
+    line = line.unionByName(one.select(F.col("file_date").cast("date").alias("date"), F.lit(0).alias("_asks"), F.struct(F.col("file_date").cast("date").alias("d"), F.col("path").alias("p")).alias("_f")))
+    w = Window.orderBy("date", "_asks")
+    met = line.withColumns({"_a": F.last("_f", True).over(w), "_b": F.first("_f", True).over(w.rowsBetween(0, Window.unboundedFollowing))}).filter("_asks = 1")
+    before, after = F.datediff("date", "_a.d"), F.datediff("_b.d", "date")
+    return met.select("date", F.when(before.isNull() | (after < before), F.col("_b.p")).otherwise(F.col("_a.p")).alias("path"))
 
 
 def month_file(files: DataFrame, dates: DataFrame) -> DataFrame:
