@@ -85,28 +85,43 @@ def temporal_edges(rows: DataFrame, keys: list[str], time: str, order: list[str]
     return numbered.select(*keys, "target", before.alias("_e")).filter("_e.source is not null").select(*keys, "_e.source", "target", "_e.step")
 
 
-def mutual_nearest(vectors: DataFrame, key: str, vector: str, group: str, k: int) -> DataFrame:
-    """Pairs (a < b) that are among each other's k nearest by squared distance within a group of bounded size.
+def mutual_nearest(vectors: DataFrame, key: str, vector: str, group: str, k: int, block: int = 2048, fallback: bool = False) -> DataFrame:
+    """Pairs (a < b) that are among each other's k nearest by squared distance (ties: the smaller key) within a group.
 
-    A group (a window batch, a domain's label) is compared by one kernel; `group` should cut the rows into
-    parts of some ten thousand.
+    A group falls by a hash into parts of about `block` rows. Each part is compared with each part of its group, one task
+    for two parts, and a row keeps its k nearest of a part; the best k of all parts follow from these. So no task holds a
+    group. With `fallback` rows without a mutual neighbour keep their own k nearest (the symmetrised graph).
     """
     import numpy as np
     import pandas as pd
 
-    kind = vectors.schema[key].dataType.simpleString()
-
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(key, ignore_index=True)
-        ids, x = rows[key].to_numpy(), np.stack(rows[vector].to_numpy()).astype(np.float64)
-        near = np.zeros((len(x), len(x)), dtype=bool)
-        square = (x**2).sum(axis=1)
-        for at in range(0, len(x), 1024):  # in blocks of rows
-            d = square[at : at + 1024, None] + square[None] - 2 * x[at : at + 1024] @ x.T
-            d[np.arange(len(d)), at + np.arange(len(d))] = np.inf
-            best = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
-            near[(at + np.arange(len(d)))[:, None], best] = True
-        a, b = np.nonzero(np.triu(near & near.T))
-        return pd.DataFrame({group: rows[group].iloc[0], "a": ids[a], "b": ids[b]})
-
-    return vectors.select(group, key, vector).groupBy(group).applyInPandas(solve, f"{group} {vectors.schema[group].dataType.simpleString()}, a {kind}, b {kind}")
+    kind, kinds = vectors.schema[key].dataType.simpleString(), vectors.schema[group].dataType.simpleString()
+    sizes = vectors.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_parts"))  # a row a group
+    rows = vectors.select(group, key, vector).join(sizes, group).withColumn("_part", F.pmod(F.xxhash64(F.col(key)), F.col("_parts")).cast("int"))
+    others = F.sequence(F.lit(0), F.col("_parts") - 1)
+    asks = rows.select(group, key, vector, F.col("_part").alias("i"), F.explode(others).alias("j"), F.lit(True).alias("asks"))
+    answers = rows.select(group, key, vector, F.explode(others).alias("i"), F.col("_part").alias("j"), F.lit(False).alias("asks"))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        one, two = (pdf[pdf["asks"] == side].sort_values(key, ignore_index=True) for side in (True, False))
+        out = []
+        if len(one) and len(two):
+            ids, x, y = two[key].to_numpy(), *(np.stack(p[vector].to_numpy()).astype(np.float64) for p in (one, two))
+            d = (x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None] - 2 * x @ y.T
+            d[one[key].to_numpy()[:, None] == ids[None]] = np.inf
+            best = np.argsort(d, axis=1, kind="stable")[:, :k]
+            for n, (at, near) in enumerate(zip(one[key].tolist(), best, strict=True)):
+                out += [(pdf[group].iloc[0], at, ids[m].item(), float(d[n, m])) for m in near if np.isfinite(d[n, m])]
+        return pd.DataFrame(out, columns=[group, "a", "b", "d"])
+
+    met = asks.unionByName(answers).groupBy(group, "i", "j").applyInPandas(solve, f"`{group}` {kinds}, a {kind}, b {kind}, d double")
+    order = Window.partitionBy(group, "a").orderBy(F.round("d", 9), "b")
+    near = met.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).select(group, "a", "b")
+    low = near.select(group, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    counted = low.groupBy(group, "a", "b").agg(F.count(F.lit(1)).alias("_n"))
+    mutual = counted.filter("_n = 2").select(group, "a", "b")
+    if not fallback:
+        return mutual
+    met_by = mutual.select(group, F.explode(F.array("a", "b")).alias("a")).distinct()
+    alone = near.join(met_by, [group, "a"], "left_anti").select(group, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return mutual.unionByName(alone).distinct()

@@ -57,13 +57,17 @@ def node_profile(edges: DataFrame, keys: list[str], relations: DataFrame, clique
     return counts
 
 
-def path_checks(paths: DataFrame, key: str, relations: DataFrame) -> DataFrame:
-    """Each path (key, path) of two or more numbers with the valley-free check of its hops."""
-    hops = paths.filter(F.size("path") >= 2).select(key, F.posexplode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.get("path", i - 1).alias("a"), F.get("path", i).alias("b")))).alias("i", "hop"))
-    known = hops.select(key, "i", "hop.a", "hop.b").join(relations, ["a", "b"], "left")
-    lists = known.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "rel"))), lambda x: x.rel).alias("hops"))
-    checked = lists.withColumn("c", valley_free(F.col("hops")))
-    return checked.select(key, "c.*", F.size("hops").alias("n_hops"))
+def path_checks(paths: DataFrame, relations: DataFrame) -> DataFrame:
+    """The rows whose path has two or more numbers, with the valley-free check of its hops (valid, violation, known) and
+    n_hops beside their own columns. A path is taken apart and looked up once, however many rows have it."""
+    rows = paths.filter(F.size("path") >= 2).withColumn("_text", F.array_join(F.col("path").cast("array<string>"), " "))
+    pair = lambda i: F.struct(F.get("path", i - 1).alias("a"), F.get("path", i).alias("b"))
+    once = rows.groupBy("_text").agg(F.count(F.lit(1)).alias("_n")).select("_text", F.split("_text", " ").cast("array<bigint>").alias("path"))
+    hops = once.select("_text", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), pair)).alias("i", "hop"))
+    known = hops.select("_text", "i", "hop.a", "hop.b").join(relations, ["a", "b"], "left")
+    lists = known.groupBy("_text").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "rel"))), lambda x: x.rel).alias("hops"))  # a path's hops
+    checked = lists.withColumn("c", valley_free(F.col("hops"))).select("_text", "c.*", F.size("hops").alias("n_hops"))
+    return rows.join(checked, "_text").drop("_text")
 
 
 def valley_free_rates(checks: DataFrame, keys: list[str], prefix: str = "") -> DataFrame:

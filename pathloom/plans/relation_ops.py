@@ -67,12 +67,12 @@ def _paths(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def valley_free_paths(spark: SparkSession, d: str) -> DataFrame:
     log, relations = _paths(spark, d)
-    return r.path_checks(log, "seq", relations).select("seq", "valid", F.col("violation").cast("bigint").alias("violation"), F.col("known").cast("bigint").alias("known"))
+    return r.path_checks(log.select("seq", "path"), relations).select("seq", "valid", F.col("violation").cast("bigint").alias("violation"), F.col("known").cast("bigint").alias("known"))
 
 
 def vf_rates(spark: SparkSession, d: str) -> DataFrame:
     log, relations = _paths(spark, d)
-    return r.valley_free_rates(r.path_checks(log, "seq", relations).join(log.select("seq", "collector"), "seq"), ["collector"])
+    return r.valley_free_rates(r.path_checks(log.select("collector", "path"), relations), ["collector"])
 
 
 def ego_vf_rates(spark: SparkSession, d: str) -> DataFrame:
@@ -84,8 +84,7 @@ def ego_vf_rates(spark: SparkSession, d: str) -> DataFrame:
     log, relations = _paths(spark, d)
     hops = log.select("seq", "collector", F.explode("path").alias("asn"))
     near = hops.join(F.broadcast(_ego(log)), ["collector", "asn"], "left_semi").select("seq").distinct().withColumn("near", F.lit(True))
-    facts = log.select("seq", "collector", r.target_role(F.col("path"), TARGET).alias("role"))
-    checks = r.path_checks(log, "seq", relations).join(facts, "seq").join(near, "seq", "left")
+    checks = r.path_checks(log.select("seq", "collector", "path"), relations).withColumn("role", r.target_role(F.col("path"), TARGET)).join(near, "seq", "left")
     scopes = F.array_compact(F.array(F.lit("all"), F.when(F.col("near"), F.lit("ego")), F.when(F.col("near"), F.col("role"))))
     rates = r.valley_free_rates(checks.withColumn("scope", F.explode(scopes)), ["collector", "scope"])
     of = lambda scope, c: F.max(F.when(F.col("scope") == scope, F.col(c)))

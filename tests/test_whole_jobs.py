@@ -126,7 +126,7 @@ def test_ego_rates_are_of_the_targets_network(spark, updates):
     paths = [f"11 {t} 13", f"{t} 11 17", "13 19 23", "100 200 300", "29 31 37"]
     d = updates([update(2 * i, i, "A", p) for i, p in enumerate(paths)] + [update(20, 9, "A", "11 41 43", "e")])
     log, relations = _paths(spark, d)
-    checks = {x.seq: x for x in r.path_checks(log, "seq", relations).collect()}
+    checks = {x.seq: x for x in r.path_checks(log.select("seq", "path"), relations).collect()}
     ego = [checks[s] for s in (0, 2, 4)]
     bad = [s for s in (0, 2, 4) if checks[s].known > 0 and not checks[s].valid]
     got = {x.collector: x for x in entry.queries()["ego_vf_rates"](spark, d).collect()}
