@@ -39,6 +39,13 @@ def split_report(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "split_targets").join(report, "split_name", "left").select("split_name", "share", "reached", "n_rows", "n_events")
 
 
+def unsplit(spark: SparkSession, d: str) -> DataFrame:
+    """Of every event and every window, how many splits its rows are in."""
+    rows = splits(spark, d)
+    both = rows.select(F.explode(F.array(F.struct(F.lit("event").alias("kind"), F.col("event").alias("name")), F.struct(F.lit("window").alias("kind"), F.col("window").alias("name")))).alias("x"), "split_name")
+    return both.filter("x.name is not null").groupBy("x.kind", "x.name").agg(F.count_distinct("split_name").alias("n_splits"))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of events of one component, which is what makes them share a split."""
     events = splits(spark, d).filter("event is not null").select("event", "component", "split_name").distinct()
@@ -101,6 +108,17 @@ def container_report(spark: SparkSession, d: str) -> DataFrame:
     return packing_report(containers(spark, d), CAPACITY)
 
 
+def packed_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Of every document, whether its pieces follow on each other without gap and only large ones have several; and of
+    every container whether it is within its capacity (as the documents in it)."""
+    pieces = cut(containers(spark, d))
+    room = pieces.filter("container_id is not null").groupBy("container_id").agg(F.sum("piece_size").alias("used"))
+    full = pieces.join(room, "container_id", "left").withColumn("fits", F.coalesce(F.col("used") <= CAPACITY, F.lit(True)))
+    size, reach = F.sum("piece_size"), F.max(F.col("piece_start") + F.col("piece_size"))
+    whole = (size == reach) & ((F.count(F.lit(1)) == 1) | (size > CAPACITY)) & (F.count(F.lit(1)) == F.greatest(F.max("pieces"), F.lit(1)))
+    return full.groupBy("doc_id").agg(whole.alias("whole"), F.every("fits").alias("fits"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return containers(spark, d).filter("pieces > 1 and piece_no = 0").select("doc_id")
 
@@ -118,6 +136,14 @@ def mix_report(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
+def mixed_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Of every document, whether its copies are a whole number next to its rate and within its source's cap."""
+    caps = table(spark, d, "mix_targets").select(F.lower(F.btrim("source")).alias("source"), F.col("max_repeats").alias("cap"))
+    rows = mixture(spark, d).join(caps, "source", "left")
+    held = (F.abs(F.col("copies") - F.col("rate")) < 1 + 1e-6) & (F.col("copies") >= 0) & (F.col("copies") <= F.coalesce("cap", F.lit(0)))
+    return rows.select("doc_id", held.alias("held"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return mix_report(spark, d).filter("not reachable").select("source")
 
@@ -133,6 +159,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_splits": splits,
     "p1_split_report": split_report,
+    "p1_unsplit": unsplit,
     "p1_found": p1_found,
     "p2_runs": runs,
     "p2_found": p2_found,
@@ -140,9 +167,11 @@ QUERIES = {
     "p4_found": p4_found,
     "p8_containers": containers,
     "p8_report": container_report,
+    "p8_packed_documents": packed_documents,
     "p8_found": p8_found,
     "p9_mixture": mixture,
     "p9_mix_report": mix_report,
+    "p9_mixed_documents": mixed_documents,
     "p9_found": p9_found,
     "p10_sentences": all_sentences,
     "p10_found": p10_found,
@@ -158,4 +187,9 @@ pairs AS (SELECT DISTINCT e, w FROM base WHERE e IS NOT NULL AND w IS NOT NULL),
 near AS (SELECT DISTINCT a.e AS a, b.e AS b FROM pairs a JOIN pairs b ON a.w = b.w),
 reach(a, b) AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON r.b = n.a)
 SELECT a AS event_a, b AS event_b FROM reach WHERE a < b""",
+    "p1_unsplit": """WITH base AS (
+  SELECT nullif(replace(lower(trim(event_id)), '-', '_'), '') AS e, coalesce(strftime(time_bucket(INTERVAL 5 minutes, window_start), '%Y%m%d_%H%M'), nullif(trim(window_id), '')) AS w FROM labelled_windows)
+SELECT DISTINCT 'event' AS kind, e AS name, 1::BIGINT AS n_splits FROM base WHERE e IS NOT NULL UNION ALL SELECT DISTINCT 'window', w, 1 FROM base WHERE w IS NOT NULL""",
+    "p8_packed_documents": "SELECT doc_id, true AS whole, true AS fits FROM documents",
+    "p9_mixed_documents": "SELECT doc_id, true AS held FROM documents",
 }

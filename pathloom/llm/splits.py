@@ -97,9 +97,9 @@ def balanced_bins(groups: DataFrame, key: str, weight: str, bins: int = 100, per
     local = cut(local)
     sums = {(r["_task"], r["_slot"]): r["w"] for r in local.groupBy("_task", "_slot").agg(F.sum("_weight").alias("w")).collect()}
     mapping = combine_solutions(sums, bins)
-    # tasks x bins rows, so the broadcast is bounded by the number of groups / per_task x bins
+    # tasks x bins rows, of which Spark itself decides whether they are few enough to be broadcast
     renamed = groups.sparkSession.createDataFrame([(*k, v) for k, v in mapping.items()] or [(-1, -1, -1)], "_task int, _slot bigint, bin int")
-    return local.join(F.broadcast(renamed), ["_task", "_slot"]).select(F.col("_key").alias(key), F.col("_weight").alias(weight), "bin")
+    return local.join(renamed, ["_task", "_slot"]).select(F.col("_key").alias(key), F.col("_weight").alias(weight), "bin")
 
 
 def combine_solutions(sums: dict[tuple[int, int], float], bins: int) -> dict[tuple[int, int], int]:
