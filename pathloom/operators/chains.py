@@ -114,15 +114,16 @@ def class_aligned(source: DataFrame, target: DataFrame, columns: Sequence[str],
 
 def deploy(source: DataFrame, target: DataFrame, columns: Sequence[str], keep: Sequence[str], model: str = "logistic", y: str = "y") -> DataFrame:
     """Scores of the target's rows under a model of the source: gaps filled by the medians of both, both standardised
-    together, the source aligned to the target, the threshold taken from the source's own best macro-F1. Gives keep,
-    `score`, `tau` and `pred`. A source of one class gives its share as the score."""
+    together, the source aligned to the target, the threshold that of best macro-F1 of the source's scores from folds that
+    did not see the row. Gives keep, `score`, `tau` and `pred`. A source of one class gives its share as the score."""
     a, b = al.joint_standardize(source, target, columns)
     moved = cut(al.coral(a, b, columns).select(F.col(y).cast("double").alias("y"), *columns))
     if moved.select("y").distinct().limit(2).count() < 2:
         share = moved.agg(F.avg("y")).first()[0]
         return b.select(*keep, F.lit(share).cast("double").alias("score"), F.lit(0.5).alias("tau"), (F.lit(share) >= 0.5).cast("int").alias("pred"))
     fitted = mo.fit(moved, columns, model)
-    tau = mo.best_tau(mo.scores(fitted, moved, ["y"]).withColumn("y", F.col("y").cast("int"))).select("tau")  # one row
+    unseen = mo.out_of_fold(moved.withColumn("_key", F.xxhash64(*columns)), columns, "_key", model)
+    tau = mo.best_tau(unseen.select(F.col("y").cast("int").alias("y"), "score")).select("tau")  # one row
     return mo.scores(fitted, b, keep).crossJoin(F.broadcast(tau)).withColumn("pred", (F.col("score") >= F.col("tau")).cast("int"))
 
 

@@ -96,32 +96,33 @@ def mutual_nearest(vectors: DataFrame, key: str, vector: str, group: str, k: int
     import pandas as pd
 
     kind, kinds = vectors.schema[key].dataType.simpleString(), vectors.schema[group].dataType.simpleString()
-    sizes = vectors.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_parts"))  # a row a group
-    rows = vectors.select(group, key, vector).join(sizes, group).withColumn("_part", F.pmod(F.xxhash64(F.col(key)), F.col("_parts")).cast("int"))
+    own = vectors.select(F.col(group).alias("_g"), F.col(key).alias("_key"), F.col(vector).alias("_v"))
+    sizes = own.groupBy("_g").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_parts"))  # a row a group
+    rows = own.join(sizes, "_g").withColumn("_part", F.pmod(F.xxhash64(F.col("_key")), F.col("_parts")).cast("int"))
     others = F.sequence(F.lit(0), F.col("_parts") - 1)
-    asks = rows.select(group, key, vector, F.col("_part").alias("i"), F.explode(others).alias("j"), F.lit(True).alias("asks"))
-    answers = rows.select(group, key, vector, F.explode(others).alias("i"), F.col("_part").alias("j"), F.lit(False).alias("asks"))
+    asks = rows.select("_g", "_key", "_v", F.col("_part").alias("_i"), F.explode(others).alias("_j"), F.lit(True).alias("_asks"))
+    answers = rows.select("_g", "_key", "_v", F.explode(others).alias("_i"), F.col("_part").alias("_j"), F.lit(False).alias("_asks"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        one, two = (pdf[pdf["asks"] == side].sort_values(key, ignore_index=True) for side in (True, False))
+        one, two = (pdf[pdf["_asks"] == side].sort_values("_key", ignore_index=True) for side in (True, False))
         out = []
         if len(one) and len(two):
-            ids, x, y = two[key].to_numpy(), *(np.stack(p[vector].to_numpy()).astype(np.float64) for p in (one, two))
+            ids, x, y = two["_key"].to_numpy(), *(np.stack(p["_v"].to_numpy()).astype(np.float64) for p in (one, two))
             d = (x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None] - 2 * x @ y.T
-            d[one[key].to_numpy()[:, None] == ids[None]] = np.inf
+            d[one["_key"].to_numpy()[:, None] == ids[None]] = np.inf
             best = np.argsort(d, axis=1, kind="stable")[:, :k]
-            for n, (at, near) in enumerate(zip(one[key].tolist(), best, strict=True)):
-                out += [(pdf[group].iloc[0], at, ids[m].item(), float(d[n, m])) for m in near if np.isfinite(d[n, m])]
-        return pd.DataFrame(out, columns=[group, "a", "b", "d"])
-
-    met = asks.unionByName(answers).groupBy(group, "i", "j").applyInPandas(solve, f"`{group}` {kinds}, a {kind}, b {kind}, d double")
-    order = Window.partitionBy(group, "a").orderBy(F.round("d", 9), "b")
-    near = met.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).select(group, "a", "b")
-    low = near.select(group, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    counted = low.groupBy(group, "a", "b").agg(F.count(F.lit(1)).alias("_n"))
-    mutual = counted.filter("_n = 2").select(group, "a", "b")
+            for n, (at, near) in enumerate(zip(one["_key"].tolist(), best, strict=True)):
+                out += [(pdf["_g"].iloc[0], at, ids[m].item(), float(d[n, m])) for m in near if np.isfinite(d[n, m])]
+        return pd.DataFrame(out, columns=["_g", "a", "b", "d"])
+
+    met = asks.unionByName(answers).groupBy("_g", "_i", "_j").applyInPandas(solve, f"_g {kinds}, a {kind}, b {kind}, d double")
+    order = Window.partitionBy("_g", "a").orderBy(F.round("d", 9), "b")
+    near = met.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).select("_g", "a", "b")
+    low = near.select("_g", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    counted = low.groupBy("_g", "a", "b").agg(F.count(F.lit(1)).alias("_n"))
+    mutual = counted.filter("_n = 2").select("_g", "a", "b")
     if not fallback:
-        return mutual
-    met_by = mutual.select(group, F.explode(F.array("a", "b")).alias("a")).distinct()
-    alone = near.join(met_by, [group, "a"], "left_anti").select(group, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return mutual.unionByName(alone).distinct()
+        return mutual.withColumnRenamed("_g", group)
+    met_by = mutual.select("_g", F.explode(F.array("a", "b")).alias("a")).distinct()
+    alone = near.join(met_by, ["_g", "a"], "left_anti").select("_g", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return mutual.unionByName(alone).distinct().withColumnRenamed("_g", group)
