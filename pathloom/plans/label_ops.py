@@ -143,7 +143,11 @@ def event_pivot(spark: SparkSession, d: str) -> DataFrame:
 
 
 def balanced_subsample(spark: SparkSession, d: str) -> DataFrame:
-    return ev.balanced_subsample(_scored(spark, d), "y", "row_id").groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+    return ev.balanced_subsample(_scored(spark, d).select("row_id", "y", "s1", "s2"), "y", "row_id")
+
+
+def balanced_counts(spark: SparkSession, d: str) -> DataFrame:
+    return balanced_subsample(spark, d).groupBy("y").agg(F.count(F.lit(1)).alias("n"))
 
 
 def confusion_at_half(spark: SparkSession, d: str) -> DataFrame:
@@ -154,7 +158,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         robust_scale, z_iqr_score, mad_threshold, consensus_weights, consensus_labels, leave_one_out, subsample_stability, label_churn, transition_matrix, effect_size, visibility, periodic_relabel, daily_label_stats,
-        label_crosstab, label_shares, late_fusion, per_event_recall, detection_rate, seed_summary, class_balance, latency_percentiles, event_pivot, balanced_subsample,
+        label_crosstab, label_shares, late_fusion, per_event_recall, detection_rate, seed_summary, class_balance, latency_percentiles, event_pivot, balanced_subsample, balanced_counts,
     )
 } | {
     "confusion_metrics": confusion_at_half,
@@ -240,7 +244,7 @@ c AS (SELECT domain, count(*) AS n_rows, count(*) FILTER ("binary" = 1) AS n_pos
 SELECT * FROM c LEFT JOIN e USING (domain)""",
     "latency_percentiles": _S + " SELECT domain, median(s2) AS median, quantile_cont(s2, 0.95) AS p95, count(s2) AS n FROM sc GROUP BY ALL",
     "event_pivot": _S + " SELECT event, avg(s1) FILTER (row_id % 2 = 0) AS graph, avg(s1) FILTER (row_id % 2 <> 0) AS stat FROM sc WHERE event IS NOT NULL GROUP BY ALL",
-    "balanced_subsample": _S + ", k AS (SELECT count(*) FILTER (y = 1) AS a, count(*) FILTER (y = 0) AS b FROM sc) SELECT unnest([0, 1]) AS y, least(a, b) AS n FROM k",
+    "balanced_counts": _S + ", k AS (SELECT count(*) FILTER (y = 1) AS a, count(*) FILTER (y = 0) AS b FROM sc) SELECT unnest([0, 1]) AS y, least(a, b) AS n FROM k",
     "confusion_metrics": _S + f", {_cf('domain')} SELECT *, (f1_1 + f1_0) / 2 AS macro_f1, (recall_1 + recall_0) / 2 AS balanced_accuracy FROM cm",
     "average_precision": _S + """, g AS (SELECT domain, s1, sum(y) AS p, count(*) AS n FROM sc GROUP BY ALL), c AS (SELECT domain, p, sum(p) OVER k AS tp, sum(n) OVER k AS at_, sum(p) OVER (PARTITION BY domain) AS pos FROM g WINDOW k AS (PARTITION BY domain ORDER BY s1 DESC))
 SELECT domain, sum(p / pos * tp / at_) AS average_precision FROM c GROUP BY ALL""",
