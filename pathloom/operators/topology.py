@@ -68,6 +68,33 @@ def topology_evolution(live: DataFrame, group: list[str]) -> DataFrame:
     return live.groupBy(*group, "w").agg(F.count(F.lit(1)).alias("n_edges"), F.sum("refs").alias("references")).join(nodes, [*group, "w"])
 
 
+def window_topology(log: DataFrame, group: list[str], target: int) -> DataFrame:
+    """What `topology_evolution` gives, and the target's degree and references (null where it has no edge), from changes
+    alone: no edge is listed by window.
+
+    An edge's interval counts +1 where it begins and -1 where it ends, for the whole and for both its ends. A node is
+    there while the running sum of its edges is positive; sums over the windows that have updates, 96 of five minutes in
+    a segment at most, give the rest.
+    """
+    spans = edge_intervals(edge_deltas(path_lives(log, group), group), group)
+    ends = F.array_compact(F.array(F.struct("w", F.lit(1).alias("x")), F.when(F.col("until").isNotNull(), F.struct(F.col("until").alias("w"), F.lit(-1).alias("x")))))
+    changes = spans.select(*group, "segment", "u", "v", "refs", F.explode(ends).alias("c")).select(*group, "segment", "u", "v", "refs", "c.*")
+    near = F.when((F.col("u") == target) | (F.col("v") == target), F.col("x")).otherwise(0)
+    rows = changes.withColumn("near", near).select(*group, "segment", "w", "x", "refs", "near", F.explode(F.array(F.lit(None).cast("bigint"), "u", "v")).alias("asn"))
+    # asn null: the whole
+    sums = rows.groupBy(*group, "segment", "asn", "w").agg(F.sum("x").alias("x"), F.sum(F.col("x") * F.col("refs")).alias("r"), F.sum("near").alias("t"), F.sum(F.col("near") * F.col("refs")).alias("tr"))
+    after = F.sum("x").over(Window.partitionBy(*group, "segment", "asn").orderBy("w"))
+    sums = sums.withColumn("after", after).withColumn("n", (F.col("after") > 0).cast("int") - (F.col("after") > F.col("x")).cast("int"))
+    whole = lambda c: F.sum(F.when(F.col("asn").isNull(), F.col(c))).alias(c)
+    steps = sums.groupBy(*group, "segment", "w").agg(*map(whole, ("x", "r", "t", "tr")), F.sum(F.when(F.col("asn").isNotNull(), F.col("n"))).alias("n"))
+    windows = log.select(*group, "segment", "w").distinct()  # each change is at one of these
+    upto = Window.partitionBy(*group, "segment").orderBy("w")
+    names = {"x": "n_edges", "r": "references", "n": "n_nodes", "t": "target_degree", "tr": "target_references"}
+    held = windows.join(steps, [*group, "segment", "w"], "left").select(*group, "w", *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(name) for c, name in names.items()])
+    near = [F.when(F.col("target_degree") > 0, F.col(c)).alias(c) for c in ("target_degree", "target_references")]
+    return held.filter("n_edges > 0").select(*group, "w", "n_edges", "references", "n_nodes", *near)
+
+
 def state_counters(log: DataFrame, group: list[str]) -> DataFrame:
     """What each segment did: announcements applied and ignored, withdrawals applied."""
     order = Window.partitionBy(*group, "segment", "peer_as", "prefix").orderBy("ts", "seq")

@@ -132,12 +132,10 @@ def ensemble_shap(spark: SparkSession, d: str) -> DataFrame:
 
 def aligned_windows(spark: SparkSession, d: str) -> DataFrame:
     """One row for each window with updates: the topology at its end, the target's place in it, and the statistical view."""
-    log = cut(topo.with_segment(read_updates(spark, d)))
-    live = topo.live_edges(log, go.GROUP)
-    graph = topo.topology_evolution(live, go.GROUP)
-    near = live.filter((F.col("u") == so.TARGET) | (F.col("v") == so.TARGET))
-    node = near.groupBy(*so.KEYS).agg(F.count(F.lit(1)).alias("target_degree"), F.sum("refs").alias("target_references"))
-    return sv.align_views(graph, node, sv.stat_view(log, so.KEYS), so.KEYS)
+    log = topo.with_segment(read_updates(spark, d))  # not kept: its readers share one scan and one shuffle
+    both = cut(topo.window_topology(log, go.GROUP, so.TARGET))  # a row a window
+    place = ["target_degree", "target_references"]
+    return sv.align_views(both.drop(*place), both.select(*so.KEYS, *place).filter("target_degree is not null"), sv.stat_view(log, so.KEYS), so.KEYS)
 
 
 def resumed_windows(spark: SparkSession, d: str) -> DataFrame:

@@ -175,3 +175,25 @@ def test_models_run_at_full_size(spark, data, monkeypatch):
     for model in ("gbt", "rf", "mlp"):
         assert seen["fit", model]["settings"] == {} and len(seen["fit", model]["columns"]) == 4
     assert len(seen["isolation_forest", None]["columns"]) == 4
+
+
+def test_aligned_windows_lists_no_edge_by_window_and_keeps_no_log(spark, data, monkeypatch):
+    from pathloom.operators import topology as topo
+    from pathloom.plans import chain_ops as co
+    from pathloom.plans import graph_ops as go
+    from pathloom.plans import stream_ops as so
+    from pathloom.sources.updates import read_updates
+
+    log = topo.with_segment(read_updates(spark, data))
+    live = topo.live_edges(log, go.GROUP)
+    target = live.groupBy("u").count().orderBy(F.desc("count"), "u").first().u
+    near = live.filter((F.col("u") == target) | (F.col("v") == target)).groupBy(*so.KEYS).agg(F.count(F.lit(1)).alias("d"), F.sum("refs").alias("r"))
+    wanted = topo.topology_evolution(live, go.GROUP).join(near, so.KEYS, "left")
+    columns = [*so.KEYS, "n_edges", "references", "n_nodes"]
+    got = topo.window_topology(log, go.GROUP, target).select(*columns, "target_degree", "target_references")
+    assert sorted(map(str, got.collect())) == sorted(str(r) for r in wanted.select(*columns, F.col("d").alias("target_degree"), F.col("r").alias("target_references")).collect())
+    kept = []
+    monkeypatch.setattr(topo, "live_edges", lambda *a, **k: pytest.fail("edges listed by window"))
+    monkeypatch.setattr(co, "cut", lambda df: kept.append(df.columns) or df)
+    co.aligned_windows(spark, data)
+    assert not any("path" in c for c in kept)
