@@ -6,6 +6,8 @@ degree, which bounds their number by m * sqrt(m) even with hubs.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,11 +141,56 @@ def without_nodes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("asn").alias("u")), "u", "left_anti").join(nodes.select(F.col("asn").alias("v")), "v", "left_anti")
 
 
-def core_numbers(edges: DataFrame, keys: list[str], rounds: int = 500) -> DataFrame:
-    """Core number of each node of each graph, by rounds of the h-index of the neighbours' estimates.
-
-    Estimates start at the degrees and only fall; where a round changes nothing they are the core numbers.
+def peel(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of one graph and their core numbers, from its edges: nodes of the least degree left go out together, each
+    edge is taken off once."""
+    nodes, flat = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = np.concatenate([flat[: len(u)], flat[len(u) :]]), np.concatenate([flat[len(u) :], flat[: len(u)]])
+    b = b[np.argsort(a, kind="stable")]
+    degree = np.bincount(flat, minlength=len(nodes))
+    start = np.concatenate([[0], np.cumsum(degree)])
+    left, core, k = np.ones(len(nodes), dtype=bool), np.zeros(len(nodes), dtype=np.int64), 0
+    degree, rest = degree.copy(), np.arange(len(nodes))
+    while len(rest):
+        k = max(k, int(degree[rest].min()))
+        out = rest[degree[rest] <= k]
+        while len(out):
+            core[out], left[out] = k, False
+            size = start[out + 1] - start[out]
+            hit = b[np.repeat(start[out] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())]
+            hit, times = np.unique(hit[left[hit]], return_counts=True)
+            degree[hit] -= times
+            out = hit[degree[hit] <= k]
+        rest = rest[left[rest]]
+    return nodes, core
+
+
+def core_numbers(edges: DataFrame, keys: list[str], rounds: int = 500, in_task: int = 1_000_000) -> DataFrame:
+    """Core number of each node of each graph.
+
+    A graph of at most `in_task` edges is peeled in one task, with memory and time linear in its edges. A larger one is
+    worked out over all tasks, by rounds of the h-index of the neighbours' estimates.
     """
+    large = edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m")).filter(F.col("_m") > in_task).select(*keys)
+    named = [F.col(c) for c in keys]
+    kinds = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
+
+    def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        nodes, core = peel(rows["u"].to_numpy(), rows["v"].to_numpy())
+        return pd.DataFrame({k: x for k, x in zip(keys, key, strict=True)} | {"asn": nodes, "core": core})
+
+    shape = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", asn bigint, core bigint"
+    lone = lambda df: df.select(*named, F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v")).groupBy(*keys).applyInPandas(solve, shape)
+    few = large.collect()  # a row a graph of more than in_task edges
+    if not few:
+        return lone(edges)
+    large = edges.sparkSession.createDataFrame(few, large.schema)
+    return lone(edges.join(large, keys, "left_anti")).unionByName(_core_rounds(edges.join(large, keys, "left_semi"), keys, rounds))
+
+
+def _core_rounds(edges: DataFrame, keys: list[str], rounds: int) -> DataFrame:
+    """Core numbers by rounds: estimates start at the degrees and only fall; where a round changes nothing they are the
+    core numbers."""
     pairs = cut(both_ways(edges, keys))
     state = cut(degrees(edges, keys).select(*keys, "asn", F.col("degree").alias("core")))
     for _ in range(rounds):

@@ -128,3 +128,22 @@ def test_pagerank_sums_to_one_and_ego(spark, shapes):
     assert all(abs(r[1] - 1) < 1e-9 for r in total)
     targets = spark.createDataFrame([("P4", 1)], "g string, asn bigint")
     assert sorted((r.asn, r.hop) for r in g.ego_nodes(shapes, ["g"], targets, 2).collect()) == [(1, 0), (2, 1), (3, 2)]
+
+
+def test_core_numbers_within_a_task_and_by_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = []
+    for name, n, p in (("thin", 60, 0.05), ("thick", 40, 0.4)):
+        rows += [(name, int(i), int(j)) for i, j in np.argwhere(np.triu(rng.random((n, n)) < p, 1))]
+    edges = spark.createDataFrame(rows, "g string, u bigint, v bigint").cache()
+    wanted = set()
+    for name in ("thin", "thick"):
+        nodes, a = matrix([(u, v) for x, u, v in rows if x == name])
+        wanted |= {(name, int(n), int(c)) for n, c in zip(nodes, k.core_numbers(a), strict=True)}
+    cores = lambda **s: {tuple(r) for r in g.core_numbers(edges, ["g"], **s).select("g", "asn", "core").collect()}
+    thin = sum(x == "thin" for x, _, _ in rows)
+    assert cores(in_task=thin) == cores(in_task=0) == wanted  # one by rounds; both
+    monkeypatch.setattr(g, "cut", lambda df: pytest.fail("rounds over graphs that fit a task"))
+    assert cores() == wanted
+    empty = g.core_numbers(edges.filter("u < 0"), ["g"])
+    assert empty.columns == ["g", "asn", "core"] and empty.count() == 0
