@@ -147,3 +147,18 @@ def test_core_numbers_within_a_task_and_by_rounds(spark, monkeypatch):
     assert cores() == wanted
     empty = g.core_numbers(edges.filter("u < 0"), ["g"])
     assert empty.columns == ["g", "asn", "core"] and empty.count() == 0
+
+
+def test_core_stats_needs_no_rounds_on_the_driver(spark, data, monkeypatch):
+    from pathloom.plans.graph_ops import core_stats, snapshot_edges
+
+    monkeypatch.setattr(g, "cut", lambda df: pytest.fail("a round and a checkpoint"))
+    graphs = {}
+    for r in snapshot_edges(spark, data).collect():
+        graphs.setdefault((r.pair, r.stamp), []).append((r.u, r.v))
+    found = core_stats(spark, data).collect()
+    assert len(found) == len(graphs) > 1
+    for r in found:
+        core = k.core_numbers(matrix(graphs[r.pair, r.stamp])[1])
+        assert (r.degeneracy, r.innermost_core_size) == (core.max(), (core == core.max()).sum())
+        assert (r.core_mean, r.core_std, r.core_median) == pytest.approx((core.mean(), core.std(), np.median(core)))
