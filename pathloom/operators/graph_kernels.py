@@ -46,31 +46,43 @@ def largest_component(a: np.ndarray) -> np.ndarray:
     return best
 
 
-def distances_and_betweenness(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All hop distances, and normalised betweenness by level-synchronous dependency accumulation from all
-    sources at once."""
+def distances_and_betweenness(a: np.ndarray, at_once: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """All hop distances, and normalised betweenness by dependency accumulation, level by level from blocks of sources.
+
+    Each (source, node) is expanded over its own edges once each way, so the work is nodes times edges, whatever the
+    number of levels; a block of sources holds about `at_once` of these steps.
+    """
     n = len(a)
-    dist = np.full((n, n), -1, dtype=np.int64)
-    np.fill_diagonal(dist, 0)
-    sigma = np.eye(n)
-    levels, front, d = [], np.eye(n), 0
-    while True:
-        levels.append(front)
-        reached = front @ a
-        fresh = (reached > 0) & (dist < 0)
-        if not fresh.any():
-            break
-        d += 1
-        dist[fresh] = d
-        front = np.where(fresh, reached, 0.0)
-        sigma += front
-    delta = np.zeros((n, n))
-    for level in range(d, 0, -1):
-        at = dist == level
-        share = np.where(at, (1.0 + delta) / np.where(sigma > 0, sigma, 1.0), 0.0)
-        delta += np.where(dist == level - 1, sigma * (share @ a), 0.0)
-    np.fill_diagonal(delta, 0.0)
-    total = delta.sum(axis=0) / 2
+    head, near = np.nonzero(a)
+    degree = np.bincount(head, minlength=n)
+    start = np.concatenate([[0], np.cumsum(degree)[:-1]])
+    dist, total = np.full((n, n), -1, dtype=np.int64), np.zeros(n)
+    block = max(1, at_once // max(1, len(near)))
+    for first in range(0, n, block):
+        sources = np.arange(first, min(n, first + block))
+        hops = dist[sources].ravel()  # at (source - first) * n + node
+        sigma, seen = np.zeros(len(hops)), np.zeros(len(hops), dtype=np.int64)
+        front = (sources - first) * n + sources
+        hops[front], sigma[front], levels = 0, 1.0, []
+        while len(front):
+            node = front % n
+            size = degree[node]
+            step = np.repeat(start[node] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            back, to = np.repeat(front, size), np.repeat(front - node, size) + near[step]
+            fresh = hops[to] < 0
+            back, to = back[fresh], to[fresh]
+            np.add.at(sigma, to, sigma[back])
+            hops[to] = len(levels) + 1
+            seen[to] = np.arange(len(to))
+            front = to[seen[to] == np.arange(len(to))]  # each once
+            levels.append((back, to))
+        delta = np.zeros(len(hops))
+        for back, to in reversed(levels):
+            np.add.at(delta, back, sigma[back] / sigma[to] * (1.0 + delta[to]))
+        delta[(sources - first) * n + sources] = 0.0
+        total += delta.reshape(len(sources), n).sum(axis=0)
+        dist[sources] = hops.reshape(len(sources), n)
+    total /= 2
     return dist, total / ((n - 1) * (n - 2) / 2) if n > 2 else total * 0.0
 
 

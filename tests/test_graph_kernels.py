@@ -1,5 +1,6 @@
 import itertools
 import math
+import time
 
 import numpy as np
 import pytest
@@ -162,3 +163,18 @@ def test_core_stats_needs_no_rounds_on_the_driver(spark, data, monkeypatch):
         core = k.core_numbers(matrix(graphs[r.pair, r.stamp])[1])
         assert (r.degeneracy, r.innermost_core_size) == (core.max(), (core == core.max()).sum())
         assert (r.core_mean, r.core_std, r.core_median) == pytest.approx((core.mean(), core.std(), np.median(core)))
+
+
+def test_betweenness_takes_nodes_times_edges_whatever_the_levels():
+    n = 1500
+    a = np.diag(np.ones(n - 1), 1)
+    began = time.process_time()
+    dist, between = k.distances_and_betweenness(a + a.T)
+    assert time.process_time() - began < 60  # products of n * n matrices by level take many times that
+    i = np.arange(n)
+    assert (dist == abs(i[:, None] - i)).all()
+    assert between == pytest.approx(i * (n - 1 - i) / ((n - 1) * (n - 2) / 2))
+    rng = np.random.default_rng(3)
+    b = np.triu(rng.random((40, 40)) < 0.15, 1).astype(float)
+    whole, parts = k.distances_and_betweenness(b + b.T), k.distances_and_betweenness(b + b.T, 1)
+    assert (whole[0] == parts[0]).all() and whole[1] == pytest.approx(parts[1])
