@@ -234,17 +234,19 @@ def graph_row(a: np.ndarray) -> dict:
 def node_rows(nodes: np.ndarray, a: np.ndarray) -> pd.DataFrame:
     n = len(a)
     deg = a.sum(axis=1)
+    head, near = np.nonzero(a)
     dist, between = distances_and_betweenness(a)
     core = core_numbers(a)
     _, vectors = np.linalg.eigh(a)
     lead = np.abs(vectors[:, -1])
     rank = np.full(n, 1 / n)
     for _ in range(200):
-        new = 0.15 / n + 0.85 * (a @ (rank / deg))
+        new = 0.15 / n + 0.85 * np.bincount(head, (rank / deg)[near], n)
         if np.abs(new - rank).sum() < 1e-12:
             break
         rank = new
-    closed = ((a @ a) * a).sum(axis=1)
+    around = [set(x.tolist()) for x in np.split(near, np.cumsum(deg.astype(np.int64))[:-1])]
+    closed = np.bincount(head, [len(around[h] & around[x]) for h, x in zip(head.tolist(), near.tolist(), strict=True)], n)
     pairs = deg * (deg - 1)
     return pd.DataFrame({
         "asn": nodes, "degree": deg.astype(np.int64), "degree_centrality": deg / (n - 1), "betweenness_centrality": between, "closeness_centrality": (n - 1) / dist.sum(axis=1),

@@ -178,3 +178,24 @@ def test_betweenness_takes_nodes_times_edges_whatever_the_levels():
     b = np.triu(rng.random((40, 40)) < 0.15, 1).astype(float)
     whole, parts = k.distances_and_betweenness(b + b.T), k.distances_and_betweenness(b + b.T, 1)
     assert (whole[0] == parts[0]).all() and whole[1] == pytest.approx(parts[1])
+
+
+def test_node_rows_of_a_long_path_and_of_a_random_graph():
+    n = 1500
+    a = np.diag(np.ones(n - 1), 1)
+    a += a.T
+    began = time.process_time()
+    rows = k.node_rows(np.arange(n), a)
+    assert time.process_time() - began < 90  # products of n * n matrices by level take many times that
+    i = np.arange(n)
+    assert (rows["eccentricity"] == np.maximum(i, n - 1 - i)).all() and (rows["local_clustering"] == 0).all()
+    rng = np.random.default_rng(4)
+    a = np.triu(rng.random((50, 50)) < 0.2, 1).astype(float)
+    a += a.T
+    keep = k.largest_component(a)
+    a = a[np.ix_(keep, keep)]
+    rows, deg = k.node_rows(np.arange(len(a)), a), a.sum(axis=1)
+    closed = np.diag(a @ a @ a)
+    assert rows["local_clustering"].to_numpy() == pytest.approx(np.where(deg > 1, closed / np.maximum(deg * (deg - 1), 1), 0))
+    rank = np.linalg.solve(np.eye(len(a)) - 0.85 * a / deg, np.full(len(a), 0.15 / len(a)))
+    assert rows["pagerank"].to_numpy() == pytest.approx(rank, abs=1e-10)
