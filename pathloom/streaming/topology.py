@@ -2,7 +2,7 @@
 
 A stream needs a bound on what may come late, so both take a watermark. Windowed counts drop what comes later than
 it; edge deltas use it to know copies of an update, wherever they lie, and apply each update in order of its time
-within its batch. Their state is one path a key.
+within its batch. Their state is one path a key, kept by buckets of keys.
 """
 
 from __future__ import annotations
@@ -43,31 +43,37 @@ def window_counts(updates: DataFrame, minutes: int = 5, late: str = "10 minutes"
     return counts.select("collector", F.col("win.start").alias("w"), "announcements", "withdrawals", "total_updates")
 
 
-def edge_deltas(updates: DataFrame, late: str = "1 day") -> DataFrame:
+def edge_deltas(updates: DataFrame, late: str = "1 day", buckets: int = 1024) -> DataFrame:
     """+1 and -1 for each edge whose use by a (collector, peer_as, prefix) begins or ends.
 
     An announcement of two or more numbers replaces the key's path, a withdrawal removes it, a shorter one
     changes nothing; of a replaced path only the edges that differ are sent. A copy of an update is passed over if it
-    comes within `late` of the original, in whatever batch. The state is the key's path; Python sees a batch's
-    updates of a key as columns, and edges are taken apart by SQL.
+    comes within `late` of the original, in whatever batch. Keys are kept by hash in `buckets` groups, so that Python is
+    called once a bucket and batch, not once a key: it sees the bucket's updates as columns. The state is the paths of a
+    bucket's keys, which is written anew where the bucket has updates; edges are taken apart by SQL.
     """
-
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        (path,) = state.get if state.exists else ("",)
-        rows = pd.concat(list(batches)).sort_values(["ts", "seq"], ignore_index=True)
-        before = rows["path"].shift(1, fill_value=path)
+    names = ["collector", "peer_as", "prefix"]
+
+    def advance(_: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held = dict(zip(*state.get, strict=True)) if state.exists else {}
+        rows = pd.concat(list(batches), ignore_index=True)
+        # lengths keep apart what joins to the same text
+        key = rows["collector"].str.len().astype(str) + "," + rows["peer_as"].str.len().astype(str) + "," + rows["collector"] + rows["peer_as"] + rows["prefix"]
+        rows = rows.assign(_key=key).sort_values(["_key", "ts", "seq"], ignore_index=True)
+        first, last = ~rows["_key"].duplicated(), ~rows["_key"].duplicated(keep="last")
+        before = rows["path"].shift(1, fill_value="").where(~first, [held.get(k, "") for k in rows["_key"]])
+        held.update(zip(rows.loc[last, "_key"], rows.loc[last, "path"], strict=True))
+        held = {k: p for k, p in held.items() if p}  # without a path is as unknown
+        state.update((list(held), list(held.values())))
         changed = rows["path"] != before
-        state.update((rows["path"].iloc[-1],))
         if changed.any():
-            out = rows.loc[changed, ["seq", "ts"]].assign(before=before[changed], path=rows["path"][changed])
-            for i, name in enumerate(("collector", "peer_as", "prefix")):
-                out.insert(i, name, key[i])
-            yield out
+            yield rows.loc[changed, [*names, "seq", "ts"]].assign(before=before[changed], path=rows["path"][changed])
 
     once = shaped(updates).withWatermark("ts", late).dropDuplicatesWithinWatermark(["seq"])
     effective = once.filter((F.col("type") == "W") | ((F.col("type") == "A") & F.contains("path", F.lit(" "))))
-    keyed = effective.select("collector", "peer_as", "prefix", "seq", "ts", F.when(F.col("type") == "A", F.col("path")).otherwise("").alias("path")).groupBy("collector", "peer_as", "prefix")
-    changes = keyed.applyInPandasWithState(advance, CHANGES, "path string", "append", "NoTimeout")
+    keyed = effective.select(*names, "seq", "ts", F.when(F.col("type") == "A", F.col("path")).otherwise("").alias("path"), F.pmod(F.xxhash64(*names), F.lit(buckets)).alias("bucket"))
+    keyed = keyed.groupBy("bucket")
+    changes = keyed.applyInPandasWithState(advance, CHANGES, "keys array<string>, paths array<string>", "append", "NoTimeout")
     edges = lambda c: F.array_distinct(path_edges(path_array(F.col(c))))
     begun, ended = F.array_except(edges("path"), edges("before")), F.array_except(edges("before"), edges("path"))
     signed = lambda es, n: F.transform(es, lambda e: F.struct(e["u"].alias("u"), e["v"].alias("v"), F.lit(n).alias("delta")))

@@ -124,6 +124,21 @@ def test_a_late_copy_in_another_batch_changes_nothing(spark, tmp_path):
     assert deltas.count() == 3
 
 
+def test_streamed_state_of_many_keys_in_one_call_a_bucket(spark, tmp_path):
+    key = lambda i, c, p, x, kind, path, minute: (i, T0 + dt.timedelta(minutes=minute), c, kind, "ip", p, x, "IGP", "nh", path)
+    many = [key(i, "c", str(i), "X", "A", "1 2", i % 50) for i in range(300)]
+    # three keys that join to the same text
+    alike = [key(400, "a", "bc", "d", "A", "5 6", 1), key(401, "ab", "c", "d", "A", "5 6", 1), key(402, "a", "b", "cd", "A", "5 6", 1)]
+    later = [key(500, "ab", "c", "d", "W", "", 60), key(501, "a", "bc", "d", "A", "6 7", 61), *[key(600 + i, "c", str(i), "X", "W", "", 62) for i in range(300)], key(950, "ab", "c", "d", "A", "8 9", 63)]
+    for rows in (many + alike, later):
+        spark.createDataFrame(rows, COLUMNS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = stream.read_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], COLUMNS).schema, 1)
+        deltas = stream.run_to_parquet(stream.edge_deltas(source, buckets=2), str(tmp_path / "out"), str(tmp_path / "cp"))
+    left = {(r.collector, r.u, r.v): r.n for r in deltas.groupBy("collector", "u", "v").agg(F.sum("delta").alias("n")).filter("n <> 0").collect()}
+    assert left == {("a", 5, 6): 1, ("a", 6, 7): 1, ("ab", 8, 9): 1}
+    assert deltas.count() == 303 + 1 + 2 + 300 + 1
+
+
 def test_streamed_windows_equal_the_batch(spark, data, tmp_path):
     rows = table(spark, data, "updates")
     rows.write.parquet(str(tmp_path / "in"))
