@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -107,10 +108,12 @@ def deployed(spark: SparkSession, d: str) -> DataFrame:
     """Scores of each domain's windows under a model of all other domains' windows moved to it (filled, standardised, aligned)."""
     from pathloom.plans.series_ops import labelled
 
-    # deployed rows may have gaps, which are filled
-    rows = labelled(spark, d).select("row_id", "domain", F.col("binary").cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in COLUMNS[:3]])
+    # deployed rows may have gaps, which are filled; each domain reads all rows many times, so copies are dropped once
+    rows = cut(labelled(spark, d).select("row_id", "domain", F.col("binary").cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in COLUMNS[:3]]))
     names = sorted(r[0] for r in rows.select("domain").distinct().collect())  # a row a domain
-    parts = [ch.deploy(rows.filter((F.col("domain") != n) & F.col("y").isNotNull()), rows.filter(F.col("domain") == n), COLUMNS[:3], ["row_id", "domain"]) for n in names]
+    one = lambda n: ch.deploy(rows.filter((F.col("domain") != n) & F.col("y").isNotNull()), rows.filter(F.col("domain") == n), COLUMNS[:3], ["row_id", "domain"])
+    with ThreadPoolExecutor(4) as pool:  # the fits are many short jobs, which leave most cores idle
+        parts = list(pool.map(one, names))
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)

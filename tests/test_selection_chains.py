@@ -146,3 +146,23 @@ def test_mutual_information_is_exact_and_makes_no_matrix_of_all_rows():
     began = time.process_time()
     rd.mutual_information(x, 0.5 * x + rng.normal(size=30_000))
     assert time.process_time() - began < 8  # 900 million distances are 14 GB
+
+
+def test_deployed_drops_copies_once_and_fits_domains_side_by_side(spark, data, monkeypatch):
+    import threading
+
+    from pathloom.plans import chain_ops as co
+
+    kept, threads = [], set()
+    real = co.cut
+    monkeypatch.setattr(co, "cut", lambda df: kept.append(df.columns) or real(df))
+    met = threading.Barrier(2, timeout=60)
+
+    def deploy(source, target, columns, keep):
+        threads.add(threading.get_ident())
+        met.wait()  # two domains at least are in work at once
+        return target.select(*keep)
+
+    monkeypatch.setattr(co.ch, "deploy", deploy)
+    co.deployed(spark, data)
+    assert len(kept) == 1 and len(threads) == 2
