@@ -6,8 +6,10 @@ degree, which bounds their number by m * sqrt(m) even with hubs.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,51 +143,107 @@ def without_nodes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("asn").alias("u")), "u", "left_anti").join(nodes.select(F.col("asn").alias("v")), "v", "left_anti")
 
 
-def peel(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes of one graph and their core numbers, from its edges: nodes of the least degree left go out together, each
-    edge is taken off once."""
-    nodes, flat = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = np.concatenate([flat[: len(u)], flat[len(u) :]]), np.concatenate([flat[len(u) :], flat[: len(u)]])
-    b = b[np.argsort(a, kind="stable")]
-    degree = np.bincount(flat, minlength=len(nodes))
-    start = np.concatenate([[0], np.cumsum(degree)])
+def _adjacency(chunks: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes of one graph, where each one's neighbours start, and the neighbours; both as positions in the nodes. Edges
+    are read once, by chunks; 16 bytes an edge are held besides one chunk and what is held by node."""
+    known, number, parts = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int32), []
+    for u, v in chunks:
+        here, flat = np.unique(np.concatenate([u, v]), return_inverse=True)
+        at = np.searchsorted(known, here)
+        old = at < len(known)
+        old[old] = known[at[old]] == here[old]
+        own = np.empty(len(here), dtype=np.int32)
+        own[old], own[~old] = number[at[old]], np.arange(len(known), len(known) + (~old).sum())
+        known, number = np.insert(known, at[~old], here[~old]), np.insert(number, at[~old], own[~old])
+        parts.append(own[flat])
+    nodes = np.empty_like(known)
+    nodes[number] = known
+    start = np.zeros(len(nodes) + 1, dtype=np.int64)
+    for part in parts:
+        start[1:] += np.bincount(part, minlength=len(nodes))
+    np.cumsum(start, out=start)
+    free, near = start[:-1].copy(), np.empty(start[-1], dtype=np.int32)
+    while parts:
+        part = parts.pop()
+        order = np.argsort(part, kind="stable")
+        ends, first, times = np.unique(part[order], return_index=True, return_counts=True)
+        near[np.repeat(free[ends] - first, times) + np.arange(len(part))] = np.roll(part, len(part) // 2)[order]
+        free[ends] += times
+    return nodes, start, near
+
+
+def peel(chunks: Iterable[tuple[np.ndarray, np.ndarray]], at_once: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of one graph and their core numbers, from its edges (each once) by chunks: nodes of the least degree left go
+    out together, each edge is taken off once, at most about `at_once` of them at a time."""
+    nodes, start, near = _adjacency(chunks)
+    degree = np.diff(start).astype(np.int32)
     left, core, k = np.ones(len(nodes), dtype=bool), np.zeros(len(nodes), dtype=np.int64), 0
-    degree, rest = degree.copy(), np.arange(len(nodes))
+    rest = np.arange(len(nodes))
     while len(rest):
         k = max(k, int(degree[rest].min()))
         out = rest[degree[rest] <= k]
         while len(out):
             core[out], left[out] = k, False
-            size = start[out + 1] - start[out]
-            hit = b[np.repeat(start[out] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())]
-            hit, times = np.unique(hit[left[hit]], return_counts=True)
-            degree[hit] -= times
+            ends = np.cumsum(start[out + 1] - start[out])
+            found = []
+            for own in np.split(out, np.searchsorted(ends, np.arange(at_once, ends[-1], at_once))):
+                size = start[own + 1] - start[own]
+                hit = near[np.repeat(start[own] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())]
+                hit, times = np.unique(hit[left[hit]], return_counts=True)
+                degree[hit] -= times.astype(np.int32)
+                found.append(hit)
+            hit = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
             out = hit[degree[hit] <= k]
         rest = rest[left[rest]]
     return nodes, core
 
 
-def core_numbers(edges: DataFrame, keys: list[str], rounds: int = 500, in_task: int = 1_000_000) -> DataFrame:
+def _chunks(batches: Iterable[pa.RecordBatch], rows: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(u, v) of Arrow's small batches, about `rows` at a time."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    n = 0
+    for b in batches:
+        held.append((b.column("u").to_numpy(zero_copy_only=False), b.column("v").to_numpy(zero_copy_only=False)))
+        n += b.num_rows
+        if n >= rows:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, n = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def core_numbers(
+    edges: DataFrame, keys: list[str], rounds: int = 500, in_task: int = 4_000_000, tidy: Callable[[DataFrame], DataFrame] = lambda e: e
+) -> DataFrame:
     """Core number of each node of each graph.
 
-    A graph of at most `in_task` edges is peeled in one task, with memory and time linear in its edges. A larger one is
-    worked out over all tasks, by rounds of the h-index of the neighbours' estimates.
+    A graph of at most `in_task` edges is peeled in one task, with time linear in its edges and memory of 16 bytes an edge
+    and about 40 a node. A larger one is worked out over all tasks, by rounds of the h-index of the neighbours' estimates.
+
+    tidy: makes the edges, if they are given as rows; it has to keep the keys. Rows are then counted (a graph never has
+    more edges than rows) and shuffled once, by graph, and tidied where they are peeled.
     """
     large = edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m")).filter(F.col("_m") > in_task).select(*keys)
-    named = [F.col(c) for c in keys]
     kinds = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
 
-    def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        nodes, core = peel(rows["u"].to_numpy(), rows["v"].to_numpy())
-        return pd.DataFrame({k: x for k, x in zip(keys, key, strict=True)} | {"asn": nodes, "core": core})
+    def solve(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, core = peel(_chunks(batches))
+        for i in range(0, len(nodes), 100_000):
+            own = slice(i, i + 100_000)
+            n = len(nodes[own])
+            yield pa.RecordBatch.from_arrays([*[pa.array([x.as_py()] * n, x.type) for x in key], pa.array(nodes[own]), pa.array(core[own])], names=[*keys, "asn", "core"])
 
     shape = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", asn bigint, core bigint"
-    lone = lambda df: df.select(*named, F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v")).groupBy(*keys).applyInPandas(solve, shape)
+
+    def lone(rows: DataFrame) -> DataFrame:
+        e = tidy(rows.repartition(*keys))
+        return e.select(*keys, F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v")).groupBy(*keys).applyInArrow(solve, shape)
+
     few = large.collect()  # a row a graph of more than in_task edges
     if not few:
         return lone(edges)
     large = edges.sparkSession.createDataFrame(few, large.schema)
-    return lone(edges.join(large, keys, "left_anti")).unionByName(_core_rounds(edges.join(large, keys, "left_semi"), keys, rounds))
+    return lone(edges.join(large, keys, "left_anti")).unionByName(_core_rounds(tidy(edges.join(large, keys, "left_semi")), keys, rounds))
 
 
 def _core_rounds(edges: DataFrame, keys: list[str], rounds: int) -> DataFrame:

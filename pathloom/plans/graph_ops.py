@@ -17,9 +17,12 @@ from pathloom.sources.updates import read_updates
 KEYS = ["pair", "stamp"]
 
 
+def _tidy(rows: DataFrame) -> DataFrame:
+    return undirected(rows, KEYS).select(*KEYS, F.col("source").alias("u"), F.col("target").alias("v"), F.col("weight").cast("bigint").alias("weight"))
+
+
 def snapshot_edges(spark: SparkSession, d: str) -> DataFrame:
-    e = undirected(table(spark, d, "edges"), KEYS)
-    return e.select(*KEYS, F.col("source").alias("u"), F.col("target").alias("v"), F.col("weight").cast("bigint").alias("weight"))
+    return _tidy(table(spark, d, "edges"))
 
 
 def _on_edges(f):
@@ -57,8 +60,12 @@ def component_sizes(spark: SparkSession, d: str) -> DataFrame:
     return sizes.withColumn("lcc_fraction", F.col("lcc_nodes") / F.col("n_nodes_full")).join(target, KEYS, "left")
 
 
+def kcore(spark: SparkSession, d: str) -> DataFrame:
+    return g.core_numbers(table(spark, d, "edges"), KEYS, tidy=_tidy)
+
+
 def core_stats(spark: SparkSession, d: str) -> DataFrame:
-    return g.core_statistics(g.core_numbers(snapshot_edges(spark, d), KEYS), KEYS)
+    return g.core_statistics(kcore(spark, d), KEYS)
 
 
 def snapshot_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -122,7 +129,7 @@ QUERIES = {
     "ego_size": ego_size,
     "components": snapshot_components,
     "component_sizes": component_sizes,
-    "kcore": _on_edges(g.core_numbers),
+    "kcore": kcore,
     "core_stats": core_stats,
     "pagerank_20": _on_edges(g.pagerank),
     "graph_kernel_features": _on_edges(kernel_features),

@@ -165,6 +165,42 @@ def test_core_stats_needs_no_rounds_on_the_driver(spark, data, monkeypatch):
         assert (r.core_mean, r.core_std, r.core_median) == pytest.approx((core.mean(), core.std(), np.median(core)))
 
 
+def test_core_stats_of_graphs_above_a_million_edges_needs_no_rounds(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from pathloom.plans.graph_ops import core_stats, kcore
+
+    n = 180_000  # each node has twelve neighbours; then a chain of 500 nodes, a loop and an edge the other way round
+    ring = spark.range(n).select("id", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("o")).select(F.col("id").alias("source"), ((F.col("id") + F.col("o")) % n).alias("target"))
+    chain = spark.range(n - 1, n + 499).select(F.col("id").alias("source"), (F.col("id") + 1).alias("target"))
+    rows = ring.union(chain).union(spark.createDataFrame([(7, 7), (1, 0), (None, 3)], "source bigint, target bigint")).selectExpr("'x_as1' as pair", "'20250101_0000' as stamp", "source", "target", "1 as weight")
+    rows.write.parquet(str(tmp_path / "edges.parquet"))
+    monkeypatch.setattr(g, "cut", lambda df: pytest.fail("a round and a checkpoint"))
+    assert kcore(spark, str(tmp_path)).groupBy("core").count().orderBy("core").collect() == [(1, 500), (12, n)]
+    found = core_stats(spark, str(tmp_path)).collect()
+    assert len(found) == 1 and (found[0].degeneracy, found[0].innermost_core_size, found[0].core_median) == (12, n, 12)
+
+
+def test_core_stats_shuffles_the_rows_once(spark, data):
+    from pathloom.plans.graph_ops import core_stats
+
+    plan = core_stats(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(pair") == 2  # rows by graph; then cores, for their largest
+
+
+def test_peeling_by_chunks_and_parts_of_a_front():
+    rng = np.random.default_rng(11)
+    for n, p in ((60, 0.05), (60, 0.3), (200, 0.02)):
+        u, v = np.argwhere(np.triu(rng.random((n, n)) < p, 1)).T
+        u, v = 10 * u - 5, 10 * v - 5
+        nodes, a = matrix(list(zip(u, v, strict=True)))
+        wanted = dict(zip(nodes.tolist(), k.core_numbers(a).tolist(), strict=True))
+        for cuts, at_once in (([], 1 << 21), ([1, 5, 5, 20], 1), ([30], 7)):
+            chunks = zip(np.split(u, cuts), np.split(v, cuts), strict=True)
+            nodes, core = g.peel(chunks, at_once)
+            assert len(nodes) == len(wanted) and dict(zip(nodes.tolist(), core.tolist(), strict=True)) == wanted
+
+
 def test_betweenness_takes_nodes_times_edges_whatever_the_levels():
     n = 1500
     a = np.diag(np.ones(n - 1), 1)
